@@ -1,4 +1,7 @@
-"""Hash keys and hash differences as Column expressions."""
+"""Hash keys and hash differences as Column expressions.
+
+Each hash is one SQL expression text: it parses once, whatever its number of columns.
+"""
 
 from __future__ import annotations
 
@@ -15,46 +18,40 @@ SURROGATE_NULL = "_null_"
 SURROGATE_JOIN = "-"
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A column's text form that does not depend on the engine's number printing."""
+def as_text(df: DataFrame, name: str) -> str:
+    """SQL for a column's text form that does not depend on the engine's number printing."""
     kind = df.schema[name].dataType
-    c = F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(18,2)").cast("string")
+        return f"cast(cast(`{name}` as decimal(18,2)) as string)"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return c.cast("string")
+        return f"date_format(`{name}`, 'yyyy-MM-dd HH:mm:ss')"
+    return f"cast(`{name}` as string)"
 
 
 def hash_key(df: DataFrame, names: str | Sequence[str]) -> Column:
     """Business-key hash; null when every part is null, so that loads skip the row."""
     names = [names] if isinstance(names, str) else list(names)
-    parts = [as_text(df, n) for n in names]
-    every_null = F.lit(True)
-    for p in parts:
-        every_null = every_null & p.isNull()
-    return F.when(~every_null, _digest(parts))
+    some = " or ".join(f"`{n}` is not null" for n in names)
+    return F.expr(f"case when {some} then {_digest([as_text(df, n) for n in names])} end")
 
 
 def hash_diff(df: DataFrame, names: Sequence[str]) -> Column:
     """Hash of the describing columns, in name order; never null."""
-    return _digest([as_text(df, n) for n in sorted(names)])
+    return F.expr(_digest([as_text(df, n) for n in sorted(names)]))
 
 
-def _digest(parts: Sequence[Column]) -> Column:
-    cleaned = [F.upper(F.trim(p)) for p in parts]
-    cleaned = [F.when(p.isNull() | (p == ""), F.lit(KEY_NULL)).otherwise(p) for p in cleaned]
-    return F.md5(F.concat_ws(KEY_JOIN, *cleaned))
+def _digest(parts: Sequence[str]) -> str:
+    cleaned = ", ".join(f"coalesce(nullif(upper(trim({p})), ''), '{KEY_NULL}')" for p in parts)
+    return f"md5(concat_ws('{KEY_JOIN}', {cleaned}))"
 
 
 def surrogate_key(df: DataFrame, names: Sequence[str]) -> Column:
     """md5 over the columns' texts, nulls replaced by a marker."""
-    parts = [F.coalesce(as_text(df, n), F.lit(SURROGATE_NULL)) for n in names]
-    return F.md5(F.concat_ws(SURROGATE_JOIN, *parts))
+    parts = ", ".join(f"coalesce({as_text(df, n)}, '{SURROGATE_NULL}')" for n in names)
+    return F.expr(f"md5(concat_ws('{SURROGATE_JOIN}', {parts}))")
 
 
-def sha256_base64(*columns: Column | str) -> Column:
+def sha256_base64(*columns: str) -> Column:
     """base64 of the sha-256 of the columns' texts joined by '-', null as empty."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
-    text = F.concat_ws("-", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
-    return F.base64(F.unhex(F.sha2(text, 256)))
+    parts = ", ".join(f"coalesce(cast({c} as string), '')" for c in columns)
+    return F.expr(f"base64(unhex(sha2(concat_ws('-', {parts}), 256)))")

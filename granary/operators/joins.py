@@ -31,8 +31,8 @@ def asof_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ts:
     # Two scalar subqueries: evaluated once, before the dimension is spread.
     lo = F.date_trunc(bucket, span.select("__lo").scalar())
     hi = F.date_trunc(bucket, span.select("__hi").scalar())
-    start = F.greatest(F.date_trunc(bucket, F.col(valid_from)), lo)
-    stop = F.least(F.date_trunc(bucket, F.col(valid_to)), hi)
+    start = F.greatest(F.date_trunc(bucket, F.col("__from")), lo)
+    stop = F.least(F.date_trunc(bucket, F.col("__to")), hi)
     step = F.expr(f"interval 1 {bucket}")
     spread = (
         dim.select(F.col(dim_key).alias("__key"), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), *columns)

@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import hash_diff, hash_key
-from granary.operators.ordered import keyed_shift, latest_per_key
+from granary.operators.ordered import latest_per_key
 from granary.sources.adapters import HIGH_DATE
 
 # Fixed values of the ghost record.
@@ -37,13 +38,15 @@ def stage(df: DataFrame, derived: dict[str, Column | str], hashed: dict[str, str
     A derived value is a Column, the name of a column, or `!text` for a constant. Hashed
     columns whose inputs the source does not have are computed from those it has.
     """
-    out = df
-    for name, value in derived.items():
+    def value_of(value: Column | str) -> Column:
         if isinstance(value, str):
-            value = F.lit(value[1:]) if value.startswith("!") else F.col(value)
-        out = out.withColumn(name, value)
+            return F.lit(value[1:]) if value.startswith("!") else F.col(value)
+        return value
+
+    extra = {name: value_of(value) for name, value in derived.items()}
     if load_date is not None:
-        out = out.withColumn("load_date", F.to_date(F.lit(load_date)) if isinstance(load_date, str) else load_date)
+        extra["load_date"] = F.to_date(F.lit(load_date)) if isinstance(load_date, str) else load_date
+    out = df.withColumns(extra)
     new: dict[str, Column] = {}
     for name, spec in hashed.items():
         if isinstance(spec, HashDiff):
@@ -112,7 +115,8 @@ def sat(batch: DataFrame, pk: str, hashdiff: str, payload: Sequence[str], eff: s
     if state is not None:
         current = latest_per_key(state.select(pk, *names), pk, [F.col(ldts), F.col(hashdiff)])
         fresh = fresh.unionByName(current.withColumn("__new", F.lit(False)))
-    shifted = keyed_shift(fresh, pk, [F.col(ldts), F.col("__new")], F.trunc(ldts, "year"), {"__before": F.col(hashdiff)})
+    # A key has one row per load date, so a window group is as long as the list of loads.
+    shifted = fresh.withColumn("__before", F.lag(hashdiff).over(W.partitionBy(pk).orderBy(ldts, "__new")))
     changed = F.col("__before").isNull() | (F.col("__before") != F.col(hashdiff))
     return shifted.where(F.col("__new") & changed).select(pk, *names)
 
@@ -209,7 +213,8 @@ def _as_of_array(as_of: DataFrame) -> Column:
 
 def _valid_dates(table: DataFrame, pk: str, ldts: str, as_of: DataFrame) -> DataFrame:
     """Each version once per as-of date at which it is the latest of its key."""
-    versions = keyed_shift(table, pk, [F.col(ldts)], F.trunc(ldts, "year"), {"__next": F.col(ldts)}, back=False)
+    # One row per key and load date: the window group is as long as the list of loads.
+    versions = table.withColumn("__next", F.lead(ldts).over(W.partitionBy(pk).orderBy(ldts)))
     versions = versions.withColumn("__dates", _as_of_array(as_of))
     live = F.filter("__dates", lambda d: (d >= F.col(ldts)) & (F.col("__next").isNull() | (d < F.col("__next"))))
     return versions.withColumn("as_of_date", F.explode(live)).drop("__dates", "__next")

@@ -27,73 +27,52 @@ def raw_orders(spark: SparkSession, root: str, load: int | None = None, order_da
     The customer side is joined before the lines: a load that reads only customer or
     order columns and de-duplicates lets Catalyst drop the joins after it.
     """
-    o = A.vault_orders(spark, root, load, order_date)
-    c = A.vault_customers(spark, root, load)
     nation, region = table(spark, root, "nation"), table(spark, root, "region")
 
-    def side(prefix: str) -> tuple[DataFrame, DataFrame]:
-        n = nation.select(
-            F.col("n_nationkey").alias(f"{prefix}_nk"), F.col("n_name").alias(f"{prefix}_nation_name"),
-            F.col("n_regionkey").alias(f"{prefix}_region_key"),
-        )
-        r = region.select(F.col("r_regionkey").alias(f"{prefix}_rk"), F.col("r_name").alias(f"{prefix}_region_name"))
-        return n, r
-
-    cn, cr = side("customer")
-    sn, sr = side("supplier")
-    li = table(spark, root, "lineitem")
-    p = table(spark, root, "part").select("p_partkey", F.col("p_name").alias("part_name"))
-    s = table(spark, root, "supplier").select("s_suppkey", F.col("s_name").alias("supplier_name"), "s_nationkey")
-    ship = F.to_date("l_shipdate")
-    commit = F.when(F.col("o_orderstatus") == "O", F.to_date(F.lit(A.HIGH_DATE))).otherwise(
-        F.date_add(ship, (F.col("o_orderkey") % 30).cast("int"))
-    )
-    joined = (
-        o.join(c, o.o_custkey == c.c_custkey, "left")
-        .join(cn, F.col("c_nationkey") == F.col("customer_nk"), "left")
-        .join(cr, F.col("customer_region_key") == F.col("customer_rk"), "left")
-        .join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-        .join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .join(sn, F.col("s_nationkey") == F.col("supplier_nk"), "left")
-        .join(sr, F.col("supplier_region_key") == F.col("supplier_rk"), "left")
-    )
-    return joined.select(
-        F.col("o_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("supplierkey"),
-        F.col("l_linenumber").alias("linenumber"), money("l_quantity").alias("quantity"),
-        money("l_extendedprice").alias("extendedprice"), money("l_discount").alias("discount"), money("l_tax").alias("tax"),
-        F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), ship.alias("shipdate"),
-        commit.alias("commitdate"), F.col("o_custkey").alias("customerkey"), F.col("o_orderstatus").alias("orderstatus"),
-        money("o_totalprice").alias("totalprice"), F.to_date("o_orderdate").alias("orderdate"),
-        F.col("o_orderpriority").alias("orderpriority"), F.col("c_name").alias("customer_name"),
-        F.col("c_phone").alias("customer_phone"), F.col("c_nationkey").alias("customer_nation_key"),
-        F.col("c_acctbal").alias("customer_accbal"), F.col("c_mktsegment").alias("customer_mktsegment"),
-        "customer_nation_name", "customer_region_key", "customer_region_name", "part_name", "supplier_name",
-        "supplier_nation_name", "supplier_region_name",
+    def side(prefix: str, nation_key: str, df: DataFrame) -> DataFrame:
+        n = nation.selectExpr(f"n_nationkey as {prefix}_nk", f"n_name as {prefix}_nation_name", f"n_regionkey as {prefix}_region_key")
+        r = region.selectExpr(f"r_regionkey as {prefix}_rk", f"r_name as {prefix}_region_name")
+        return df.join(n, F.expr(f"{nation_key} = {prefix}_nk"), "left").join(r, F.expr(f"{prefix}_region_key = {prefix}_rk"), "left")
+
+    df = A.vault_orders(spark, root, load, order_date)
+    df = df.join(A.vault_customers(spark, root, load), F.expr("o_custkey = c_custkey"), "left")
+    df = side("customer", "c_nationkey", df)
+    df = df.join(table(spark, root, "lineitem"), F.expr("l_orderkey = o_orderkey"), "left")
+    df = df.join(table(spark, root, "part").selectExpr("p_partkey", "p_name as part_name"), F.expr("l_partkey = p_partkey"), "left")
+    df = df.join(table(spark, root, "supplier").selectExpr("s_suppkey", "s_name as supplier_name", "s_nationkey"),
+                 F.expr("l_suppkey = s_suppkey"), "left")
+    df = side("supplier", "s_nationkey", df)
+    return df.selectExpr(
+        "o_orderkey as orderkey", "l_partkey as partkey", "l_suppkey as supplierkey", "l_linenumber as linenumber",
+        "cast(l_quantity as decimal(18,2)) as quantity", "cast(l_extendedprice as decimal(18,2)) as extendedprice",
+        "cast(l_discount as decimal(18,2)) as discount", "cast(l_tax as decimal(18,2)) as tax",
+        "l_returnflag as returnflag", "l_linestatus as linestatus", "to_date(l_shipdate) as shipdate",
+        f"""case when o_orderstatus = 'O' then date'{A.HIGH_DATE}'
+            else date_add(to_date(l_shipdate), cast(o_orderkey % 30 as int)) end as commitdate""",
+        "o_custkey as customerkey", "o_orderstatus as orderstatus", "cast(o_totalprice as decimal(18,2)) as totalprice",
+        "to_date(o_orderdate) as orderdate", "o_orderpriority as orderpriority", "c_name as customer_name",
+        "c_phone as customer_phone", "c_nationkey as customer_nation_key", "c_acctbal as customer_accbal",
+        "c_mktsegment as customer_mktsegment", "customer_nation_name", "customer_region_key", "customer_region_name",
+        "part_name", "supplier_name", "supplier_nation_name", "supplier_region_name",
     )
 
 
 def raw_inventory(spark: SparkSession, root: str, load: int | None = None) -> DataFrame:
     """Part-supplier stock with part and supplier details, one row per order line of the load."""
-    ps = A.partsupp(spark, root)
-    s, p = table(spark, root, "supplier"), table(spark, root, "part")
-    n, r = table(spark, root, "nation"), table(spark, root, "region")
-    lines = raw_orders(spark, root, load).select(F.col("partkey").alias("f_part"), F.col("supplierkey").alias("f_supp"))
-    joined = (
-        ps.join(s, ps.ps_suppkey == s.s_suppkey, "left")
-        .join(p, ps.ps_partkey == p.p_partkey, "left")
-        .join(n, F.col("s_nationkey") == n.n_nationkey, "left")
-        .join(r, n.n_regionkey == r.r_regionkey, "left")
-        .join(lines, (F.col("ps_partkey") == F.col("f_part")) & (F.col("ps_suppkey") == F.col("f_supp")), "inner")
-    )
-    return joined.select(
-        F.col("ps_partkey").alias("partkey"), F.col("ps_suppkey").alias("supplierkey"), F.col("ps_availqty").alias("availqty"),
-        F.col("ps_supplycost").alias("supplycost"), F.col("s_name").alias("supplier_name"),
-        F.col("s_nationkey").alias("supplier_nation_key"), money("s_acctbal").alias("supplier_acctbal"),
-        F.col("p_name").alias("part_name"), F.col("p_brand").alias("part_brand"), F.col("p_type").alias("part_type"),
-        F.col("p_size").alias("part_size"), money("p_retailprice").alias("part_retailprice"),
-        F.col("n_name").alias("supplier_nation_name"), F.col("n_regionkey").alias("supplier_region_key"),
-        F.col("r_name").alias("supplier_region_name"),
+    lines = A.vault_orders(spark, root, load).select("o_orderkey").join(
+        table(spark, root, "lineitem").selectExpr("l_orderkey", "l_partkey as f_part", "l_suppkey as f_supp"),
+        F.expr("l_orderkey = o_orderkey"))
+    df = A.partsupp(spark, root)
+    for name, test in (("supplier", "ps_suppkey = s_suppkey"), ("part", "ps_partkey = p_partkey"),
+                       ("nation", "s_nationkey = n_nationkey"), ("region", "n_regionkey = r_regionkey")):
+        df = df.join(table(spark, root, name), F.expr(test), "left")
+    df = df.join(lines, F.expr("ps_partkey = f_part and ps_suppkey = f_supp"))
+    return df.selectExpr(
+        "ps_partkey as partkey", "ps_suppkey as supplierkey", "ps_availqty as availqty", "ps_supplycost as supplycost",
+        "s_name as supplier_name", "s_nationkey as supplier_nation_key", "cast(s_acctbal as decimal(18,2)) as supplier_acctbal",
+        "p_name as part_name", "p_brand as part_brand", "p_type as part_type", "p_size as part_size",
+        "cast(p_retailprice as decimal(18,2)) as part_retailprice", "n_name as supplier_nation_name",
+        "n_regionkey as supplier_region_key", "r_name as supplier_region_name",
     )
 
 
@@ -160,12 +139,17 @@ INVENTORY_HASHED = {
 }
 
 
-def stage_orders(spark: SparkSession, root: str, load: int | None = None) -> DataFrame:
-    return dv.stage(raw_orders(spark, root, load), ORDER_DERIVED, ORDER_HASHED, LOAD_DAY[load])
+def _chosen(hashed: dict, only: list[str] | None) -> dict:
+    return hashed if only is None else {k: v for k, v in hashed.items() if k in only}
+
+
+def stage_orders(spark: SparkSession, root: str, load: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """`only` names the hashes to declare; a load states just those it reads."""
+    return dv.stage(raw_orders(spark, root, load), ORDER_DERIVED, _chosen(ORDER_HASHED, only), LOAD_DAY[load])
 
 
-def stage_inventory(spark: SparkSession, root: str, load: int | None = None) -> DataFrame:
-    staged = dv.stage(raw_inventory(spark, root, load), INVENTORY_DERIVED, INVENTORY_HASHED, LOAD_DAY[load])
+def stage_inventory(spark: SparkSession, root: str, load: int | None = None, only: list[str] | None = None) -> DataFrame:
+    staged = dv.stage(raw_inventory(spark, root, load), INVENTORY_DERIVED, _chosen(INVENTORY_HASHED, only), LOAD_DAY[load])
     return staged.withColumn("effective_from", F.col("load_date"))
 
 
@@ -215,17 +199,17 @@ SATS = {
 
 def hub_of(spark: SparkSession, root: str, name: str, load: int | None = None, state: DataFrame | None = None) -> DataFrame:
     stages, pk, nk = HUBS[name]
-    return dv.hub([STAGES[s](spark, root, load) for s in stages], pk, nk, state=state)
+    return dv.hub([STAGES[s](spark, root, load, [pk]) for s in stages], pk, nk, state=state)
 
 
 def link_of(spark: SparkSession, root: str, name: str, load: int | None = None, state: DataFrame | None = None) -> DataFrame:
     stages, pk, fk = LINKS[name]
-    return dv.link([STAGES[s](spark, root, load) for s in stages], pk, fk, state=state)
+    return dv.link([STAGES[s](spark, root, load, [pk, *fk]) for s in stages], pk, fk, state=state)
 
 
 def sat_of(spark: SparkSession, root: str, name: str, load: int | None = None, state: DataFrame | None = None) -> DataFrame:
     stage, pk, hashdiff, payload = SATS[name]
-    return dv.sat(STAGES[stage](spark, root, load), pk, hashdiff, payload, state=state)
+    return dv.sat(STAGES[stage](spark, root, load, [pk, hashdiff]), pk, hashdiff, payload, state=state)
 
 
 def two_loads(of, spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -459,8 +443,9 @@ select * from m1 union all select * from m2 where customer_pk in (
 
 def xts_customer(spark: SparkSession, root: str) -> DataFrame:
     names = {"sat_order_customer_details": "customer_hashdiff", "sat_order_cust_nation_details": "customer_nation_hashdiff"}
-    first = dv.xts(stage_orders(spark, root, 1), "customer_pk", names)
-    return dv.append(first, dv.xts(stage_orders(spark, root, 2), "customer_pk", names, state=first))
+    hashes = ["customer_pk", *names.values()]
+    first = dv.xts(stage_orders(spark, root, 1, hashes), "customer_pk", names)
+    return dv.append(first, dv.xts(stage_orders(spark, root, 2, hashes), "customer_pk", names, state=first))
 
 
 query("dv_xts", with_("ro1 ro2", " union all ".join(

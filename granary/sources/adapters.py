@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import dates
 from granary.functions.values import money
 from granary.sources.tables import table
 
@@ -22,116 +21,76 @@ def _c(name: str) -> Column:
 
 
 def games(spark: SparkSession, root: str) -> DataFrame:
-    """Schedule of games, one per order."""
-    o = table(spark, root, "orders")
-    key = _c("o_orderkey")
-    start = _c("o_orderdate") + F.make_dt_interval(mins=((key * 37) % 1440).cast("int"))
-    start = F.when(key % 97 != 0, start)
-    home = F.concat(F.lit("t"), _c("o_custkey") % 30)
-    away = F.concat(F.lit("t"), (_c("o_custkey") + 1 + key % 29) % 30)
-    minutes = (key % 120 + 120).cast("int")
-    return o.select(
-        F.concat(F.lit("g"), key).alias("gameId"),
-        F.lit(1).alias("gameNumber"),
-        F.concat(F.lit("s"), F.year("o_orderdate")).alias("seasonId"),
-        F.year("o_orderdate").alias("year"),
-        F.lit("REG").alias("type"),
-        F.when(F.hour(start) < 17, "D").when(F.hour(start) >= 17, "N").alias("dayNight"),
-        F.format_string("%d:%02d", F.floor(minutes / 60).cast("int"), minutes % 60).alias("duration"),
-        minutes.alias("duration_minutes"),
-        home.alias("homeTeamId"),
-        F.concat(F.lit("Team "), home).alias("homeTeamName"),
-        away.alias("awayTeamId"),
-        F.concat(F.lit("Team "), away).alias("awayTeamName"),
-        start.alias("startTime"),
-        F.floor(_c("o_totalprice") / 10).cast("bigint").alias("attendance"),
-        _c("o_orderstatus").alias("status"),
-        _c("o_orderdate").alias("created"),
+    """Schedule of games, one per order; every 97th has no start yet."""
+    o = table(spark, root, "orders").selectExpr(
+        "*",
+        """case when o_orderkey % 97 <> 0
+           then o_orderdate + make_dt_interval(0, 0, cast(o_orderkey * 37 % 1440 as int)) end as startTime""",
+        "concat('t', o_custkey % 30) as homeTeamId",
+        "concat('t', (o_custkey + 1 + o_orderkey % 29) % 30) as awayTeamId",
+        "cast(o_orderkey % 120 + 120 as int) as duration_minutes",
+    )
+    return o.selectExpr(
+        "concat('g', o_orderkey) as gameId", "1 as gameNumber", "concat('s', year(o_orderdate)) as seasonId",
+        "year(o_orderdate) as year", "'REG' as type",
+        "case when hour(startTime) < 17 then 'D' when hour(startTime) >= 17 then 'N' end as dayNight",
+        "format_string('%d:%02d', duration_minutes div 60, duration_minutes % 60) as duration", "duration_minutes",
+        "homeTeamId", "concat('Team ', homeTeamId) as homeTeamName", "awayTeamId", "concat('Team ', awayTeamId) as awayTeamName",
+        "startTime", "cast(floor(o_totalprice / 10) as bigint) as attendance", "o_orderstatus as status", "o_orderdate as created",
     )
 
 
 def _event_parts(spark: SparkSession, root: str) -> DataFrame:
-    """Events with their parsed property and the country of the user."""
-    e = table(spark, root, "events")
-    n = table(spark, root, "nation")
-    r = table(spark, root, "region")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    # nation and region are a fixed 25 and 5 rows; Spark sees their size and broadcasts.
-    geo = n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_nationkey", "n_name", "r_name")
-    return e.withColumn("k", k).join(geo, (_c("user_id") % 25) == _c("n_nationkey"), "left")
-
-
-def device_category(user: Column, day: Column) -> Column:
-    slot = (user + F.floor(day / 10)) % 3
-    return F.when(slot == 0, "desktop").when(slot == 1, "mobile").when(slot == 2, "tablet")
+    """Events with their parsed property, the user's country and the device in use."""
+    # nation and region are 25 and 5 rows; Spark sees their size and broadcasts.
+    geo = table(spark, root, "nation").join(table(spark, root, "region"), F.expr("n_regionkey = r_regionkey"), "left")
+    e = table(spark, root, "events").join(geo, F.expr("user_id % 25 = n_nationkey"), "left")
+    e = e.selectExpr(
+        "event_id", "ts", "user_id", "event_type", "value", "n_name", "r_name",
+        "cast(get_json_object(props, '$.k') as bigint) as k",
+        "element_at(array('desktop', 'mobile', 'tablet'), cast((user_id + day(ts) div 10) % 3 + 1 as int)) as category",
+    )
+    return e.selectExpr("*", "case category when 'desktop' then 'Windows' when 'mobile' then 'Android' else 'iOS' end as os")
 
 
-def device_os(category: Column) -> Column:
-    return F.when(category == "desktop", "Windows").when(category == "mobile", "Android").when(category == "tablet", "iOS")
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def ga4_events(spark: SparkSession, root: str) -> DataFrame:
     """Nested web-analytics events: structs for device, geo, app, shop; key/value params."""
-    e = _event_parts(spark, root)
-    user, k = _c("user_id"), _c("k")
-    category = device_category(user, F.dayofmonth("ts"))
-    system = device_os(category)
-
-    def entry(key: str, number: Column | None = None, text: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(key).alias("key"),
-            F.struct(
-                (number if number is not None else F.lit(None)).cast("bigint").alias("int_value"),
-                (text if text is not None else F.lit(None)).cast("string").alias("string_value"),
-            ).alias("value"),
-        )
-
-    is_purchase = _c("event_type") == "purchase"
-    return e.select(
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        dates.epoch_micros(_c("ts")).alias("event_timestamp"),
-        _c("event_type").alias("event_name"),
-        F.when(user % 3 != 0, F.concat(F.lit("id"), user)).alias("user_id"),
-        F.concat(F.lit("u"), user).alias("user_pseudo_id"),
-        (F.lit(1704067200000000) + user * 1000000).alias("user_first_touch_timestamp"),
-        F.lit("WEB").alias("platform"),
-        F.struct(
-            category.alias("category"),
-            system.alias("operating_system"),
-            F.concat(F.lit("v"), user % 4).alias("operating_system_version"),
-            F.struct(
-                F.when(user % 2 == 0, "Chrome").otherwise("Safari").alias("browser"),
-                F.concat(F.lit("b"), user % 5).alias("browser_version"),
-            ).alias("web_info"),
-            F.when(user % 7 != 0, F.concat(F.lit("lang"), user % 3)).alias("language"),
-            F.lit("No").alias("is_limited_ad_tracking"),
-            F.when(category == "mobile", "Google").alias("mobile_brand_name"),
-            F.when(category == "mobile", F.concat(F.lit("Pixel "), user % 6)).alias("mobile_model_name"),
-        ).alias("device"),
-        F.struct(
-            _c("r_name").alias("continent"),
-            F.concat(F.lit("Sub "), _c("r_name")).alias("sub_continent"),
-            _c("n_name").alias("country"),
-            F.concat(F.lit("R"), user % 4).alias("region"),
-            F.when(user % 11 != 0, F.concat(F.lit("C"), user % 8)).alias("city"),
-        ).alias("geo"),
-        F.struct(
-            F.when(user % 5 == 0, F.concat(F.lit("app"), user % 2)).alias("id"),
-            F.when(user % 5 == 0, "1.0").alias("version"),
-            F.when(user % 5 == 0, F.concat(F.lit("fb"), user % 4)).alias("firebase_app_id"),
-        ).alias("app_info"),
-        F.array(
-            entry("ga_session_id", k % 5),
-            entry("engagement_time_msec", k * 100),
-            entry("ga_session_number", k % 3),
-            entry("page_location", text=F.concat(F.lit("/p/"), k % 20)),
-            entry("page_title", text=F.concat(F.lit("Page "), k % 20)),
-        ).alias("event_params"),
-        F.struct(
-            F.when(is_purchase, k % 4).alias("total_item_quantity"),
-            F.when(is_purchase, money("value")).alias("purchase_revenue"),
-            F.when(is_purchase, F.concat(F.lit("tx"), _c("event_id"))).alias("transaction_id"),
-        ).alias("ecommerce"),
+
+    def number(key: str, value: str) -> str:
+        return f"named_struct('key', '{key}', 'value', named_struct('int_value', {value}, 'string_value', cast(null as string)))"
+
+    def text(key: str, value: str) -> str:
+        return f"named_struct('key', '{key}', 'value', named_struct('int_value', cast(null as bigint), 'string_value', {value}))"
+
+    params = ", ".join([
+        number("ga_session_id", "k % 5"), number("engagement_time_msec", "k * 100"), number("ga_session_number", "k % 3"),
+        text("page_location", "concat('/p/', k % 20)"), text("page_title", "concat('Page ', k % 20)"),
+    ])
+    return _event_parts(spark, root).selectExpr(
+        "date_format(ts, 'yyyyMMdd') as event_date",
+        f"timestampdiff(MICROSECOND, {EPOCH}, ts) as event_timestamp",
+        "event_type as event_name",
+        "case when user_id % 3 <> 0 then concat('id', user_id) end as user_id",
+        "concat('u', user_id) as user_pseudo_id",
+        "1704067200000000 + user_id * 1000000 as user_first_touch_timestamp",
+        "'WEB' as platform",
+        """named_struct('category', category, 'operating_system', os, 'operating_system_version', concat('v', user_id % 4),
+             'web_info', named_struct('browser', if(user_id % 2 = 0, 'Chrome', 'Safari'), 'browser_version', concat('b', user_id % 5)),
+             'language', case when user_id % 7 <> 0 then concat('lang', user_id % 3) end, 'is_limited_ad_tracking', 'No',
+             'mobile_brand_name', case when category = 'mobile' then 'Google' end,
+             'mobile_model_name', case when category = 'mobile' then concat('Pixel ', user_id % 6) end) as device""",
+        """named_struct('continent', r_name, 'sub_continent', concat('Sub ', r_name), 'country', n_name,
+             'region', concat('R', user_id % 4), 'city', case when user_id % 11 <> 0 then concat('C', user_id % 8) end) as geo""",
+        """named_struct('id', case when user_id % 5 = 0 then concat('app', user_id % 2) end,
+             'version', case when user_id % 5 = 0 then '1.0' end,
+             'firebase_app_id', case when user_id % 5 = 0 then concat('fb', user_id % 4) end) as app_info""",
+        f"array({params}) as event_params",
+        """named_struct('total_item_quantity', case when event_type = 'purchase' then k % 4 end,
+             'purchase_revenue', case when event_type = 'purchase' then cast(value as decimal(18,2)) end,
+             'transaction_id', case when event_type = 'purchase' then concat('tx', event_id) end) as ecommerce""",
     )
 
 
@@ -141,37 +100,18 @@ def ga_sessions(spark: SparkSession, root: str) -> DataFrame:
     `newVisits` is 1 on a visitor's first visit only, found by one pre-aggregated
     minimum per visitor that joins back on the key.
     """
-    e = _event_parts(spark, root)
-    user, k = _c("user_id"), _c("k")
-    category = device_category(user, F.dayofmonth("ts"))
-    first = (
-        table(spark, root, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-        .withColumnRenamed("user_id", "first_user")
-    )
-    e = e.join(first, user == _c("first_user"), "left")
-    return e.select(
-        user.cast("string").alias("fullVisitorId"),
-        dates.epoch_seconds(_c("ts")).alias("visitStartTime"),
-        _c("event_id").alias("visitId"),
-        F.date_format("ts", "yyyyMMdd").alias("dt"),
-        F.struct(
-            F.lit(1).alias("visits"),
-            k.cast("int").alias("hits"),
-            (k % 10).cast("int").alias("pageviews"),
-            F.floor("value").cast("int").alias("timeOnSite"),
-            F.when(_c("ts") == _c("first_ts"), 1).alias("newVisits"),
-        ).alias("totals"),
-        F.struct(
-            F.when(user % 2 == 0, "Chrome").otherwise("Safari").alias("browser"),
-            device_os(category).alias("operatingSystem"),
-            category.alias("deviceCategory"),
-            (category == "mobile").alias("isMobile"),
-        ).alias("device"),
-        F.struct(
-            _c("r_name").alias("continent"),
-            F.concat(F.lit("Sub "), _c("r_name")).alias("subContinent"),
-            _c("n_name").alias("country"),
-        ).alias("geoNetwork"),
+    first = table(spark, root, "events").groupBy(F.col("user_id").alias("first_user")).agg(F.min("ts").alias("first_ts"))
+    e = _event_parts(spark, root).join(first, F.expr("user_id = first_user"), "left")
+    return e.selectExpr(
+        "cast(user_id as string) as fullVisitorId",
+        f"timestampdiff(SECOND, {EPOCH}, ts) as visitStartTime",
+        "event_id as visitId",
+        "date_format(ts, 'yyyyMMdd') as dt",
+        """named_struct('visits', 1, 'hits', cast(k as int), 'pageviews', cast(k % 10 as int),
+             'timeOnSite', cast(floor(value) as int), 'newVisits', case when ts = first_ts then 1 end) as totals""",
+        """named_struct('browser', if(user_id % 2 = 0, 'Chrome', 'Safari'), 'operatingSystem', os,
+             'deviceCategory', category, 'isMobile', category = 'mobile') as device""",
+        "named_struct('continent', r_name, 'subContinent', concat('Sub ', r_name), 'country', n_name) as geoNetwork",
     )
 
 

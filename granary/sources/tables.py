@@ -14,12 +14,18 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan the parquet table `name` below `root`."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    path = f"{root}/{name}.parquet"
+    # Reading a footer for the schema is a job of its own; do it once per table, not per scan.
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def storage_root(spark: SparkSession) -> str:
