@@ -12,6 +12,7 @@ from granary.operators.ordered import latest_per_key
 from granary.plans.duck import sha_b64, surrogate, with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
+from granary.sources.tables import cut_lineage
 
 ATTRS = ["continent", "sub_continent", "country", "browser", "os", "device_category", "is_mobile"]
 CUT = "2024-01-16"
@@ -196,7 +197,8 @@ def _latest_visits(spark: SparkSession, root: str, upto: str) -> DataFrame:
 def snap_check(spark: SparkSession, root: str) -> DataFrame:
     state = None
     for day in SNAP_DAYS:
-        state = scd.snapshot(_latest_visits(spark, root, day), "visitor_id", ["hash_value"], f"{day} 00:00:00", state=state)
+        # Each run is a job of its own that leaves a stored table.
+        state = cut_lineage(scd.snapshot(_latest_visits(spark, root, day), "visitor_id", ["hash_value"], f"{day} 00:00:00", state=state))
     return state
 
 

@@ -13,6 +13,7 @@ from granary.operators.ordered import keyed_running, latest_per_key
 from granary.plans.duck import fr, surrogate, with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
+from granary.sources.tables import cut_lineage
 
 PARAMS = [("engagement_time_msec", "int_value"), ("ga_session_id", "int_value"), ("ga_session_number", "int_value"),
           ("page_location", "string_value"), ("page_title", "string_value")]
@@ -229,7 +230,6 @@ query("ga4_fct_access", with_("ga4", DAILY_SQL + f""" select user_key, country_k
 # --- snapshots ------------------------------------------------------------------------
 
 RUNS = ("2024-01-10", "2024-01-20", "2024-01-31")
-_KEYLESS = ["updated_at"]
 
 
 def user_feed(spark: SparkSession, root: str, after: str | None, upto: str) -> DataFrame:
@@ -256,7 +256,7 @@ def snap_countries(spark: SparkSession, root: str) -> DataFrame:
         batch = country_feed(spark, root, after, upto)
         if state is not None:
             batch = batch.join(state.select("country_key"), "country_key", "left_anti")
-        state = scd.snapshot(batch, "country_key", PLACE, upto, "timestamp", "updated_at", state)
+        state = cut_lineage(scd.snapshot(batch, "country_key", PLACE, upto, "timestamp", "updated_at", state))
         after = upto
     return state
 
@@ -272,7 +272,7 @@ def snap_users(spark: SparkSession, root: str) -> DataFrame:
             # Rows equal to the current row in every attribute are dropped; keys then match null-safely.
             same = null_safe_join(batch, current, ["user_key", *attrs], "left_semi").select("user_key")
             batch = batch.join(same, "user_key", "left_anti")
-        state = scd.snapshot(batch, "user_key", attrs, upto, "timestamp", "updated_at", state)
+        state = cut_lineage(scd.snapshot(batch, "user_key", attrs, upto, "timestamp", "updated_at", state))
         after = upto
     return state
 
@@ -301,7 +301,7 @@ def _snap_user_sql() -> str:
     prev = " || '|' || ".join(f"coalesce({a},'~')" for a in attrs)
     return f""", uf as ({' union all '.join(parts)}),
 uk as (select {key} as user_key, * exclude (run, rn), {prev} as sig, run from uf),
-# """.replace("# ", "") + """uc as (select * from (select *, lag(sig) over (partition by user_key order by run) as before from uk) q where before is null or before<>sig),
+uc as (select * from (select *, lag(sig) over (partition by user_key order by run) as before from uk) q where before is null or before<>sig),
 snapu as (select * exclude (sig, run, before), updated_at as valid_from, lead(updated_at) over (partition by user_key order by run) as valid_to from uc)"""
 
 
