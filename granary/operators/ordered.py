@@ -91,6 +91,13 @@ def keyed_row_number(df: DataFrame, key: str | Sequence[str], order: Sequence[Co
     return out.withColumn(name, F.col(name).cast("int"))
 
 
+def keyed_dense_rank(df: DataFrame, key: str | Sequence[str], value: str, bucket: Column, name: str) -> DataFrame:
+    """Dense rank of `value` per key: number the key's distinct values, join the number back."""
+    keys = _cols(key)
+    ranked = keyed_row_number(df.select(*keys, value).distinct(), keys, [F.col(value)], bucket, name)
+    return df.join(ranked, [*keys, value]).select(*df.columns, name)
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str, start: int = 0) -> DataFrame:
     """Numbers start+1.. over the whole table in `order`, without a one-task window.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions import clock, dates
 from granary.functions.values import exact_avg, floor_round
 from granary.operators import dims
+from granary.operators.joins import null_safe_join
 from granary.operators.ordered import global_row_number
 from granary.plans.calendar import CALENDAR_SQL, ORDER_DAYS, TIME_SQL, order_calendar
 from granary.plans.duck import fr, with_
@@ -37,8 +40,8 @@ def base_games(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_calendar(spark: SparkSession, root: str, games: DataFrame, how: str = "left") -> DataFrame:
-    # One row per day of the order span: bounded by the calendar, not by the data.
-    return games.join(F.broadcast(order_calendar(spark, root)), F.col("game_date_sk") == F.col("calendar_sk"), how)
+    # One row per day; no hint, so Spark broadcasts it by its measured size.
+    return games.join(order_calendar(spark, root), F.col("game_date_sk") == F.col("calendar_sk"), how)
 
 
 def with_clock(spark: SparkSession, games: DataFrame) -> DataFrame:
@@ -106,8 +109,33 @@ AVG_ATT = "cast(sum(attendance) as double) / count(attendance)"
 AVG_DUR = "cast(sum(duration_minutes) as double) / count(duration_minutes)"
 
 
+DISTINCT = re.compile(r"count\(distinct (?:case when (.*) then (\w+) end|(\w+))\)$")
+
+
 def _grouped(df: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in measures.items()])
+    """Group with the given measures, distinct counts apart.
+
+    Many conditional distinct counts in one aggregate would copy every row once per
+    count. Here each counted column gets one pass instead: rows are combined per
+    (group, value) with a flag per condition, and the flags are counted. The passes join
+    on the group keys, one row per group.
+    """
+    plain: dict[str, str] = {}
+    counted: dict[str, dict[str, str]] = {}
+    for name, text in measures.items():
+        match = DISTINCT.match(text)
+        if match:
+            test, conditional, bare = match.groups()
+            counted.setdefault(conditional or bare, {})[name] = test or "true"
+        else:
+            plain[name] = text
+    out = df.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in plain.items()])
+    for column, tests in counted.items():
+        flags = [F.expr(f"coalesce(max({test}), false)").alias(name) for name, test in tests.items()]
+        per_value = df.where(f"{column} is not null").groupBy(*keys, column).agg(*flags)
+        counts = per_value.groupBy(*keys).agg(*[F.count_if(name).alias(name) for name in tests])
+        out = null_safe_join(out, counts, keys, "left").fillna(0, subset=list(tests))
+    return out.select(*keys, *measures)
 
 
 def _duck(keys: list[str], measures: dict[str, str], source: str, where: str = "") -> str:

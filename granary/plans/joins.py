@@ -57,7 +57,7 @@ query("join_cross", """select cast(h.range as integer) as hour_value, cast(m.ran
 
 
 def asof(spark: SparkSession, root: str, closed: bool = True) -> DataFrame:
-    v = visits(spark, root).select("visit_id", "visitor_id", "access_timestamp")
+    v = visits(spark, root, False).select("visit_id", "visitor_id", "access_timestamp")
     d = dim_users(spark, root)
     return asof_join(v, d, "visitor_id", "visitor_id", "access_timestamp", "valid_from", "valid_to", ["device_category", "is_current"], closed=closed)
 

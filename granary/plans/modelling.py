@@ -18,9 +18,9 @@ ATTRS = ["continent", "sub_continent", "country", "browser", "os", "device_categ
 CUT = "2024-01-16"
 
 
-def visits(spark: SparkSession, root: str) -> DataFrame:
+def visits(spark: SparkSession, root: str, first_visits: bool = True) -> DataFrame:
     """Flattened visits: visitor, attributes, time of access and totals."""
-    return A.ga_sessions(spark, root).selectExpr(
+    return A.ga_sessions(spark, root, first_visits).selectExpr(
         "fullVisitorId as visitor_id", "visitId as visit_id", "dt", "to_date(dt, 'yyyyMMdd') as transaction_date",
         f"{A.EPOCH} + make_dt_interval(0, 0, 0, cast(visitStartTime as decimal(18,6))) as access_timestamp",
         "geoNetwork.continent", "geoNetwork.subContinent as sub_continent", "geoNetwork.country", "device.browser",
@@ -35,12 +35,12 @@ def _at(day: str):
 
 
 def dim_users(spark: SparkSession, root: str, sk: str = "md5") -> DataFrame:
-    return scd.scd2(visits(spark, root), "visitor_id", ATTRS, "access_timestamp", sk=sk)
+    return scd.scd2(visits(spark, root, False), "visitor_id", ATTRS, "access_timestamp", sk=sk)
 
 
 def dim_users_two_runs(spark: SparkSession, root: str, sk: str = "md5") -> DataFrame:
     """The dimension loaded in two runs, before and after a day."""
-    v = visits(spark, root)
+    v = visits(spark, root, False)
     first = scd.scd2(v.where(F.col("access_timestamp") < _at(CUT)), "visitor_id", ATTRS, "access_timestamp", sk=sk)
     rows = scd.scd2(v.where(F.col("access_timestamp") >= _at(CUT)), "visitor_id", ATTRS, "access_timestamp", state=first, sk=sk)
     return scd.scd2_merge(first, rows)
@@ -68,7 +68,7 @@ query("scd2_int_key_incremental", with_("visits", DIM_USERS + _RANK.format(grp=f
 
 def backfilled(spark: SparkSession, root: str) -> DataFrame:
     """The dimension loaded week by week, each run on the state of the one before."""
-    v = visits(spark, root)
+    v = visits(spark, root, False)
     edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
     ts = F.col("access_timestamp")
     parts = [v.where((ts >= _at(a)) & (ts < _at(b))) for a, b in zip(edges, edges[1:])]
@@ -189,7 +189,7 @@ SNAP_DAYS = ("2024-01-10", "2024-01-20", "2024-01-31")
 
 def _latest_visits(spark: SparkSession, root: str, upto: str) -> DataFrame:
     """One row per visitor: the last visit before a day."""
-    v = visits(spark, root).where(F.col("access_timestamp") < _at(upto))
+    v = visits(spark, root, False).where(F.col("access_timestamp") < _at(upto))
     v = latest_per_key(v.select("visitor_id", *ATTRS, "access_timestamp", "visit_id"), "visitor_id", [F.col("access_timestamp"), F.col("visit_id")])
     return v.withColumn("hash_value", surrogate_key(v, ATTRS)).drop("visit_id", "access_timestamp")
 

@@ -103,15 +103,18 @@ def order_items(items: DataFrame, orders: DataFrame, products: DataFrame, suppli
 
 
 def order_mart(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders with cost, item counts, food and drink flags, and the customer's order number."""
+    """Orders with cost, item counts, food and drink flags, and the customer's order number.
+
+    The number is found on the orders alone, before the item totals make the rows wide.
+    """
+    numbered = keyed_row_number(orders, "customer_id", [F.col("order_date"), F.col("order_id")], F.trunc("order_date", "month"), "customer_order_number")
     per = items.groupBy("order_id").agg(
         F.sum("supply_cost").cast("decimal(38,2)").alias("order_cost"), F.sum("product_price").cast("decimal(26,2)").alias("order_items_subtotal"),
         F.count("order_item_id").alias("count_order_items"),
         F.sum(F.when(F.col("is_food_item"), 1).otherwise(0)).alias("count_food_items"),
         F.sum(F.when(F.col("is_drink_item"), 1).otherwise(0)).alias("count_drink_items"))
-    joined = orders.join(per, "order_id", "left").withColumns({
+    return numbered.join(per, "order_id", "left").withColumns({
         "is_food_order": F.col("count_food_items") > 0, "is_drink_order": F.col("count_drink_items") > 0})
-    return keyed_row_number(joined, "customer_id", [F.col("order_date"), F.col("order_id")], F.trunc("order_date", "month"), "customer_order_number")
 
 
 def customer_mart(customers: DataFrame, orders: DataFrame) -> DataFrame:

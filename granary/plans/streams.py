@@ -25,7 +25,7 @@ def _periods(df: DataFrame, ts: str) -> list[DataFrame]:
 
 def stream_scd2(spark: SparkSession, root: str) -> DataFrame:
     """The user history loaded by a stream, one arrival per period."""
-    rows = visits(spark, root).select("visitor_id", *ATTRS, "access_timestamp")
+    rows = visits(spark, root, False).select("visitor_id", *ATTRS, "access_timestamp")
 
     def load(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         return scd.scd2_merge(state, scd.scd2(batch, "visitor_id", ATTRS, "access_timestamp", state=state))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.values import floor_round, money
 from granary.operators.ordered import (
-    global_dense_rank, global_rank, global_row_number, keyed_row_number, keyed_running, keyed_shift, latest_per_key,
+    global_dense_rank, global_rank, global_row_number, keyed_dense_rank, keyed_row_number, keyed_running, keyed_shift, latest_per_key,
 )
 from granary.operators.stats import deadlines_met, greedy_fill, interval_schedule
 from granary.plans.duck import fr
@@ -109,15 +109,11 @@ query("win_conditional_count", DAILY + " select d, count(case when n>6 then 1 en
 
 
 def rank_then_dense(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of each order's latest ship date, numbered by distinct part in it.
-
-    The latest date per order is an aggregate joined back; the ranks are then over the
-    lines of one order and date, a handful by the meaning of an order line.
-    """
+    """Lines of each order's latest ship date, ranked by part. The latest date is an aggregate joined back."""
     li = _t(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     last = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))
-    w = W.partitionBy("l_orderkey").orderBy("l_partkey")
-    return li.join(last, ["l_orderkey", "l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey", F.dense_rank().over(w).alias("check_rank"))
+    rows = li.join(last, ["l_orderkey", "l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey")
+    return keyed_dense_rank(rows, "l_orderkey", "l_partkey", F.floor(F.col("l_partkey") / 1000), "check_rank")
 
 
 query("win_rank_then_dense", """select l_orderkey, l_linenumber, l_partkey, cast(dense_rank() over (partition by l_orderkey order by l_partkey) as integer) as check_rank from (

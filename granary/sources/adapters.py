@@ -94,14 +94,19 @@ def ga4_events(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def ga_sessions(spark: SparkSession, root: str) -> DataFrame:
+def ga_sessions(spark: SparkSession, root: str, first_visits: bool = True) -> DataFrame:
     """Visits with nested totals, device and network; `dt` is the date shard.
 
     `newVisits` is 1 on a visitor's first visit only, found by one pre-aggregated
-    minimum per visitor that joins back on the key.
+    minimum per visitor that joins back on the key. Readers that do not use it leave
+    the join out with `first_visits=False`; it is then null.
     """
-    first = table(spark, root, "events").groupBy(F.col("user_id").alias("first_user")).agg(F.min("ts").alias("first_ts"))
-    e = _event_parts(spark, root).join(first, F.expr("user_id = first_user"), "left")
+    e = _event_parts(spark, root)
+    if first_visits:
+        first = table(spark, root, "events").groupBy(F.col("user_id").alias("first_user")).agg(F.min("ts").alias("first_ts"))
+        e = e.join(first, F.expr("user_id = first_user"), "left")
+    else:
+        e = e.withColumn("first_ts", F.lit(None).cast("timestamp_ntz"))
     return e.selectExpr(
         "cast(user_id as string) as fullVisitorId",
         f"timestampdiff(SECOND, {EPOCH}, ts) as visitStartTime",
