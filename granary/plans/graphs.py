@@ -59,5 +59,5 @@ query("graph_tree_depth_size", with_("part_tree", """, r as (select dst as node,
 v as (select src as node from part_tree union select dst from part_tree), d as (select node, max(k) as depth from r group by 1), s as (select up, count(*) as n from r group by 1)
 select v.node, cast(coalesce(depth,0) as bigint) as depth, coalesce(n,0)+1 as size from v left join d on d.node=v.node left join s on s.up=v.node""", recursive=True))(
     lambda spark, root: G.tree_stats(A.part_tree(spark, root), 1))
-query("graph_degree_adjacency", with_("supply_edges", " select src, dst//50 as block, list(dst order by dst) as neighbours from supply_edges group by 1,2"))(
-    lambda spark, root: G.adjacency(A.supply_edges(spark, root), width=50))
+query("graph_degree_adjacency", with_("supply_edges", " select src, dst//50 as block, count(*) as n, string_agg(cast(dst as varchar), ',' order by dst) as neighbours from supply_edges group by 1,2"))(
+    lambda spark, root: G.adjacency(A.supply_edges(spark, root), width=50).select("src", "block", F.size("neighbours").cast("bigint").alias("n"), F.array_join("neighbours", ",").alias("neighbours")))

@@ -10,7 +10,7 @@ from granary.operators import scd
 from granary.operators.joins import asof_join
 from granary.operators.ordered import latest_per_key
 from granary.plans.duck import sha_b64, surrogate, with_
-from granary.plans.registry import query
+from granary.plans.registry import open_ended, query
 from granary.sources import adapters as A
 from granary.sources.tables import cut_lineage
 
@@ -58,11 +58,11 @@ _SK = surrogate("visitor_id", "strftime(valid_from,'%Y-%m-%d %H:%M:%S')")
 _RANK = f"""select dense_rank() over (order by grp, valid_from, visitor_id) as user_sk, visitor_id, {_A}, hash_value, valid_from, valid_to, is_current
   from (select *, {{grp}} as grp from d) q"""
 
-query("scd2_hash_key", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(lambda spark, root: dim_users(spark, root))
-query("scd2_hash_key_incremental", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(
+open_ended("scd2_hash_key", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(lambda spark, root: dim_users(spark, root))
+open_ended("scd2_hash_key_incremental", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(
     lambda spark, root: dim_users_two_runs(spark, root))
-query("scd2_int_key", with_("visits", DIM_USERS + _RANK.format(grp="0")))(lambda spark, root: dim_users(spark, root, "int"))
-query("scd2_int_key_incremental", with_("visits", DIM_USERS + _RANK.format(grp=f"case when valid_from < timestamp '{CUT}' then 0 else 1 end")))(
+open_ended("scd2_int_key", with_("visits", DIM_USERS + _RANK.format(grp="0")))(lambda spark, root: dim_users(spark, root, "int"))
+open_ended("scd2_int_key_incremental", with_("visits", DIM_USERS + _RANK.format(grp=f"case when valid_from < timestamp '{CUT}' then 0 else 1 end")))(
     lambda spark, root: dim_users_two_runs(spark, root, "int"))
 
 
@@ -79,7 +79,7 @@ def backfilled(spark: SparkSession, root: str) -> DataFrame:
     return scd.backfill(step, parts)
 
 
-query("backfill_by_date", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(backfilled)
+open_ended("backfill_by_date", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(backfilled)
 
 # --- customers by first-seen attribute set -------------------------------------------
 
@@ -129,7 +129,7 @@ a2 as (select n2.* from n2 where not exists (select 1 from s1 where s1.nx is nul
 s2 as (select dense_rank() over (order by valid_from, user_id, hash_value) + (select max(customer_sk) from s1) as customer_sk, * from a2),
 allv as (select customer_sk, user_id, first_name, last_name, hash_value, valid_from from s1 union all select * from s2),
 dimc as (select *, lead(valid_from) over (partition by user_id order by valid_from, hash_value) as nx from allv)"""
-query("scd2_customers", with_("payments", _CUST + """ select customer_sk, user_id, first_name, last_name, hash_value, valid_from,
+open_ended("scd2_customers", with_("payments", _CUST + """ select customer_sk, user_id, first_name, last_name, hash_value, valid_from,
   coalesce(nx - interval 1 second, timestamp '9999-12-31') as valid_to, nx is null as is_current from dimc"""))(dim_customers)
 
 
@@ -158,7 +158,7 @@ ins as (select dense_rank() over (order by valid_from, user_id, hash_value) + (s
 allv as (select customer_sk, user_id, first_name, last_name, hash_value, valid_from from s1 where customer_sk not in (select customer_sk from fixed)
   union all select * from fixed union all select * from ins),
 dimc as (select *, lead(valid_from) over (partition by user_id order by valid_from, hash_value) as nx from allv)"""
-query("scd2_late_correction", with_("payments", _FIX + """ select customer_sk, user_id, first_name, last_name, hash_value, valid_from,
+open_ended("scd2_late_correction", with_("payments", _FIX + """ select customer_sk, user_id, first_name, last_name, hash_value, valid_from,
   coalesce(nx - interval 1 second, timestamp '9999-12-31') as valid_to, nx is null as is_current from dimc"""))(corrected)
 
 # --- facts ----------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,3 +25,18 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return register
+
+
+def open_ended(key: str, sql: str) -> Callable[[Query], Query]:
+    """Register a history whose `valid_to` may be 9999-12-31.
+
+    The query shows `valid_to` as text, because clients that hold times in nanoseconds
+    (pandas) cannot take that date. The operators themselves return timestamps.
+    """
+    text = f"select * replace (strftime(valid_to, '%Y-%m-%d %H:%M:%S.%f') as valid_to) from ({sql})"
+
+    def register(fn: Query) -> Query:
+        query(key, text)(lambda spark, root: fn(spark, root).withColumn("valid_to", F.date_format("valid_to", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+        return fn
+
+    return register

@@ -10,7 +10,7 @@ from granary.operators import vault as dv
 from granary.plans import vault as V
 from granary.plans.duck import surrogate, with_
 from granary.plans.modelling import ATTRS, DIM_USERS, visits
-from granary.plans.registry import query
+from granary.plans.registry import open_ended, query
 from granary.plans.webstats import stg_events
 from granary.sources.tables import new_path, table
 from granary.streaming import jobs
@@ -33,7 +33,7 @@ def stream_scd2(spark: SparkSession, root: str) -> DataFrame:
     return jobs.stateful_load(spark, _periods(rows, "access_timestamp"), "scd2", load)
 
 
-query("stream_scd2", with_("visits", DIM_USERS + f""" select {surrogate('visitor_id', "strftime(valid_from,'%Y-%m-%d %H:%M:%S')")} as user_sk, * from d"""))(stream_scd2)
+open_ended("stream_scd2", with_("visits", DIM_USERS + f""" select {surrogate('visitor_id', "strftime(valid_from,'%Y-%m-%d %H:%M:%S')")} as user_sk, * from d"""))(stream_scd2)
 
 
 def stream_hub(spark: SparkSession, root: str) -> DataFrame:

@@ -13,7 +13,7 @@ from granary.plans.duck import hash_key as dhk
 from granary.plans.duck import with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
-from granary.sources.tables import date_spine_of, table
+from granary.sources.tables import date_spine_of, materialise, table
 
 LOAD_DAY = {1: A.FIRST_LOAD, 2: A.SECOND_LOAD, None: A.SECOND_LOAD}
 
@@ -516,10 +516,15 @@ from ranked where rn=1 and ed > as_of_date"""))(bridge_customer)
 
 
 def _order_details(spark: SparkSession, root: str, newest) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customer, nation and order satellites cut to their newest rows by `newest`."""
-    return tuple(
-        newest(sat_of(spark, root, name), SATS[name][1], SATS[name][2]) for name in ("customer", "cust_nation", "order")
-    )
+    """Customer, nation and order satellites cut to their newest rows by `newest`.
+
+    The satellites are stored first, as a load would leave them: the latest load date is
+    then a scan of one column, not a second run of the load.
+    """
+    def stored(name: str) -> DataFrame:
+        return materialise(sat_of(spark, root, name), f"sat-{name}")
+
+    return tuple(newest(stored(name), SATS[name][1], SATS[name][2]) for name in ("customer", "cust_nation", "order"))
 
 
 def _by_load(sat: DataFrame, pk: str, hashdiff: str) -> DataFrame:
@@ -568,7 +573,7 @@ query("dv_info_customer_transaction", f"""with {_TX} select order_date as orderd
 
 def info_parts(spark: SparkSession, root: str) -> DataFrame:
     hub_part = hub_of(spark, root, "part").select("part_pk", F.col("partkey").alias("part_key"))
-    sat_part = dv.latest_load(sat_of(spark, root, "part")).select("part_pk", F.col("part_name").alias("name"), F.col("part_brand").alias("brand"))
+    sat_part = dv.latest_load(materialise(sat_of(spark, root, "part"), "sat-part")).select("part_pk", F.col("part_name").alias("name"), F.col("part_brand").alias("brand"))
     return hub_part.join(sat_part, "part_pk").select("part_key", "name", "brand")
 
 

@@ -12,7 +12,7 @@ from granary.operators.ordered import (
 )
 from granary.operators.stats import deadlines_met, greedy_fill, interval_schedule
 from granary.plans.duck import fr
-from granary.plans.registry import query
+from granary.plans.registry import open_ended, query
 from granary.sources import adapters as A
 from granary.sources.tables import table
 
@@ -84,7 +84,7 @@ def lead_validity(spark: SparkSession, root: str) -> DataFrame:
     return out.select("event_id", "user_id", F.col("ts").alias("valid_from"), F.coalesce(F.col("nx") - F.expr("interval 1 second"), high).alias("valid_to"))
 
 
-query("win_lead_validity", """select event_id, user_id, ts as valid_from, coalesce(lead(ts) over (partition by user_id order by ts, event_id) - interval 1 second, timestamp '9999-12-31') as valid_to from events""")(lead_validity)
+open_ended("win_lead_validity", """select event_id, user_id, ts as valid_from, coalesce(lead(ts) over (partition by user_id order by ts, event_id) - interval 1 second, timestamp '9999-12-31') as valid_to from events""")(lead_validity)
 query("win_lag_offset", DAILY + " select d, lag(n,1) over w as p1, lag(n,30) over w as p30, lag(n,365) over w as p365 from daily window w as (order by d)")(
     lambda spark, root: daily(spark, root).select("d", *[F.lag("n", k).over(by_day()).alias(f"p{k}") for k in (1, 30, 365)]))
 

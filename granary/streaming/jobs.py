@@ -32,35 +32,33 @@ class VersionedState:
     """A table kept as one folder per micro-batch.
 
     Batch n reads version n-1 and writes version n. A batch that is run again after a
-    failure reads the same version and overwrites its own, so the state is exact.
+    failure reads the same version and overwrites its own, so the state is exact. All
+    that is known lies in the folder, so a restarted driver goes on from there.
     """
 
-    def __init__(self, spark: SparkSession, tag: str, load: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    def __init__(self, spark: SparkSession, path: str, load: Callable[[DataFrame | None, DataFrame], DataFrame]):
         self.spark = spark
-        self.path = new_path(spark, tag)
+        self.path = path
         self.load = load
-        self.schema: T.StructType | None = None
-        self.version: int | None = None
 
     def read(self, version: int) -> DataFrame | None:
-        if self.schema is None or version < 0:
-            return None
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+        return None if version < 0 else self.spark.read.parquet(f"{self.path}/v={version}")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         after = self.load(self.read(batch_id - 1), batch)
         after.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self.schema, self.version = after.schema, batch_id
 
     def latest(self) -> DataFrame:
-        return self.read(self.version)
+        """The newest version; its number is a partition value, so only its files are read."""
+        every = self.spark.read.parquet(self.path)
+        return every.where(F.col("v") == every.agg(F.max("v")).scalar()).drop("v")
 
 
 def stateful_load(spark: SparkSession, arrivals: Sequence[DataFrame], tag: str,
                   load: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
     """Append each arrival to a feed folder, let the stream pick it up, return the final state."""
-    source, progress = new_path(spark, f"{tag}-feed"), new_path(spark, f"{tag}-progress")
-    state = VersionedState(spark, tag, load)
+    source, progress, stored = (new_path(spark, f"{tag}-{n}") for n in ("feed", "progress", "state"))
+    state = VersionedState(spark, stored, load)
     for part in arrivals:
         part.write.mode("append").parquet(source)
         run_available(feed(spark, source, part.schema), progress, each=state.apply)

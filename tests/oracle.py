@@ -1,6 +1,8 @@
 """Run registered queries on Spark and their SQL on DuckDB and compare all values.
 
-python -m tests.oracle [--sf 0.01] [key-prefix ...]
+python -m tests.oracle [--sf 0.01] [--bare] [key-prefix ...]
+
+--bare uses a session without any of the library's settings.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import traceback
 from collections import Counter
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from granary.sources.tables import TABLES
 
@@ -73,7 +76,11 @@ def main(args: list[str]) -> int:
     from granary.session import local_session
     import __spark_entry__ as entry
 
-    spark = local_session()
+    if args[:1] == ["--bare"]:
+        args = args[1:]
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
     queries, oracle = entry.queries(), entry.oracle_sql()
