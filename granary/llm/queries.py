@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import fingerprint, langid, mixing, packing, sharding, token_files
+from granary.llm import fingerprint, jaccard_join, langid, mixing, packing, sharding, suffix_dedup, token_files, topk
 from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
@@ -80,3 +80,46 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root).select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
     identifier = langid.train(docs.where("not held_out"))
     return langid.predict(docs.select("doc_id", "held_out", "text"), identifier).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+OP8 = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select s, doc_id from shingles where s in (select s from shingles group by s having count(*) > 1)),
+links as (
+  select a.doc_id as a, b.doc_id as b from shared a join shared b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * ((select n from sizes where doc_id = a.doc_id) + (select n from sizes where doc_id = b.doc_id) - count(*))),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, (select min(b) from reach where a = d.doc_id)) as component_id
+from documents d left join sizes on sizes.doc_id = d.doc_id
+"""
+
+
+@query("op8_jaccard_join", OP8)
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, root), words=4, num=85, den=100)
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, root), length=200)
+
+
+OP6 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+           from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from scored qualify rank <= 10
+"""
+
+
+@query("op6_top_k", OP6)
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    rows = topk.scaled(spark.read.parquet(f"{root}/embeddings.parquet"), "vec_id", "embedding")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
