@@ -317,7 +317,14 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` without near copies: of each component the rows with its smallest doc_id stay (of repeated rows one), and all rows without words or doc_id."""
-    found = classes(docs, words, num, den)
-    gone = found.where("n_shingles > 0 and doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """`docs` without near copies: of each component the smallest doc_id stays, and all rows without words or without doc_id.
+
+    Of rows with one doc_id and one text one stays. A doc_id with several texts goes if one of them has a partner of smaller doc_id.
+    """
+    found = materialise(classes(docs, words, num, den), "join-classes").where("n_shingles > 0 and doc_id is not null")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not twice.isEmpty():
+        rest = rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rest.select(*[f"`{c}`" for c in docs.columns])

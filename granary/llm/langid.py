@@ -21,17 +21,17 @@ from granary.llm.tokens import blocks
 ORDER = 4
 WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
-_PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_PRIME, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_hashes(cp: np.ndarray) -> list[np.ndarray]:
     """[n-1][i]: hash of the n code points that end at i (meaningless where i < n-1)."""
-    out, acc, power = [], np.zeros(len(cp), np.uint64), np.uint64(1)
+    out, acc, power = [], np.zeros(len(cp), np.uint64), 1
     for n in range(ORDER):
         shifted = np.zeros(len(cp), np.uint64)
         shifted[n:] = cp[:len(cp) - n] if n else cp
-        acc = acc + (shifted + np.uint64(1)) * power
-        power = power * _PRIME * _PRIME + np.uint64(2 * n + 1)
+        acc = acc + (shifted + np.uint64(1)) * np.uint64(power)
+        power = (power * _PRIME * _PRIME + 2 * n + 1) % (1 << 64)
         mixed = (acc ^ (acc >> np.uint64(29))) * (_MIX + np.uint64(2 * n))
         out.append(mixed ^ (mixed >> np.uint64(32)))
     return out

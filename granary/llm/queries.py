@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import fingerprint, jaccard_join, langid, mixing, packing, sharding, suffix_dedup, token_files, topk
+from granary.llm import fingerprint, jaccard_join, langid, lm_score, mixing, packing, sharding, suffix_dedup, token_files, topk
 from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
@@ -123,3 +123,28 @@ from scored qualify rank <= 10
 def op6(spark: SparkSession, root: str) -> DataFrame:
     rows = topk.scaled(spark.read.parquet(f"{root}/embeddings.parquet"), "vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP7 = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+pairs as (select doc_id, unnest(w) as a, unnest(list_append(w[2:], ' ')) as b from words where len(w) > 0),
+own as (select doc_id, a, b, count(*)::bigint as own2 from pairs group by all),
+c2 as (select a, b, sum(own2)::bigint as c2 from own group by all),
+c1 as (select a as word, sum(c2)::bigint as c1 from c2 group by a union all select ' ', (select sum(c2) from c2 where b = ' ')::bigint),
+own1 as (select doc_id, a, sum(own2)::bigint as own1 from own group by all),
+n as (select sum(c1) as n from c1),
+terms as (
+  select o.doc_id, own2, c2 > own2 as hit,
+         case when c2 > own2 then own2 * (round(1e6 * ln((c2 - own2)::double)) - round(1e6 * ln((x.c1 - own1)::double)))
+              else own2 * (round(1e6 * ln(y.c1::double)) + round(1e6 * ln(0.4::double / n::double))) end as term
+  from own o join c2 using (a, b) join own1 using (doc_id, a) join c1 x on x.word = o.a join c1 y on y.word = o.b, n),
+sums as (select doc_id, sum(own2)::bigint as n, sum(case when hit then own2 else 0 end)::bigint as hits, sum(term) as s from terms group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(hits, 0)::bigint as n_known, floor(s / n)::bigint as log_score
+from documents d left join sums using (doc_id)
+"""
+
+
+@query("op7_lm_score", OP7)
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return lm_score.score(documents(spark, root))
