@@ -166,7 +166,7 @@ def _scan(k: int, buckets: int, narrow: bool):
     """Texts -> (doc_id, size, node) rows, or the sets' hashes packed by bucket: one row per block and bucket."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 1 << 21):
+            for block in blocks(batch, 1 << 20):
                 found = sets(block.column("text").to_pylist(), k)
                 sizes = np.array([len(s) for s in found], np.int64)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)

@@ -65,7 +65,7 @@ def _frequent(buckets: int):
     """Words that make up at least 1/(8 buckets) of a block, with their counts; word 0 stands for all."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 8 << 20):
+            for block in blocks(batch, 1 << 20):
                 words, _ = word_hashes(block.column("text").to_pylist())
                 kinds, counts = np.unique(words & np.uint64(_SIX), return_counts=True)
                 often = counts * 8 * buckets >= max(1, len(words))
@@ -82,7 +82,7 @@ def _bigrams(buckets: int, hot: np.ndarray):
     """
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 2 << 20):
+            for block in blocks(batch, 1 << 20):
                 words, counts = word_hashes(block.column("text").to_pylist())
                 ids = np.array(block.column("uid").to_pylist(), np.int64)
                 words = np.maximum(words & np.uint64(_SIX), np.uint64(2))

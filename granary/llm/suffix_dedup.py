@@ -25,7 +25,7 @@ from granary.sources.tables import materialise
 
 K = 40
 OCCURRENCE = np.dtype([("hash", "<u8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2")])  # window starts at-left to at-right
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<u4")])
+WINDOW = np.dtype([("a", "<u8"), ("at", "<u4"), ("b", "<u8")])
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def anchors(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     sums = _sums(data)
     count = len(data) - K + 1
     hashes = _hashes(sums, slice(0, count), slice(K, K + count), K)
-    low = np.uint64((1 << 24) - 1)  # blocks are smaller than 16 MB, so a position fits below the hash
+    low = np.uint64((1 << 24) - 1)  # parts are smaller than 16 MB, so a position fits below the hash
     least = (hashes & ~low) | np.arange(count, dtype=np.uint64)
     width, step = length - K + 1, 1
     while 2 * step <= width:  # minimum over 1, 2, 4, ... neighbours
@@ -145,10 +145,9 @@ def _unpack(pdf, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.frombuffer(b"".join(pdf["rows"]), dtype)
     owner = np.repeat(number, counts)
     assert len(keys) == len(counts)
-    order = np.lexsort((rows["at"], owner, rows[dtype.names[0]]))
+    order = np.lexsort((rows[dtype.names[2]], rows["at"], owner, rows[dtype.names[0]]))
     rows, owner = rows[order], owner[order]
-    first = dtype.names[0]
-    fresh = np.concatenate([[True], (rows[first][1:] != rows[first][:-1]) | (owner[1:] != owner[:-1]) | (rows["at"][1:] != rows["at"][:-1])])
+    fresh = np.concatenate([[True], (rows[1:] != rows[:-1]) | (owner[1:] != owner[:-1])])
     return known, owner[fresh], rows[fresh]
 
 
@@ -167,38 +166,27 @@ PACKED = "bucket int, keys binary, counts binary, rows binary"
 PACKED_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _scan(length: int, buckets: int):
-    """Texts -> their anchors, packed by bucket of the anchor hash."""
+def _scan(length: int, buckets: int, stretch: int = 1 << 19):
+    """Texts -> their anchors, packed by bucket of the anchor hash. Longer texts are read in stretches of so many string starts."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 2 << 20):
+            for block in blocks(batch, stretch):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
                 keys = [bytes.fromhex(k) for k in block.column("key").to_pylist()]
-                for part in _chunks(raw):
-                    found, doc = anchors([raw[i] for i in part], length)
+                whole = [i for i, r in enumerate(raw) if len(r) < stretch + length]
+                parts = [(whole, [raw[i] for i in whole], 0)] if whole else []
+                parts += [([i], [r[o:o + stretch + length - 1]], o) for i, r in enumerate(raw) if len(r) >= stretch + length for o in range(0, len(r) - length + 1, stretch)]
+                for which, texts, offset in parts:
+                    found, doc = anchors(texts, length)
+                    found["at"] += offset
                     bucket = ((found["hash"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-                    rows = list(_packed([keys[i] for i in part], doc, bucket, found))
+                    rows = list(_packed([keys[i] for i in which], doc, bucket, found))
                     if rows:
                         yield _batch(rows, PACKED_TYPES, ["bucket", "keys", "counts", "rows"])
 
     return run
 
 
-def _chunks(raw: list[bytes], most: int = 8 << 20) -> Iterator[list[int]]:
-    """Row numbers in runs of at most so many bytes (or one row)."""
-    part, filled = [], 0
-    for i, r in enumerate(raw):
-        if len(r) >= 1 << 24:
-            raise ValueError("a text of 16 MB or more cannot be anchored; split it")
-        if part and filled + len(r) > most:
-            yield part
-            part, filled = [], 0
-        part.append(i)
-        filled += len(r)
-    if part:
-        yield part
-
-
 def _shared(hot: int):
     """A bucket of anchors -> per text those that occur more than once; `hot` marks those of more than so many occurrences."""
     def run(pdf):
@@ -225,7 +213,7 @@ def _segments(length: int, buckets: int):
     """Texts with shared anchors -> per bucket the anchors and the bytes around them, overlapping stretches once."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 2 << 20):
+            for block in blocks(batch, 1 << 20):
                 made: dict[int, list] = {}
                 for key, text, parts in zip(block.column("key").to_pylist(), block.column("text").to_pylist(), block.column("rows").to_pylist()):
                     rows = np.frombuffer(b"".join(parts), OCCURRENCE)
@@ -283,9 +271,9 @@ def _construct(length: int):
         owner = number[owner]
         _, group = np.unique(rows["hash"], return_inverse=True)
         # A text that was read twice must not repeat itself.
-        order = np.lexsort((rows["at"], owner, group))
+        order = np.lexsort((rows["left"], rows["at"], owner, group))
         rows, owner, where, group = rows[order], owner[order], where[order], group[order]
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (owner[1:] != owner[:-1]) | (rows["at"][1:] != rows["at"][:-1])])
+        fresh = np.concatenate([[True], (rows[1:] != rows[:-1]) | (owner[1:] != owner[:-1])])
         rows, owner, where, group = rows[fresh], owner[fresh], where[fresh], group[fresh]
         i, offset = repeated(data, group, where, rows["left"].astype(np.int64), rows["right"].astype(np.int64), length)
         return _stretches(known, owner[i], rows["at"][i].astype(np.int64) + offset, length)
@@ -308,7 +296,7 @@ def _windows(length: int, buckets: int):
     """The exact way for anchors with very many occurrences: 128-bit hashes of their strings, packed by bucket of the hash."""
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 2 << 20):
+            for block in blocks(batch, 1 << 20):
                 for key, text, parts in zip(block.column("key").to_pylist(), block.column("text").to_pylist(), block.column("hot_rows").to_pylist()):
                     rows = np.frombuffer(b"".join(parts), OCCURRENCE)
                     if not len(rows):
@@ -390,7 +378,7 @@ def dedup(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame:
     Strings are judged on the input, overlaps count, matches never cross documents; an occurrence in the same document counts. A text that several rows have is
     one text of several copies: if it is long enough all of it goes, and one of it stands for all in the comparisons. An anchor with more than `hot`
     occurrences is not gathered: its strings are compared by 128-bit hashes, spread over all buckets.
-    A null text counts as empty; repeated rows are copies; a null doc_id does no harm; extra columns are left out. A text must be smaller than 16 MB.
+    A null text counts as empty; repeated rows are copies; a null doc_id does no harm; extra columns are left out.
     """
     rows, cuts = _removals(docs, length, hot)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)

@@ -81,7 +81,7 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
-def blocks(batch: pa.RecordBatch, bytes_at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, bytes_at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text each (column `text`), at least one row."""
     sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
     start, filled = 0, 0

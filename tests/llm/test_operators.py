@@ -254,6 +254,28 @@ def test_suffix_dedup_is_exact(spark, hot):
     assert got == want
 
 
+def test_long_texts_are_read_in_stretches():
+    rng = random.Random(2)
+    part = prose(rng, 300)
+    keys, texts = ["00" * 16, "11" * 16], [prose(rng, 700) + part + prose(rng, 500), part]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts)], ["key", "text"])
+
+    def strings(stretch):
+        out = set()
+        for b in suffix_dedup._scan(200, 1, stretch)(iter([batch])):
+            for row in b.to_pylist():
+                found = np.frombuffer(row["rows"], suffix_dedup.OCCURRENCE)
+                who = np.repeat(np.arange(len(row["keys"]) // 16), np.frombuffer(row["counts"], "<u4"))
+                for i, r in zip(who, found):
+                    key = row["keys"][16 * i:16 * i + 16].hex()
+                    out |= {(key, int(r["hash"]), int(r["at"]), s) for s in range(int(r["at"]) - int(r["left"]), int(r["at"]) - int(r["right"]) + 1)}
+        return out
+
+    assert strings(1 << 19) == strings(300) and len(strings(300)) == sum(len(t.encode()) - 199 for t in texts)
+
+
 def test_suffix_clean_keeps_columns(spark, docs, none):
     got = {r.doc_id: r for r in suffix_dedup.clean(docs).collect()}
     for row, want in zip(corpus(), brute_removed([r[1] for r in corpus()], 200)):
