@@ -40,6 +40,11 @@ def _hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | sli
     return mix((sums[ends] - sums[starts]) * inverse[:len(sums)][starts] + np.uint64(size))
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors are the least hashes around, so the hash is mixed again before it is cut into ranges."""
+    return ((mix(hashes) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+
+
 def anchors(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of all `length`-byte strings of each document: OCCURRENCE rows (`at` within the document), and the document of each."""
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -179,7 +184,7 @@ def _scan(length: int, buckets: int, stretch: int = 1 << 19):
                 for which, texts, offset in parts:
                     found, doc = anchors(texts, length)
                     found["at"] += offset
-                    bucket = ((found["hash"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+                    bucket = _bucket(found["hash"], buckets)
                     rows = list(_packed([keys[i] for i in which], doc, bucket, found))
                     if rows:
                         yield _batch(rows, PACKED_TYPES, ["bucket", "keys", "counts", "rows"])
@@ -220,7 +225,7 @@ def _segments(length: int, buckets: int):
                     if not len(rows):
                         continue
                     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                    bucket = ((rows["hash"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+                    bucket = _bucket(rows["hash"], buckets)
                     order = np.lexsort((rows["at"], bucket))
                     rows, bucket = rows[order], bucket[order]
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
@@ -308,7 +313,7 @@ def _windows(length: int, buckets: int):
                     made = np.zeros(len(start), WINDOW)
                     made["a"], made["at"] = _hashes(sums, start, start + length, length), start
                     made["b"] = _hashes(other, len(raw) - start - length, len(raw) - start, length)
-                    bucket = ((made["a"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+                    bucket = _bucket(made["a"], buckets)
                     yield _batch(list(_packed([bytes.fromhex(key)], np.zeros(len(start), np.int64), bucket, made)), PACKED_TYPES, ["bucket", "keys", "counts", "rows"])
 
     return run
