@@ -139,6 +139,27 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield key, rows
 
 
+def _possible(num: int, den: int):
+    """(token, pair, node, label, size, rest) rows, sorted by the first two -> those that can have a partner of another label.
+
+    If the token is the first that two sets share, they share at most 1 + the lesser rest; a pair that shares an earlier one is left to that.
+    """
+    def run(batches):
+        out: list[tuple] = []
+        for (token, pair), rows in _grouped(batches, 2):
+            node, label, size, rest = (np.array(c) for c in zip(*rows))
+            reach = (num + den) * (1 + np.minimum.outer(rest, rest)) >= num * np.add.outer(size, size)
+            able = (reach & np.not_equal.outer(label, label)).any(axis=1)
+            out.extend((token, pair, n, x) for n, x in zip(node[able].tolist(), label[able].tolist()))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label"])
+
+    return run
+
+
 def _tree_links(num: int, den: int, first_only: bool):
     """(token, salt, node, label, size, tokens) rows, sorted by the first two -> links between nodes of different labels."""
     def run(batches):
@@ -290,20 +311,25 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
     sets_ = materialise(whole.mapInArrow(_survivors(num, den, first_groups, width),
                         "node long, size long, tokens binary, prefix array<long>, salt array<int>, blocks array<int>"), "join-sets")
 
-    zipped, half = F.arrays_zip("prefix", "salt"), first_groups // 2
-    ends = F.array_union(F.slice(zipped, 1, half), F.slice(zipped, F.greatest(F.array_size("prefix") - half + 1, F.lit(1)), half))
-    first = sets_.select("node", F.explode(ends).alias("g"), "size", "tokens")
-    rows = first.select("g.prefix", "g.salt", "node", F.col("node").alias("label"), "size", "tokens")
-    links = materialise(rows.repartition("prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_tree_links(num, den, False), "src long, dst long"), "join-links")
-    label = materialise(components(links), "join-labels")
-    labelled = sets_.select("node", F.explode(F.arrays_zip("prefix", "salt", "blocks")).alias("g")).join(label, "node", "left")
-    labelled = labelled.select("node", F.coalesce("component", "node").alias("label"), "g.prefix", "g.salt", "g.blocks")
+    # One narrow row per set and prefix token; `rest` is how many of its tokens come after this one in the global order.
+    place = sets_.select("node", "size", (F.col("size") - F.octet_length("tokens") / 8).cast("bigint").alias("alone"), F.array_size("prefix").alias("n"),
+                         F.posexplode(F.arrays_zip("prefix", "salt", "blocks")).alias("i", "g"))
+    place = place.select("node", "size", (F.col("size") - 1 - F.col("alone") - F.col("i")).alias("rest"), "i", "n", "g.prefix", "g.salt", "g.blocks")
+
+    def links(rows: DataFrame, first_only: bool, tag: str) -> DataFrame:
+        """Links found in groups (prefix, pair) of rows; sets travel only to groups where they can have a partner of another label."""
+        rows = rows.select("prefix", "pair", "node", "label", "size", "rest")
+        able = rows.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_possible(num, den), "prefix long, pair int, node long, label long")
+        full = able.join(sets_.select("node", "size", "tokens"), "node").select("prefix", "pair", "node", "label", "size", "tokens")
+        return materialise(full.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_tree_links(num, den, first_only), "src long, dst long"), tag)
+
+    half = first_groups // 2
+    found = links(place.where((F.col("i") < half) | (F.col("i") >= F.col("n") - half)).withColumns({"pair": F.col("salt"), "label": F.col("node")}), False, "join-links")
+    label = materialise(components(found), "join-labels")
+    labelled = place.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     open_ = labelled.groupBy("prefix").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("prefix")
-    left = labelled.join(open_, "prefix")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("salt")) * F.col("blocks") + F.greatest(j, F.col("salt")))
-    left = left.select("prefix", F.explode(pair).alias("pair"), "node", "label").join(sets_.select("node", "size", "tokens"), "node")
-    left = left.select("prefix", "pair", "node", "label", "size", "tokens").repartition("prefix", "pair").sortWithinPartitions("prefix", "pair")
-    more = materialise(left.mapInArrow(_tree_links(num, den, True), "src long, dst long"), "join-more")
+    more = links(labelled.join(open_, "prefix").withColumn("pair", F.explode(pair)), True, "join-more")
     if not more.isEmpty():  # links between components: contract, join, put back
         of = label.select("node", "component")
         ends = more.join(of.toDF("src", "a"), "src", "left").join(of.toDF("dst", "b"), "dst", "left")
