@@ -214,46 +214,85 @@ def _scan(k: int, buckets: int, narrow: bool):
                     turn = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     who = own[turn]
                     counts = np.diff(np.append(turn, b - a)).astype("<u4")
-                    rows.append((int(bucket[a]), nodes[who].tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), packed[a:b].tobytes()))
+                    rows.append((int(bucket[a]), nodes[who].tobytes(), nodes[who].tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), packed[a:b].tobytes()))
                 if rows:
-                    types = [pa.int32()] + [pa.binary()] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "nodes", "sizes", "counts", "hashes"])
+                    yield _packed_rows(rows)
 
     return run
 
 
-def _count(pdf):
-    """One bucket: hashes that at least two sets have, given back per set as frequency (16 bits) and hash (48): the global order."""
-    import pandas as pd
-
-    nodes = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["nodes"]])
-    sizes = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["sizes"]])
-    counts = np.concatenate([np.frombuffer(b, "<u4") for b in pdf["counts"]])
-    raw = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, 6)
-    hashes = np.zeros((len(raw), 8), np.uint8)
-    hashes[:, :6] = raw
-    hashes = hashes.view("<u8").ravel()
-    known, number, = np.unique(nodes, return_inverse=True)
-    size_of = np.zeros(len(known), np.int64)
-    size_of[number] = sizes
-    owner = np.repeat(number, counts)
-    order = np.lexsort((owner, hashes))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
-    hashes, owner = hashes[fresh], owner[fresh]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    often = np.diff(np.append(first, len(hashes)))
-    # Frequencies from 2^15 on are stored by their logarithm; that keeps their order.
-    level = np.where(often < 32768, often, 32768 + np.minimum(32767, (1024 * np.log2(np.maximum(often, 32768) / 32768)).astype(np.int64)))
-    level = np.repeat(level, often).astype(np.uint64)
-    shared = level > 1
-    tokens, owner = (level[shared] << np.uint64(48)) | hashes[shared], owner[shared]
-    order = np.argsort(owner, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    turn = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    pieces = [tokens[a:b].astype("<u8").tobytes() for a, b in zip(turn.tolist(), [*turn[1:].tolist(), len(owner)])]
-    who = owner[turn]
-    return pd.DataFrame({"node": known[who], "size": size_of[who], "tokens": pieces})
+PACKED = "bucket int, nodes binary, labels binary, sizes binary, counts binary, data binary"
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "nodes", "labels", "sizes", "counts", "data"])
+
+
+def _again(buckets: int):
+    """Sets (node, label, size, tokens) -> their hashes packed by bucket, as the first scan gives them."""
+    def run(batches):
+        for batch in batches:
+            made: dict[int, list] = {}
+            for node, label, size, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "size", "tokens"))):
+                hashes = np.frombuffer(raw, "<u8") & LOW48
+                bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                bucket = bucket[order]
+                packed = np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
+                for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+                    made.setdefault(int(bucket[a]), []).append((node, label, size, b - a, packed[a:b].tobytes()))
+            if made:
+                yield _packed_rows([(k, *(np.array(c, t).tobytes() for c, t in zip(list(zip(*v))[:4], ("<i8", "<i8", "<u4", "<u4"))), b"".join(x[4] for x in v)) for k, v in made.items()])
+
+    return run
+
+
+def _count(buckets: int):
+    """One bucket of hashes: those that sets of at least two labels have, given back as frequency (16 bits) and hash (48), the global order;
+    packed by bucket of the set."""
+    def run(pdf):
+        import pandas as pd
+
+        nodes, labels, sizes, counts = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("nodes", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        raw = np.frombuffer(b"".join(pdf["data"]), np.uint8).reshape(-1, 6)
+        hashes = np.zeros((len(raw), 8), np.uint8)
+        hashes[:, :6] = raw
+        hashes = hashes.view("<u8").ravel()
+        known, first, number = np.unique(nodes, return_index=True, return_inverse=True)
+        size_of, label_of = sizes[first], labels[first]
+        owner = np.repeat(number, counts)
+        order = np.lexsort((owner, label_of[owner], hashes))
+        hashes, owner = hashes[order], owner[order]
+        fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+        hashes, owner = hashes[fresh], owner[fresh]
+        label = label_of[owner]
+        turn = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        first = np.flatnonzero(turn)
+        often = np.add.reduceat((turn | np.concatenate([[True], label[1:] != label[:-1]])).astype(np.int64), first)
+        members = np.diff(np.append(first, len(hashes)))
+        # Frequencies from 2^15 on are stored by their logarithm; that keeps their order. They count sets, which bounds a token's group.
+        ranked = np.where(often > 1, members, 1)
+        level = np.where(ranked < 32768, ranked, 32768 + np.minimum(32767, (1024 * np.log2(np.maximum(ranked, 32768) / 32768)).astype(np.int64)))
+        level = np.repeat(level, members).astype(np.uint64)
+        shared = level > 1
+        tokens, owner = (level[shared] << np.uint64(48)) | hashes[shared], owner[shared]
+        target = (mix(known.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.lexsort((owner, target[owner]))
+        tokens, owner = tokens[order].astype("<u8"), owner[order]
+        place = target[owner]
+        cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])).tolist() if len(owner) else []
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+            own = owner[a:b]
+            t = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            who = own[t]
+            out.append((int(place[a]), known[who].tobytes(), label_of[who].tobytes(), size_of[who].astype("<u4").tobytes(),
+                        np.diff(np.append(t, b - a)).astype("<u4").tobytes(), tokens[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "nodes", "labels", "sizes", "counts", "data"])
+
+    return run
 
 
 def frequency(tokens: np.ndarray) -> np.ndarray:
@@ -262,26 +301,35 @@ def frequency(tokens: np.ndarray) -> np.ndarray:
     return np.where(level < 32768, level, (32768 * 2 ** (np.maximum(level - 32768, 0) / 1024)).astype(np.int64))
 
 
-def _survivors(num: int, den: int, sample: int, width: int):
-    """Sets that may have a partner: shared tokens in global order and the salted groups of their prefix.
+SETS = "node long, label long, size long, tokens binary, prefix array<long>, salt array<int>, blocks array<int>"
+
+
+def _survivors(num: int, den: int, width: int):
+    """A bucket of sets: those that may have a partner of another label, with their shared tokens in global order and the salted groups of their prefix.
 
-    A partner of a set of n tokens shares at least num/den of n, so one of the first n - that + 1 tokens in any global order. Tokens nobody
-    else has come first and cannot be shared; what is left of the prefix are the group tokens.
+    A partner of a set of n tokens shares at least num/den of n, so one of the first n - that + 1 tokens in any global order. Tokens no other label
+    has come first and cannot be shared; what is left of the prefix are the group tokens.
     """
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for node, size, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.sort(np.concatenate([np.frombuffer(p, "<u8") for p in parts]))
-                prefix = size - -(-num * size // den) + 1 - (size - len(tokens))
-                if prefix > 0:
-                    group = tokens[:prefix]
-                    many = -(-frequency(group) // width)
-                    salts = (mix(group ^ np.uint64(node % (1 << 64))) >> np.uint64(33)).astype(np.int64) % many
-                    rows.append((node, size, tokens.astype("<u8").tobytes(), group.view(np.int64).tolist(), salts.tolist(), many.tolist()))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "size", "tokens", "prefix", "salt", "blocks"])
+    def run(pdf):
+        import pandas as pd
+
+        nodes, labels, sizes, counts = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("nodes", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        tokens = np.frombuffer(b"".join(pdf["data"]), "<u8")
+        owner = np.repeat(np.arange(len(nodes)), counts)
+        order = np.lexsort((tokens, nodes[owner]))
+        tokens, own = tokens[order], nodes[owner[order]]
+        _, first = np.unique(nodes, return_index=True)
+        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist()
+        rows = []
+        for k, a, b in zip(first.tolist(), cuts, [*cuts[1:], len(own)]):
+            size, node = int(sizes[k]), int(nodes[k])
+            prefix = size - -(-num * size // den) + 1 - (size - (b - a))
+            if prefix > 0:
+                group = tokens[a:a + min(prefix, b - a)]
+                many = -(-frequency(group) // width)
+                salts = (mix(group ^ np.uint64(node % (1 << 64))) >> np.uint64(33)).astype(np.int64) % many
+                rows.append((node, int(labels[k]), size, tokens[a:b].tobytes(), group.view(np.int64).tolist(), salts.tolist(), many.tolist()))
+        return pd.DataFrame(rows, columns=["node", "label", "size", "tokens", "prefix", "salt", "blocks"])
 
     return run
 
@@ -292,9 +340,10 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
     1. One scan hashes each text's set (64 bits; equal sets are one node). The hashes go to buckets of the hash range, packed as arrays; a bucket
        counts in how many sets each occurs and gives back those of two or more, frequency first: the global order.
     2. Sets whose prefix has a shared token stay. Groups of sets by prefix token are joined by a prefix tree: first by `first_groups` tokens of each set,
-       half its rarest and half its commonest prefix tokens, large groups split by salt, which joins most families; then by every prefix token that still lies in several components, a
-       group of S blocks as its S(S+1)/2 pairs of blocks, so that no pair across components is missed and none within one is compared.
-    3. Links are joined into components; each gets its smallest doc_id.
+       half its rarest and half its commonest prefix tokens, large groups split by salt, which joins most families.
+    3. The sets that stayed are counted again, now by component: a token that one component has alone counts as unshared, and few sets stay. Their groups are
+       joined by every prefix token, a group of S blocks as its S(S+1)/2 pairs of blocks, so that no pair across components is missed and none within one is compared.
+    4. Links are joined into components; each gets its smallest doc_id.
 
     A text without words has an empty set and is alone. Repeated rows and texts with equal sets share a component. A null doc_id never names a component: such
     a row shows the smallest doc_id of its component, or null. Rows of one doc_id with different texts may lie in different components. Extra columns are left out.
@@ -304,32 +353,32 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
     buckets = shuffle_partitions(spark)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     narrow = materialise(plain.mapInArrow(_scan(words, buckets, True), "doc_id long, size long, node long"), "join-docs")
-    packed = plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _scan(words, buckets, False), "bucket int, nodes binary, sizes binary, counts binary, hashes binary")
-    counted = packed.groupBy("bucket").applyInPandas(_count, "node long, size long, tokens binary")
-    whole = counted.groupBy("node").agg(F.max("size").alias("size"), F.collect_list("tokens").alias("parts"))  # at most one part a bucket
-    sets_ = materialise(whole.mapInArrow(_survivors(num, den, first_groups, width),
-                        "node long, size long, tokens binary, prefix array<long>, salt array<int>, blocks array<int>"), "join-sets")
-
-    # One narrow row per set and prefix token; `rest` is how many of its tokens come after this one in the global order.
-    place = sets_.select("node", "size", (F.col("size") - F.octet_length("tokens") / 8).cast("bigint").alias("alone"), F.array_size("prefix").alias("n"),
-                         F.posexplode(F.arrays_zip("prefix", "salt", "blocks")).alias("i", "g"))
-    place = place.select("node", "size", (F.col("size") - 1 - F.col("alone") - F.col("i")).alias("rest"), "i", "n", "g.prefix", "g.salt", "g.blocks")
-
-    def links(rows: DataFrame, first_only: bool, tag: str) -> DataFrame:
+    packed = plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(words, buckets, False), PACKED)
+
+    def ordered(hashes: DataFrame, tag: str) -> DataFrame:
+        counted = hashes.groupBy("bucket").applyInPandas(_count(buckets), PACKED)
+        return materialise(counted.groupBy("bucket").applyInPandas(_survivors(num, den, width), SETS), tag)
+
+    def places(sets_: DataFrame) -> DataFrame:
+        """One narrow row per set and prefix token; `rest` is how many of its tokens come after this one in the global order."""
+        rows = sets_.select("node", "label", "size", (F.col("size") - F.octet_length("tokens") / 8).cast("bigint").alias("alone"), F.array_size("prefix").alias("n"),
+                            F.posexplode(F.arrays_zip("prefix", "salt", "blocks")).alias("i", "g"))
+        return rows.select("node", "label", "size", (F.col("size") - 1 - F.col("alone") - F.col("i")).alias("rest"), "i", "n", "g.prefix", "g.salt", "g.blocks")
+
+    def links(rows: DataFrame, sets_: DataFrame, first_only: bool, tag: str) -> DataFrame:
         """Links found in groups (prefix, pair) of rows; sets travel only to groups where they can have a partner of another label."""
         rows = rows.select("prefix", "pair", "node", "label", "size", "rest")
         able = rows.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_possible(num, den), "prefix long, pair int, node long, label long")
         full = able.join(sets_.select("node", "size", "tokens"), "node").select("prefix", "pair", "node", "label", "size", "tokens")
         return materialise(full.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_tree_links(num, den, first_only), "src long, dst long"), tag)
 
-    half = first_groups // 2
-    found = links(place.where((F.col("i") < half) | (F.col("i") >= F.col("n") - half)).withColumns({"pair": F.col("salt"), "label": F.col("node")}), False, "join-links")
-    label = materialise(components(found), "join-labels")
-    labelled = place.join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("prefix").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("prefix")
+    sets_, half = ordered(packed, "join-sets"), first_groups // 2
+    some = places(sets_).where((F.col("i") < half) | (F.col("i") >= F.col("n") - half)).withColumn("pair", F.col("salt"))
+    label = materialise(components(links(some, sets_, False, "join-links")), "join-labels")
+    named = sets_.select("node", "size", "tokens").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "size", "tokens")
+    rest = ordered(named.mapInArrow(_again(buckets), PACKED), "join-open")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("salt")) * F.col("blocks") + F.greatest(j, F.col("salt")))
-    more = links(labelled.join(open_, "prefix").withColumn("pair", F.explode(pair)), True, "join-more")
+    more = links(places(rest).withColumn("pair", F.explode(pair)), rest, True, "join-more")
     if not more.isEmpty():  # links between components: contract, join, put back
         of = label.select("node", "component")
         ends = more.join(of.toDF("src", "a"), "src", "left").join(of.toDF("dst", "b"), "dst", "left")
