@@ -214,7 +214,7 @@ def _scan(k: int, buckets: int, narrow: bool):
                     turn = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     who = own[turn]
                     counts = np.diff(np.append(turn, b - a)).astype("<u4")
-                    rows.append((int(bucket[a]), nodes[who].tobytes(), nodes[who].tobytes(), sizes[who].astype("<u4").tobytes(), counts.tobytes(), packed[a:b].tobytes()))
+                    rows.append((int(bucket[a]), nodes[who].tobytes(), b"", sizes[who].astype("<u4").tobytes(), counts.tobytes(), packed[a:b].tobytes()))
                 if rows:
                     yield _packed_rows(rows)
 
@@ -229,6 +229,12 @@ def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "nodes", "labels", "sizes", "counts", "data"])
 
 
+def _arrays(pdf) -> tuple[np.ndarray, ...]:
+    """Nodes, labels (the node itself where none were sent), sizes and token counts of packed rows."""
+    nodes, sizes, counts = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+    return nodes, np.concatenate([np.frombuffer(b or a, "<i8") for a, b in zip(pdf["nodes"], pdf["labels"])]), sizes, counts
+
+
 def _again(buckets: int):
     """Sets (node, label, size, tokens) -> their hashes packed by bucket, as the first scan gives them."""
     def run(batches):
@@ -255,15 +261,21 @@ def _count(buckets: int):
     def run(pdf):
         import pandas as pd
 
-        nodes, labels, sizes, counts = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("nodes", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
-        raw = np.frombuffer(b"".join(pdf["data"]), np.uint8).reshape(-1, 6)
+        nodes, labels, sizes, counts = _arrays(pdf)
+        raw = np.frombuffer(b"".join(pdf.pop("data")), np.uint8).reshape(-1, 6)
         hashes = np.zeros((len(raw), 8), np.uint8)
         hashes[:, :6] = raw
+        del raw
         hashes = hashes.view("<u8").ravel()
         known, first, number = np.unique(nodes, return_index=True, return_inverse=True)
         size_of, label_of = sizes[first], labels[first]
-        owner = np.repeat(number, counts)
-        order = np.lexsort((owner, label_of[owner], hashes))
+        # Sets are numbered by label, so sorting by number keeps a label's sets together.
+        by_label = np.lexsort((known, label_of))
+        known, size_of, label_of = known[by_label], size_of[by_label], label_of[by_label]
+        place = np.empty(len(known), np.int32)
+        place[by_label] = np.arange(len(known), dtype=np.int32)
+        owner = np.repeat(place[number], counts)
+        order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
         fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
         hashes, owner = hashes[fresh], owner[fresh]
@@ -313,7 +325,7 @@ def _survivors(num: int, den: int, width: int):
     def run(pdf):
         import pandas as pd
 
-        nodes, labels, sizes, counts = (np.concatenate([np.frombuffer(b, t) for b in pdf[c]]) for c, t in (("nodes", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        nodes, labels, sizes, counts = _arrays(pdf)
         tokens = np.frombuffer(b"".join(pdf["data"]), "<u8")
         owner = np.repeat(np.arange(len(nodes)), counts)
         order = np.lexsort((tokens, nodes[owner]))
@@ -350,7 +362,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
     Two sets are told apart by 64-bit hashes, words runs by 48 bits within a pair.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)  # a bucket's arrays are held by one task
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     narrow = materialise(plain.mapInArrow(_scan(words, buckets, True), "doc_id long, size long, node long"), "join-docs")
     packed = plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(words, buckets, False), PACKED)

@@ -129,7 +129,7 @@ def kneser_ney(counts: dict[str, int]) -> Model:
 class Scorer:
     """Cross-entropies of texts under all models; words are remembered, at most about `most` of them."""
 
-    def __init__(self, models: list[Model], most: int = 1 << 19):
+    def __init__(self, models: list[Model], most: int = 1 << 17):
         self.models, self.most = models, most
         self.slot: dict[str, int] = {}
         self.table = np.zeros((1 << 12, len(models) + 1), np.float32)
