@@ -71,7 +71,7 @@ def scd2(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, state: DataF
         if state is None:
             rows = global_dense_rank(rows, ["valid_from", key], name)
         else:
-            top = state.agg(F.max(name).alias("m")).scalar()
+            top = state.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).scalar()  # an empty state has no maximum
             new = global_dense_rank(rows.where(~F.col("is_old")), ["valid_from", key], name)
             new = new.withColumn(name, F.col(name) + top)
             kept = current.select(key, *attrs, HASH, "valid_from", F.lit(True).alias("is_old"), name)
@@ -103,7 +103,7 @@ def scd2_first_seen(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, s
     else:
         current = state.where("is_current")
         new = new.join(current.select(key, HASH), [key, HASH], "left_anti")
-        top = state.agg(F.max(name).alias("m")).scalar()
+        top = state.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).scalar()  # an empty state has no maximum
         new = global_dense_rank(new, ["valid_from", key, HASH], name).withColumn(name, F.col(name) + top)
         rows = current.select(key, *attrs, HASH, "valid_from", name).unionByName(new)
     out = validity(rows, key)
@@ -130,7 +130,7 @@ def scd2_correct(state: DataFrame, batch: DataFrame, key: str, attrs: Sequence[s
     matched = recent.select(name, *same_time, F.col(HASH).alias("__old")).join(late, same_time)
     corrected = matched.where(F.col("__old") != F.col(HASH)).select(*columns)
     missing = late.join(recent.select(*same_time), same_time, "left_anti")
-    top = state.agg(F.max(name).alias("m")).scalar()
+    top = state.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).scalar()  # an empty state has no maximum
     inserted = global_dense_rank(missing, ["valid_from", key, HASH], name).withColumn(name, F.col(name) + top).select(*columns)
     kept = recent.join(corrected.select(name), name, "left_anti").select(*columns)
     rows = kept.unionByName(corrected).unionByName(inserted).unionByName(before.select(*columns))

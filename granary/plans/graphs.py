@@ -10,8 +10,10 @@ from granary.plans.duck import CTE, with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
 
-query("graph_lineage_downstream", with_("part_dag", """, r as (select cast(1 as bigint) as node, 0 as depth union select dst, depth+1 from r join part_dag on src=node where depth<8)
-select node, min(depth) as depth from r group by 1""", recursive=True))(lambda spark, root: G.lineage(A.part_dag(spark, root), 1, max_depth=8))
+query("graph_lineage_downstream", with_("part_dag", """, r as (select cast(1 as bigint) as node, 0 as depth union select dst, depth+1 from r join part_dag on src=node)
+select node, min(depth) as depth from r group by 1""", recursive=True))(lambda spark, root: G.lineage(A.part_dag(spark, root), 1))
+query("graph_lineage_depth", with_("part_dag", """, r as (select cast(1 as bigint) as node, 0 as depth union select dst, depth+1 from r join part_dag on src=node where depth<3)
+select node, min(depth) as depth from r group by 1""", recursive=True))(lambda spark, root: G.lineage(A.part_dag(spark, root), 1, max_depth=3))
 query("graph_lineage_upstream", with_("part_dag", """, r as (select max(p_partkey) as node, 0 as depth from part union select src, depth+1 from r join part_dag on dst=node)
 select node, min(depth) as depth from r group by 1""", recursive=True))(
     lambda spark, root: G.lineage(A.part_dag(spark, root), A.table(spark, root, "part").agg(F.max("p_partkey")).scalar(), upstream=True))

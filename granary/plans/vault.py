@@ -498,12 +498,12 @@ def bridge_customer(spark: SparkSession, root: str) -> DataFrame:
         link=link_of(spark, root, "customer_order"), link_pk="order_customer_pk", fk="customer_pk",
         eff=eff_sat_order_customer(spark, root), end="commitdate", name="link_customer_order",
     )
-    hub_table = hub_of(spark, root, "customer", 1)
+    hub_table = hub_of(spark, root, "customer")
     return dv.bridge(hub_table, "customer_pk", as_of_dates(spark, root), [step])
 
 
 query("dv_bridge_customer", with_("ro ro1", _EFF_CTE + f""", {_AS_OF},
-hc as (select distinct {_H['customer_pk']} as customer_pk, load_date from ro1),
+hc as (select {_H['customer_pk']} as customer_pk, min(load_date) as load_date from ro group by 1),
 lk as (select distinct {_H['order_customer_pk']} as pk, {_H['customer_pk']} as customer_pk from ro),
 ev as (select order_customer_pk as pk, load_date, max(commitdate) as ed from eff group by 1,2),
 ranked as (select hc.customer_pk, as_of_date, lk.pk, ev.load_date, ev.ed, row_number() over (partition by as_of_date, lk.pk order by ev.load_date desc) rn
