@@ -394,13 +394,12 @@ f2 as (select distinct {_H['order_customer_pk']} as order_customer_pk, {_H['orde
     case when commitdate=date '9999-12-31' and orderkey%2=1 then shipdate+30
          when commitdate<>date '9999-12-31' and orderkey%4=0 then date '9999-12-31' else commitdate end as commitdate,
     orderdate as effective_from, date '2001-12-31' as load_date, 'TPCH-order-2' as record_source from ro where shipdate is not null),
-lr as (select * from (select *, row_number() over (partition by order_customer_pk order by load_date desc, commitdate desc, shipdate desc, effective_from desc) rn from f1) q where rn=1),
-lo as (select * from lr where commitdate = date '9999-12-31'), lc as (select * from lr where commitdate <> date '9999-12-31'),
-ins as (
-  select {_EFF_COLS} from f2 where order_customer_pk not in (select order_customer_pk from lr)
-  union select {_EFF_COLS} from f2 where commitdate = date '9999-12-31' and order_customer_pk in (select order_customer_pk from lc)
-  union select f2.order_customer_pk, f2.order_pk, f2.customer_pk, f2.shipdate, f2.commitdate, f2.effective_from, f2.load_date, lo.record_source
-    from f2 join lo on lo.order_customer_pk=f2.order_customer_pk where f2.commitdate <> date '9999-12-31'),
+held as (select order_customer_pk as pk, arg_max(struct_pack(ends := commitdate, src := record_source),
+    struct_pack(a := load_date, b := commitdate, c := shipdate, d := effective_from)) as was from f1 group by 1),
+told as (select f2.*, was.src as src, was is null as unheard, was.ends = date '9999-12-31' as was_open, commitdate = date '9999-12-31' as is_open
+  from f2 left join held on pk = order_customer_pk),
+ins as (select distinct order_customer_pk, order_pk, customer_pk, shipdate, commitdate, effective_from, load_date,
+    case when was_open then src else record_source end as record_source from told where unheard or was_open <> is_open),
 eff as (select {_EFF_COLS} from f1 union all select {_EFF_COLS} from ins)"""
 query("dv_eff_sat", with_("ro", _EFF_CTE + f" select {_EFF_COLS} from eff"))(eff_sat_order_customer)
 

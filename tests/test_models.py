@@ -59,9 +59,9 @@ def test_session_title(spark):
 
 
 def test_grep(spark):
-    df = spark.createDataFrame([(1, "Rust:\nsafe, fast, productive.\nPick three.\nTrust me.")], "id int, body string")
-    assert [(r.line_no, r.line) for r in text.grep(df, "body", "duct").collect()] == [(2, "safe, fast, productive.")]
-    assert [r.line_no for r in text.grep(df, "body", "rUsT", ignore_case=True).collect()] == [1, 4]
+    df = spark.createDataFrame([(1, "Harvest notes\nbarley, oats and rye\nnothing milled\nnew HARVEST due")], "id int, body string")
+    assert [(r.line_no, r.line) for r in text.grep(df, "body", "oats").collect()] == [(2, "barley, oats and rye")]
+    assert [r.line_no for r in text.grep(df, "body", "hArVeSt", ignore_case=True).collect()] == [1, 4]
 
 
 def test_text_files_by_extension(spark, tmp_path):
