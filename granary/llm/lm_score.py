@@ -5,13 +5,17 @@ as often as it occurs. A bigram (a, b) scores log(c2(a, b) / c1(a)) if other doc
 log(0.4 * c1(b) / N) with the count of the whole corpus. The sum over a document falls apart into terms that need one count table each, so
 terms are computed where the table's part lies, and only sums travel back. Terms are rounded to millionths, so sums do not depend on their order.
 
-Rows between the steps are packed: one row per block or bucket pair with arrays of many n-grams. Words travel as 48-bit hashes.
+Rows between the steps are packed: one row per block or bucket pair with arrays of many n-grams. Words travel as 48-bit hashes,
+listed once a row, and cells are compressed. The number of
+buckets follows the bytes of text, so one bucket's n-grams fit in a task at every size. Frequent words would make hot buckets: they are
+counted beforehand, every task gets their counts (at most eight for each bucket), and their n-grams are dealt by the whole n-gram.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,20 @@ def _unsix(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Word hashes: the different ones, and each one's place among them, low bytes before high ones."""
+    kinds, at = np.unique(x, return_inverse=True)
+    places = at.astype("<u2" if len(kinds) <= 1 << 16 else "<u4").view(np.uint8).reshape(len(x), -1)
+    return len(kinds).to_bytes(4, "little") + _six(kinds) + np.ascontiguousarray(places.T).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    width = 2 if n <= 1 << 16 else 4
+    places = np.frombuffer(raw, np.uint8, offset=4 + 6 * n).reshape(width, -1)
+    return _unsix(raw[4:4 + 6 * n])[np.ascontiguousarray(places.T).view(f"<u{width}").ravel()]
+
+
 def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(x) >> np.uint64(33)).astype(np.int64) % buckets
 
@@ -56,9 +74,20 @@ ROW = "kind int, bucket int, a binary, b binary, c binary, d binary, e binary, f
 NAMES = ["kind", "bucket", "a", "b", "c", "d", "e", "f"]
 
 
+def _shut(rows: list[tuple]) -> list[tuple]:
+    """Rows with all columns, binary ones compressed."""
+    shut = zstandard.ZstdCompressor(level=1).compress
+    return [r[:2] + tuple(map(shut, r[2:])) + (b"",) * (8 - len(r)) for r in rows]
+
+
+def _cells(pdf, columns: str):
+    """The binary cells of some columns, row by row."""
+    opened = zstandard.ZstdDecompressor().decompress
+    return (tuple(map(opened, r)) for r in zip(*(pdf[x] for x in columns)))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    full = [r + (b"",) * (8 - len(r)) for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full), [pa.int32()] * 2 + [pa.binary()] * 6)], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_shut(rows)), [pa.int32()] * 2 + [pa.binary()] * 6)], NAMES)
 
 
 def _frequent(buckets: int):
@@ -75,6 +104,28 @@ def _frequent(buckets: int):
     return run
 
 
+def _occurrences(hot: np.ndarray):
+    """How often each frequent word occurs; the end mark once for each text with words."""
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch, 1 << 20):
+                words, counts = word_hashes(block.column("text").to_pylist())
+                words = np.maximum(words & np.uint64(_SIX), np.uint64(2))
+                at, found = _lookup(hot, words)
+                n = np.bincount(at[found], minlength=len(hot))
+                n[hot == END] = (counts > 0).sum()
+                seen = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(hot[seen].astype(np.int64)), pa.array(n[seen])], ["word", "n"])
+
+    return run
+
+
+def _lookup(sorted_words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted array that is not empty, and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_words, x), len(sorted_words) - 1)
+    return at, sorted_words[at] == x
+
+
 def _bigrams(buckets: int, hot: np.ndarray):
     """Texts -> per bucket of the context: documents, their contexts (hash, count, number of successors) and successors (hash, count).
 
@@ -82,7 +133,7 @@ def _bigrams(buckets: int, hot: np.ndarray):
     """
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, 1 << 20):
+            for block in blocks(batch, 1 << 22):
                 words, counts = word_hashes(block.column("text").to_pylist())
                 ids = np.array(block.column("uid").to_pylist(), np.int64)
                 words = np.maximum(words & np.uint64(_SIX), np.uint64(2))
@@ -105,23 +156,23 @@ def _bigrams(buckets: int, hot: np.ndarray):
                     d, w = doc[a:b], words[a:b]
                     c = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
                     t = _cuts(d[c])
-                    out.append((0, int(bucket[a]), ids[d[c][t]].astype("<i8").tobytes() + np.diff(np.append(t, len(c))).astype("<u4").tobytes(), _six(w[c]),
-                                own1[a:b][c].astype("<u4").tobytes(), np.diff(np.append(c, b - a)).astype("<u4").tobytes(), _six(after[a:b]), own2[a:b].astype("<u4").tobytes()))
+                    out.append((0, int(bucket[a]), ids[d[c][t]].astype("<i8").tobytes() + np.diff(np.append(t, len(c))).astype("<u4").tobytes(), _pack(w[c]),
+                                own1[a:b][c].astype("<u4").tobytes(), np.diff(np.append(c, b - a)).astype("<u4").tobytes(), _pack(after[a:b]), own2[a:b].astype("<u4").tobytes()))
                 if out:
                     yield _rows(out)
 
     return run
 
 
-def _send(out: list[tuple], kind: int, buckets: int, uid: np.ndarray, word: np.ndarray, weight: np.ndarray, own: np.ndarray) -> None:
-    """Requests (document, word, weight, own count), packed by the word's bucket."""
+def _send(out: list[tuple], kind: int, buckets: int, uid: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
+    """Requests (document, word, weight), packed by the word's bucket."""
     bucket = _bucket(word, buckets)
     order = np.lexsort((uid, bucket))
-    bucket, uid, word, weight, own = bucket[order], uid[order], word[order], weight[order], own[order]
+    bucket, uid, word, weight = bucket[order], uid[order], word[order], weight[order]
     for a, b in _spans(_cuts(bucket), len(bucket)):
         t = _cuts(uid[a:b])
-        out.append((kind, int(bucket[a]), uid[a:b][t].astype("<i8").tobytes() + np.diff(np.append(t, b - a)).astype("<u4").tobytes(), _six(word[a:b]),
-                    weight[a:b].astype("<i4").tobytes(), own[a:b].astype("<u4").tobytes()))
+        out.append((kind, int(bucket[a]), uid[a:b][t].astype("<i8").tobytes() + np.diff(np.append(t, b - a)).astype("<u4").tobytes(), _pack(word[a:b]),
+                    weight[a:b].astype("<u4").tobytes()))
 
 
 def _owners(raw: bytes) -> np.ndarray:
@@ -129,16 +180,19 @@ def _owners(raw: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(raw[:8 * n], "<i8"), np.frombuffer(raw[8 * n:], "<u4"))
 
 
-def _join_bigrams(buckets: int):
-    """A bucket's bigram counts, joined to its documents: terms of hits, requests for the words of misses, and the word counts."""
+def _join_bigrams(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
+    """A bucket's bigram counts, joined to its documents: terms of hits, requests for the words of misses, and the word counts.
+
+    Counts of frequent words are at hand and asked from nobody.
+    """
     def run(pdf):
         import pandas as pd
 
         bucket = int(pdf["bucket"].iloc[0])
         uid, word, own1, size, after, own2 = [], [], [], [], [], []
-        for a, b, c, d, e, f in zip(*(pdf[x] for x in "abcdef")):
-            uid.append(_owners(a)), word.append(_unsix(b)), own1.append(np.frombuffer(c, "<u4")), size.append(np.frombuffer(d, "<u4"))
-            after.append(_unsix(e)), own2.append(np.frombuffer(f, "<u4"))
+        for a, b, c, d, e, f in _cells(pdf, "abcdef"):
+            uid.append(_owners(a)), word.append(_unpack(b)), own1.append(np.frombuffer(c, "<u4")), size.append(np.frombuffer(d, "<u4"))
+            after.append(_unpack(e)), own2.append(np.frombuffer(f, "<u4"))
         uid, word, own1, size, after, own2 = (np.concatenate(x) for x in (uid, word, own1, size, after, own2))
         own2 = own2.astype(np.int64)
         at = np.repeat(np.arange(len(word)), size)
@@ -147,33 +201,38 @@ def _join_bigrams(buckets: int):
         sw, sa = w[order], after[order]
         first = np.flatnonzero(np.concatenate([[True], (sw[1:] != sw[:-1]) | (sa[1:] != sa[:-1])]))
         total = np.add.reduceat(own2[order], first)
+        del sw, sa
         c2 = np.empty(len(w), np.int64)
         c2[order] = np.repeat(total, np.diff(np.append(first, len(w))))
+        del order, first, total
         kinds, number = np.unique(w, return_inverse=True)
         c1 = np.bincount(number, weights=own2).astype(np.int64)
         others = c2 - own2
         hit = others > 0
         term = np.zeros(len(w), np.int64)
         term[hit] = own2[hit] * micro(others[hit])
-        out: list[tuple] = [(2, int(k), _six(kinds[x]), c1[x].astype("<i8").tobytes()) for k, x in _groups(_bucket(kinds, buckets))]
+        out: list[tuple] = []
         if bucket < buckets:
-            rest = c1[number] - own1[at]
-            term[hit] -= own2[hit] * micro(rest[hit])
+            out += [(2, int(k), _six(kinds[x]), c1[x].astype("<i8").tobytes()) for k, x in _groups(_bucket(kinds, buckets))]
         else:  # the context's count is spread over buckets
-            _send(out, 1, buckets, u[hit], w[hit], -own2[hit], own1[at][hit].astype(np.int64))
+            c1 = hot_counts[_lookup(hot, kinds)[0]]
+        rest = c1[number] - own1[at]
+        term[hit] -= own2[hit] * micro(rest[hit])
+        del rest, number, w
         miss = ~hit
-        _send(out, 1, buckets, u[miss], after[miss], own2[miss], np.zeros(int(miss.sum()), np.int64))
-        # The end mark is no context: its count is the number of documents that end, all of them seen as successors.
-        ends = after == END
-        if ends.any():
-            out.append((2, int(_bucket(np.array([END]), buckets)[0]), _six(np.array([END])), np.array([own2[ends].sum()], "<i8").tobytes()))
+        near, known = _lookup(hot, after)
+        known &= miss
+        term[known] = own2[known] * micro(hot_counts[near[known]])
+        ask = miss & ~known
+        _send(out, 1, buckets, u[ask], after[ask], own2[ask])
+        del near, known, ask, after
         docs, number = np.unique(u, return_inverse=True)
         sums = [np.zeros(len(docs), np.int64) for _ in range(3)]
         for s, v in zip(sums, (term, np.where(hit, own2, 0), np.where(miss, own2, 0))):
             np.add.at(s, number, v)
         for k, x in _groups(_bucket(docs.view(np.uint64), buckets)):
             out.append((3, int(k), docs[x].astype("<i8").tobytes(), *(s[x].astype("<i8").tobytes() for s in sums)))
-        return pd.DataFrame([r + (b"",) * (8 - len(r)) for r in out], columns=NAMES)
+        return pd.DataFrame(_shut(out), columns=NAMES)
 
     return run
 
@@ -192,24 +251,23 @@ def _join_words(buckets: int):
             return pdf[pdf["kind"] == kind]
 
         words, counts = [np.zeros(0, "<u8")], [np.zeros(0, np.int64)]
-        for a, b in zip(of(2)["a"], of(2)["b"]):
+        for a, b in _cells(of(2), "ab"):
             words.append(_unsix(a)), counts.append(np.frombuffer(b, "<i8"))
         kinds, number = np.unique(np.concatenate(words), return_inverse=True)
         c1 = np.bincount(number, weights=np.concatenate(counts), minlength=len(kinds)).astype(np.int64)
         uids, terms = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
-        for a, b, c, d in zip(*(of(1)[x] for x in "abcd")):
-            count = c1[np.searchsorted(kinds, _unsix(b))] - np.frombuffer(d, "<u4")
+        for a, b, c in _cells(of(1), "abc"):
             owner = _owners(a)
-            term = np.frombuffer(c, "<i4") * micro(count)
+            term = np.frombuffer(c, "<u4").astype(np.int64) * micro(c1[np.searchsorted(kinds, _unpack(b))])
             t = _cuts(owner)
             uids.append(owner[t]), terms.append(np.stack([np.add.reduceat(term, t), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)], 1))
-        for a, b, c, d in zip(*(of(3)[x] for x in "abcd")):
+        for a, b, c, d in _cells(of(3), "abcd"):
             uids.append(np.frombuffer(a, "<i8")), terms.append(np.stack([np.frombuffer(x, "<i8") for x in (b, c, d)], 1))
         docs, number = np.unique(np.concatenate(uids), return_inverse=True)
         sums = np.zeros((len(docs), 3), np.int64)
         np.add.at(sums, number, np.concatenate(terms))
         out = [(4, int(k), docs[x].tobytes(), np.ascontiguousarray(sums[x]).tobytes()) for k, x in _groups(_bucket(docs.view(np.uint64), buckets))]
-        return pd.DataFrame([r + (b"",) * (8 - len(r)) for r in out], columns=NAMES)
+        return pd.DataFrame(_shut(out), columns=NAMES)
 
     return run
 
@@ -217,30 +275,35 @@ def _join_words(buckets: int):
 def _total(pdf):
     import pandas as pd
 
-    docs, number = np.unique(np.concatenate([np.frombuffer(a, "<i8") for a in pdf["a"]]), return_inverse=True)
+    cells = list(_cells(pdf, "ab"))
+    docs, number = np.unique(np.concatenate([np.frombuffer(a, "<i8") for a, _ in cells]), return_inverse=True)
     sums = np.zeros((len(docs), 3), np.int64)
-    np.add.at(sums, number, np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 3) for b in pdf["b"]]))
+    np.add.at(sums, number, np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 3) for _, b in cells]))
     return pd.DataFrame({"uid": docs, "micros": sums[:, 0], "hits": sums[:, 1], "misses": sums[:, 2]})
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_words, n_known (bigrams that other documents hold), log_score: the mean stupid-backoff score per word in millionths of a nat.
 
-    Words are lower-cased (A-Z) runs without white space. Contexts that are frequent in some block are dealt out by whole bigrams, all others by the context;
-    which are frequent only steers the routing. A null text or one without words has n_words 0 and a null log_score. Rows with one doc_id and equal
+    Words are lower-cased (A-Z) runs without white space. `bucket_bytes` is the text whose n-grams meet in one bucket: a task needs some 20 times as much
+    memory. Contexts that are frequent in some block are dealt out by whole bigrams, all others by the context; which are frequent only steers the routing. A null text or one without words has n_words 0 and a null log_score. Rows with one doc_id and equal
     texts are one document in leaving out its own counts, and get equal results; extra columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("uid"))
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(spark), -(-size // bucket_bytes))
     often = plain.select("text").mapInArrow(_frequent(buckets), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = often.orderBy(F.desc("n")).limit(4 * buckets + 1).collect()  # a bounded list of words
+    top = often.orderBy(F.desc("n")).limit(8 * buckets + 1).collect()  # no more words can be as frequent as that
     every = max((r.n for r in top if r.word == 0), default=0)
-    hot = np.array(sorted(r.word for r in top if r.word and r.n * 8 * buckets >= every), np.uint64)
+    hot = np.array(sorted({int(END)} | {max(2, r.word) for r in top if r.word and r.n * 8 * buckets >= every}), np.uint64)
+    found = plain.select("text").mapInArrow(_occurrences(hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = {r.word: r.n for r in found}
+    hot_counts = np.array([counted.get(int(w), 0) for w in hot], np.int64)
 
     packed = plain.select("uid", "text").mapInArrow(_bigrams(buckets, hot), ROW)
-    joined = packed.groupBy("bucket").applyInPandas(_join_bigrams(buckets), ROW)
+    joined = packed.groupBy("bucket").applyInPandas(_join_bigrams(buckets, hot, hot_counts), ROW)
     words = joined.groupBy("bucket").applyInPandas(_join_words(buckets), ROW)
     sums = materialise(words.groupBy("bucket").applyInPandas(_total, "uid long, micros long, hits long, misses long"), "lm-sums")
     bigrams = sums.agg(F.coalesce(F.sum(F.col("hits") + F.col("misses")), F.lit(0))).first()[0]
