@@ -69,9 +69,8 @@ open_ended("scd2_int_key_incremental", with_("visits", DIM_USERS + _RANK.format(
 def backfilled(spark: SparkSession, root: str) -> DataFrame:
     """The dimension loaded week by week, each run on the state of the one before."""
     v = visits(spark, root, False)
-    edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
-    ts = F.col("access_timestamp")
-    parts = [v.where((ts >= _at(a)) & (ts < _at(b))) for a, b in zip(edges, edges[1:])]
+    ts, first, second = F.col("access_timestamp"), _at("2024-01-11"), _at("2024-01-21")
+    parts = [v.where(ts < first), v.where((ts >= first) & (ts < second)), v.where(ts >= second)]
 
     def step(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         return scd.scd2_merge(state, scd.scd2(batch, "visitor_id", ATTRS, "access_timestamp", state=state))

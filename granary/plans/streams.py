@@ -15,12 +15,14 @@ from granary.plans.webstats import stg_events
 from granary.sources.tables import new_path, table
 from granary.streaming import jobs
 
-EDGES = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01"]
+# Days at which an arrival ends and the next one starts.
+EDGES = ["2024-01-11", "2024-01-21"]
 
 
 def _periods(df: DataFrame, ts: str) -> list[DataFrame]:
-    at = lambda d: F.lit(d).cast("timestamp_ntz")
-    return [df.where((F.col(ts) >= at(a)) & (F.col(ts) < at(b))) for a, b in zip(EDGES, EDGES[1:])]
+    """Arrivals that hold all rows: the first is open below, the last open above. Rows without a time arrive first."""
+    passed = sum((F.coalesce(F.col(ts) >= F.lit(d).cast("timestamp_ntz"), F.lit(False)).cast("int") for d in EDGES), F.lit(0))
+    return [df.where(passed == i) for i in range(len(EDGES) + 1)]
 
 
 def stream_scd2(spark: SparkSession, root: str) -> DataFrame:

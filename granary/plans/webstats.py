@@ -229,23 +229,24 @@ query("ga4_fct_access", with_("ga4", DAILY_SQL + f""" select user_key, country_k
 
 # --- snapshots ------------------------------------------------------------------------
 
-RUNS = ("2024-01-10", "2024-01-20", "2024-01-31")
+# The days before which a run reads; the last run reads to the end of the data.
+RUNS = ("2024-01-10", "2024-01-20", None)
 
 
-def user_feed(spark: SparkSession, root: str, after: str | None, upto: str) -> DataFrame:
+def user_feed(spark: SparkSession, root: str, after: str | None, upto: str | None) -> DataFrame:
     """One row per user: the last attribute set in [after, upto)."""
     f = _between(_flat(spark, root), after, upto).select(*USER, "event_timestamp")
     last = latest_per_key(f, ["user_id", "created_at"], [F.col("event_timestamp")]).withColumnRenamed("event_timestamp", "updated_at")
     return _stamp(last, ["user_id", "created_at"], "user_key")
 
 
-def country_feed(spark: SparkSession, root: str, after: str | None, upto: str) -> DataFrame:
+def country_feed(spark: SparkSession, root: str, after: str | None, upto: str | None) -> DataFrame:
     f = _between(_flat(spark, root), after, upto)
     return _stamp(f.groupBy(*PLACE).agg(F.max("event_timestamp").alias("updated_at")), PLACE, "country_key")
 
 
-def _between(df: DataFrame, after: str | None, upto: str) -> DataFrame:
-    df = df.where(F.col("date") < F.to_date(F.lit(upto)))
+def _between(df: DataFrame, after: str | None, upto: str | None) -> DataFrame:
+    df = df if upto is None else df.where(F.col("date") < F.to_date(F.lit(upto)))
     return df if after is None else df.where(F.col("date") >= F.to_date(F.lit(after)))
 
 
@@ -280,8 +281,8 @@ def snap_users(spark: SparkSession, root: str) -> DataFrame:
 def _snap_country_sql() -> str:
     parts = []
     for i, upto in enumerate(RUNS):
-        low = f"and date >= date '{RUNS[i - 1]}'" if i else ""
-        parts.append(f"select {i} as run, {', '.join(PLACE)}, max(event_timestamp) as updated_at from thin where date < date '{upto}' {low} group by all")
+        span = " and ".join(([f"date >= date '{RUNS[i - 1]}'"] if i else []) + ([f"date < date '{upto}'"] if upto else []))
+        parts.append(f"select {i} as run, {', '.join(PLACE)}, max(event_timestamp) as updated_at from thin where {span} group by all")
     return _THIN + f""", fd as ({' union all '.join(parts)}),
 sc as (select {surrogate(*PLACE)} as country_key, * exclude (run, rn) from (select *, row_number() over (partition by {surrogate(*PLACE)} order by run) as rn from fd) q where rn=1),
 snapc as (select *, updated_at as valid_from, cast(null as timestamp) as valid_to from sc)"""
@@ -294,9 +295,9 @@ def _snap_user_sql() -> str:
     attrs = [c for c in USER if c not in ("user_id", "created_at")]
     parts = []
     for i, upto in enumerate(RUNS):
-        low = f"and date >= date '{RUNS[i - 1]}'" if i else ""
+        span = " and ".join(([f"date >= date '{RUNS[i - 1]}'"] if i else []) + ([f"date < date '{upto}'"] if upto else []))
         parts.append(f"""select {i} as run, * from (select {', '.join(USER)}, event_timestamp as updated_at,
-          row_number() over (partition by user_id, created_at order by event_timestamp desc) as rn from thin where date < date '{upto}' {low}) q where rn=1""")
+          row_number() over (partition by user_id, created_at order by event_timestamp desc) as rn from thin where {span}) q where rn=1""")
     key = surrogate("user_id", _ts("created_at"))
     prev = " || '|' || ".join(f"coalesce({a},'~')" for a in attrs)
     return f""", uf as ({' union all '.join(parts)}),
