@@ -78,11 +78,12 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType | str, **opti
 def read_dirty_csv(spark: SparkSession, path: str, schema: str, stray: str = ";") -> DataFrame:
     """CSV whose lines carry a stray character: strip it, then parse.
 
-    The parse is an expression on a text scan, so there is one pass over the file.
+    The parse is an expression on a text scan, so there is one pass over the file. A line that does not fit the schema
+    even without the stray character fails the read, as in `read_seed`.
     """
     lines = spark.read.text(path)
     clean = F.regexp_replace("value", f"[{stray}]", "")
-    row = F.from_csv(clean, F.lit(schema), {"mode": "PERMISSIVE"})
+    row = F.from_csv(clean, F.lit(schema), {"mode": "FAILFAST"})
     header = T.StructType.fromDDL(schema).fieldNames()
     return (
         lines.where(~clean.startswith(",".join(header)))

@@ -224,6 +224,13 @@ def test_dirty_csv(spark, tmp_path):
     assert rows(read_dirty_csv(spark, str(tmp_path / "x.csv"), "a int, b string")) == [(1, "x"), (2, "y")]
 
 
+def test_dirty_csv_bad_line_fails(spark):
+    path = new_path(spark, "dirty-bad")
+    spark.createDataFrame([("id,name",), ("1,a;",), ("x;,b",)], "value string").write.text(path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_dirty_csv(spark, path, "id int, name string").collect()
+
+
 def test_date_spine(spark):
     assert date_spine(spark, "1992-01-08", "1992-01-11", inclusive=False).count() == 3
     assert date_spine(spark, "2010-01-01", "2020-12-31").count() == 4018
