@@ -174,7 +174,8 @@ def shortest_paths(edges: DataFrame, root) -> DataFrame:
     """(node, distance, negative_cycle): weighted distance from `root`, null when unreachable.
 
     Only nodes whose distance improved last round are extended. When distances still
-    improve after as many rounds as there are nodes, a negative cycle can be reached.
+    improve after as many rounds as there are nodes, a negative cycle can be reached:
+    the nodes it reaches have no distance and are flagged, the others keep theirs.
     """
     edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     every = cut_lineage(vertices(edges))
@@ -189,8 +190,17 @@ def shortest_paths(edges: DataFrame, root) -> DataFrame:
             break
         dist = cut_lineage(dist.join(moved, "node", "left_anti").unionByName(moved))
         rounds += 1
-    looped = F.lit(rounds > limit)
-    return every.join(dist, "node", "left").select("node", "distance", looped.alias("negative_cycle"))
+    if rounds <= limit:
+        return every.join(dist, "node", "left").select("node", "distance", F.lit(False).alias("negative_cycle"))
+    # What still improves lies on or behind a negative cycle, and each cycle has such a node: follow the edges from there.
+    spoiled = fresh = moved.select("node")
+    while not fresh.isEmpty():
+        ahead = fresh.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        fresh = cut_lineage(ahead.join(spoiled, "node", "left_anti"))
+        spoiled = cut_lineage(spoiled.unionByName(fresh))
+    marked = every.join(dist, "node", "left").join(spoiled.withColumn("__looped", F.lit(True)), "node", "left")
+    looped = F.coalesce("__looped", F.lit(False))
+    return marked.select("node", F.when(~looped, F.col("distance")).alias("distance"), looped.alias("negative_cycle"))
 
 
 def tree_stats(edges: DataFrame, root) -> DataFrame:

@@ -74,7 +74,14 @@ def test_shortest_paths(spark):
     e = edges(spark, "0 1 3,0 2 5,1 3 12,1 2 4,2 3 9,2 4 4,3 5 2,4 3 7,4 5 8", "src long, dst long, weight long")
     assert as_map(G.shortest_paths(e, 0), "node", "distance") == {0: 0, 1: 3, 2: 5, 3: 14, 4: 9, 5: 16}
     loop = edges(spark, "0 1 1,1 2 -3,2 1 1", "src long, dst long, weight long")
-    assert G.shortest_paths(loop, 0).first().negative_cycle is True
+    assert as_map(G.shortest_paths(loop, 0), "node", "negative_cycle") == {0: False, 1: True, 2: True}
+
+
+def test_negative_cycle_spoils_only_what_it_reaches(spark):
+    e = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (3, 4, 1), (4, 3, -2), (4, 5, 7)], "src long, dst long, weight long")
+    found = G.shortest_paths(e, 1)
+    assert as_map(found, "node", "distance") == {1: 0, 2: 1, 3: None, 4: None, 5: None}
+    assert as_map(found, "node", "negative_cycle") == {1: False, 2: False, 3: True, 4: True, 5: True}
 
 
 def test_spanning_tree(spark):
