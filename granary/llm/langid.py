@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granary.llm.tokens import blocks
+from granary.sources.tables import materialise
 
 ORDER = 4
 WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
+PERCENTILES, TAIL = (0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999), 1
 _PRIME, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,10 +79,12 @@ class Model:
         return sums
 
 
-def kneser_ney(counts: dict[str, int]) -> Model:
+def kneser_ney(counts: dict[str, int], alphabet: int | None = None) -> Model:
     """Interpolated Kneser-Ney from raw counts of all n-grams up to ORDER of blank-padded words.
 
     Below the highest order an n-gram counts the characters seen before it; one that begins a word keeps its raw count.
+    `alphabet` is the number of characters there are, the unknown one among them (default: the counted ones and one more). Models that are
+    compared must share it, or the one that has seen least finds foreign characters likeliest.
     """
     adjusted: list[dict[str, float]] = [{} for _ in range(ORDER + 1)]
     for g, c in counts.items():
@@ -91,8 +95,7 @@ def kneser_ney(counts: dict[str, int]) -> Model:
             adjusted[n - 1][g[1:]] = adjusted[n - 1].get(g[1:], 0) + 1
         elif n == 2:  # the blank that ends a word
             adjusted[1][" "] = adjusted[1].get(" ", 0) + 1
-    alphabet = len(adjusted[1]) + 1
-    floor = 1.0 / alphabet
+    floor = 1.0 / (alphabet or len(adjusted[1]) + 1)
     probability: dict[str, float] = {"": floor}
     backoff: dict[str, float] = {}
     for n in range(1, ORDER + 1):
@@ -187,20 +190,26 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
           key: str = "doc_id") -> Identifier:
     """Fit on a bounded sample of the labelled rows: about `sample` documents per language (all, if fewer), whole texts.
 
-    A row is in the sample if a hash of its key falls below sample / rows of its language, so no language passes through one task. Three quarters of the
-    sample make the n-gram counts (the `most_grams` most frequent n-grams per language are kept), one quarter calibrates the rejection: a text
-    is rejected if its cross-entropy exceeds the 99.9th percentile of its language by more than that exceeds the median, and by at least `margin`
-    nats a character (a small sample says little about the tail).
-    Rows with a null text or language teach nothing.
+    A row is in the sample if a hash of its key (of its text, if it has no key) falls below sample / rows of its language, so no language passes through
+    one task. Three quarters of the sample make the n-gram counts (the `most_grams` most frequent n-grams per language are kept), one quarter calibrates
+    the rejection: a text is rejected if its cross-entropy exceeds a high percentile of its language by more than that exceeds the median, and by at
+    least `margin` nats a character. It is the highest of PERCENTILES with TAIL calibration rows above it. A language whose rows don't support
+    the last one takes the limit of all languages' rows together, if that is looser; if these are too few as well, the cross-entropy of a guess among
+    all characters.
+    A language whose sample falls into the calibration quarter alone learns from it instead. Rows without letters or with a null language teach nothing,
+    and a label that only such rows have gets no model.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 32)).alias("h"))
-    rows = rows.where("text is not null and lang is not null")
+    own = F.when(F.col(key).isNotNull(), F.xxhash64(F.lit("langid"), F.col(key))).otherwise(F.xxhash64(F.lit("langid"), F.col(text)))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(own, F.lit(1 << 32)).alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     found = dict(rows.groupBy("lang").count().collect())  # one row per language
     if not found:
         return Identifier([], [], np.zeros(0))
     part = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(found.items()) for x in (k, float(sample) / n)]), F.col("lang"))
-    picked = rows.where(F.col("h") < part * float(1 << 32)).withColumn("fit", F.xxhash64("h") % 4 != 0)
+    picked = materialise(rows.where(F.col("h") < part * float(1 << 32)).select("text", "lang", (F.xxhash64("h") % 4 != 0).alias("fit")), "langid-sample")
+    taught = {r.lang for r in picked.where("fit").select("lang").distinct().collect()}
+    picked = picked.withColumn("fit", F.col("fit") | ~F.col("lang").isin(*taught))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w")
     words = picked.where("fit").select("lang", word).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
@@ -210,13 +219,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         return F.when(F.length("w") + 2 >= n, cut).otherwise(F.array().cast("array<string>"))
 
     grams = F.flatten(F.array(*[of_length(n) for n in range(1, ORDER + 1)]))
-    counted = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    languages, models = sorted(found), []
-    for code in languages:
+    counted = materialise(words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n")), "langid-grams")
+    alphabet = counted.where(F.length("g") == 1).select("g").distinct().count() + 1
+    languages, models = [], []
+    for code in sorted(found):
         best = counted.where(F.col("lang") == code).orderBy(F.desc("n"), "g").limit(most_grams).select("g", "n").toPandas()
-        counts = dict(zip(best["g"], best["n"].tolist()))
-        models.append(kneser_ney(counts or {"a": 1}))
-    identifier = Identifier(languages, models, np.full(len(languages), np.inf))
+        if len(best):
+            languages.append(code)
+            models.append(kneser_ney(dict(zip(best["g"], best["n"].tolist())), alphabet))
+    identifier = Identifier(languages, models, np.full(len(languages), np.log(alphabet)))
     shared = spark.sparkContext.broadcast(models)  # at most most_grams entries a language
 
     def entropies(batches):
@@ -227,9 +238,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
                 own = [languages.index(v) for v in block.column("lang").to_pylist()]
                 yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(scores[np.arange(len(own)), own]), pa.array(scores[:, -1])], ["lang", "h", "n"])
 
-    held = picked.where("not fit").select("text", "lang").mapInArrow(entropies, "lang string, h double, n double").where("n > 0")
-    for code, (half, far) in held.groupBy("lang").agg(F.percentile_approx("h", [0.5, 0.999], 10000)).collect():
-        identifier.limits[languages.index(code)] = far + max(margin, far - half)
+    held = picked.where(~F.col("fit") & F.col("lang").isin(*languages)).select("text", "lang")
+    held = materialise(held.mapInArrow(entropies, "lang string, h double, n double").where("n > 0"), "langid-held")
+
+    def limits(rows: DataFrame, *by: str) -> dict:
+        """Per group: the limit and whether the last percentile is supported."""
+        found = rows.groupBy(*by).agg(F.percentile_approx("h", [0.5, *PERCENTILES], 10000).alias("h"), F.count(F.lit(1)).alias("rows")).collect()
+        ranks = [(r, sum(r.rows * (1 - p) >= TAIL - 1e-6 for p in PERCENTILES)) for r in found]
+        return {r[0]: (r.h[k] + max(margin, r.h[k] - r.h[0]), k == len(PERCENTILES)) for r, k in ranks if k}
+
+    pooled = limits(held, F.lit(None).alias("lang")).get(None, (np.log(alphabet), False))[0]
+    identifier.limits[:] = pooled
+    for code, (limit, supported) in limits(held, "lang").items():
+        identifier.limits[languages.index(code)] = limit if supported else max(limit, pooled)
     return identifier
 
 

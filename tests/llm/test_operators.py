@@ -181,6 +181,25 @@ def test_language_id_empty(spark, none):
     assert langid.predict(none, model).count() == 0
 
 
+@pytest.mark.parametrize("first", range(8))  # about one key in four falls into the calibration quarter
+def test_language_id_with_small_languages(spark, first):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(LANGS[code]) for _ in range(rng.randint(3, 60))), code, None, 0) for i in range(200) for code in [rng.choice(["aa", "bb"])]]
+    rows += [(1000 + first, "aku po", "one", None, 0), (2000, "12 34", "zxx", None, 0), (2001, "--", "zxx", None, 0), (None, "el casa", "cc", None, 0)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == ["aa", "bb", "cc", "one"] and np.isfinite(model.limits).all()
+    # A character that no model has seen costs alike in all: a small alphabet doesn't draw foreign texts.
+    texts = [(0, "aku po aku"), (1, "the house and"), (2, "xxxx жжжж"), (3, "der und haus"), (4, "el casa"), (5, "жжж щщщ ююю")]
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[0] == ("one", False) and got[1] == ("aa", False) and got[3] == ("bb", False) and got[4] == ("cc", False)
+    assert got[2][1] and got[5][1]
+
+
+def test_language_id_of_letterless_labels(spark):
+    model = langid.train(spark.createDataFrame([(1, "12 34", "zxx", None, 0), (2, None, "aa", None, 0)], SCHEMA))
+    assert model.languages == []
+
+
 # --- sharding
 
 
