@@ -193,9 +193,15 @@ def _latest_visits(spark: SparkSession, root: str, upto: str) -> DataFrame:
     return v.withColumn("hash_value", surrogate_key(v, ATTRS)).drop("visit_id", "access_timestamp")
 
 
+def _snap_days(spark: SparkSession, root: str) -> list[str]:
+    """The set runs, and one at the midnight after the last visit if that is later: no visit is left out."""
+    end = visits(spark, root, False).agg(F.date_format(F.date_add(F.to_date(F.max("access_timestamp")), 1), "yyyy-MM-dd")).first()[0]
+    return [*SNAP_DAYS, *([end] if end and end > SNAP_DAYS[-1] else [])]
+
+
 def snap_check(spark: SparkSession, root: str) -> DataFrame:
     state = None
-    for day in SNAP_DAYS:
+    for day in _snap_days(spark, root):
         # Each run is a job of its own that leaves a stored table.
         state = cut_lineage(scd.snapshot(_latest_visits(spark, root, day), "visitor_id", ["hash_value"], f"{day} 00:00:00", state=state))
     return state

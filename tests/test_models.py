@@ -9,7 +9,7 @@ from granary.functions.values import first_failure, param
 from granary.operators import quality, scd, text
 from granary.operators import vault as dv
 from granary.operators.joins import asof_join, null_safe_join
-from granary.plans import shop
+from granary.plans import games, modelling, shop
 from granary.plans.aggregates import array_avg, words
 from granary.plans.predicates import find_value, lookup, on_day, search
 from granary.plans.scalars import sum_numbers
@@ -249,3 +249,19 @@ def test_checks(spark):
         quality.schema_contract(df, "k bigint, v string")
     broken = spark.createDataFrame([("u", T(1), T(3), False), ("u", T(2), T(9), False)], "k string, valid_from timestamp_ntz, valid_to timestamp_ntz, is_current boolean")
     assert {r.problem for r in quality.scd2_integrity(broken, "k").collect()} == {"overlap", "current"}
+
+
+def test_snap_check_reaches_every_visit(spark, root, monkeypatch):
+    """All visits lie after the last set run."""
+    real = modelling.visits
+    monkeypatch.setattr(modelling, "visits", lambda *a: real(*a).withColumn("access_timestamp", F.col("access_timestamp") + F.expr("interval 60 days")))
+    got = modelling.snap_check(spark, root)
+    assert got.select("visitor_id").distinct().count() == real(spark, root, False).select("visitor_id").distinct().count()
+
+
+def test_meal_time_counts_every_year(spark, root, monkeypatch):
+    real = games.clocked
+    monkeypatch.setattr(games, "clocked", lambda *a: real(*a).withColumn("year_value", F.col("year_value") + 20))
+    for row in games.anl_meal_time(spark, root).collect():
+        counts = row.asDict()
+        assert sum(n for c, n in counts.items() if c.startswith("games_")) == counts["total_games"]
