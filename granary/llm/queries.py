@@ -1,4 +1,4 @@
-"""The queries op1 to op10 with production parameters, and their check SQL."""
+"""The queries op1 to op13 with production parameters, and their check SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import fingerprint, jaccard_join, langid, lm_score, mixing, packing, sharding, suffix_dedup, token_files, topk
+from granary.llm import alignment, fingerprint, jaccard_join, langid, lm_score, mixing, packing, sharding, suffix_dedup, token_files, topk
 from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
@@ -148,3 +148,8 @@ from documents d left join sums using (doc_id)
 @query("op7_lm_score", OP7)
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return lm_score.score(documents(spark, root))
+
+
+@query("op11_align_tokenizers")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.align(documents(spark, root), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
