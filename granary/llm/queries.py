@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import alignment, fingerprint, jaccard_join, langid, lm_score, mixing, packing, sharding, suffix_dedup, token_files, topk
+from granary.llm import alignment, fingerprint, jaccard_join, langid, lm_score, mixing, packing, search, sharding, suffix_dedup, token_files, topk
 from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
@@ -153,3 +153,30 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 @query("op11_align_tokenizers")
 def op11(spark: SparkSession, root: str) -> DataFrame:
     return alignment.align(documents(spark, root), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP12 = r"""
+with terms as (
+  select rowid as row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from (select row_number() over () as rowid, doc_id, text from documents)),
+tfs as (select row, doc_id, t, count(*)::bigint as tf from terms group by all),
+sizes as (select row, sum(tf)::bigint as n from tfs group by row),
+corpus as (select count(*)::bigint as nn, sum(n)::bigint as ll from sizes),
+weights as (select t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tfs, corpus group by t, nn),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from benchmark),
+scored as (
+  select item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll)))))::bigint as score
+  from asked join weights using (t) join tfs using (t) join sizes using (row), corpus group by item_id, row, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10
+"""
+
+
+@query("op12_ranked_search", OP12)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    index = search.build(documents(spark, root))
+    return search.search(index, spark.read.parquet(f"{root}/benchmark.parquet"), k=10)
