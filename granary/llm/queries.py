@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import alignment, fingerprint, jaccard_join, langid, lm_score, mixing, packing, search, sharding, suffix_dedup, token_files, topk
+from granary.llm import alignment, fingerprint, jaccard_join, langid, lm_score, mixing, packing, search, sharding, suffix_dedup, token_files, topk, toxicity
 from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
@@ -180,3 +180,13 @@ from scored where score > 0 qualify rank <= 10
 def op12(spark: SparkSession, root: str) -> DataFrame:
     index = search.build(documents(spark, root))
     return search.search(index, spark.read.parquet(f"{root}/benchmark.parquet"), k=10)
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    """Learns labels of the documents that are not held out; a prediction sees the text alone."""
+    docs = documents(spark, root).select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"))
+    labels = spark.read.parquet(f"{root}/labels.parquet").select("doc_id", "toxic")
+    keys = docs.where("not held_out").select("doc_id", toxicity.text_key().alias("key"))
+    model = toxicity.train(docs, keys.join(labels, "doc_id").select("key", "toxic"))
+    return toxicity.predict(docs, model).select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", "predicted")

@@ -538,7 +538,7 @@ def test_sketches_merge_and_estimate(spark):
 
 
 def test_queries_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 13)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
