@@ -60,7 +60,7 @@ class PairOfTokenizers:
         self.length_a = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length_a[i] = len(token)  # one letter a byte
-        self.bytes_a = {i: bytes(map(letters.get, token)) for token, i in vocabulary.items() if all(c in letters for c in token)}
+        self.bytes_a = {i: bytes(letters.get(c, 0) for c in token) for token, i in vocabulary.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE(p)) else p.replace("▁", " ").encode() for p in pieces]
@@ -69,20 +69,38 @@ class PairOfTokenizers:
         # Units are independent only if no piece holds a blank after another sign.
         self.separable = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for each unit (each starts with a blank, which B adds by itself)."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self.b.encode([u[1:] for u in units], num_threads=1)
-        return ids_a, [ids or ([self.blank] if u == " " else []) for u, ids in zip(units, ids_b)]
+    def _ids_a(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A for all units, and how many each has. A sign and then one blank before a sign always is a cut, so such units go in one text."""
+        if all(len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in units):
+            ids = np.array(self.a.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.int64)
+            ends, wanted = np.cumsum(self.length_a[ids]), np.cumsum(sizes)
+            upto = np.searchsorted(ends, wanted, "right")
+            if (ends[np.maximum(upto, 1) - 1] == wanted).all():
+                return ids, np.diff(upto, prepend=0)
+        found = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int64), np.array(list(map(len, found)), np.int64)
+
+    def _ids_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of B for all units; each starts with a blank, which B adds by itself."""
+        found = [ids or ([self.blank] if u == " " else []) for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1))]
+        return np.array([i for ids in found for i in ids], np.int64), np.array(list(map(len, found)), np.int64)
 
     def align(self, units: list[str]) -> Aligned:
-        ids_a, ids_b = self.encode(units)
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
-        good = [b"".join(map(self.bytes_a.get, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, r in zip(ids_a, ids_b, raw)]
-        kept_a = np.array([i for ids, ok in zip(ids_a, good) if ok for i in ids], np.int64)
-        kept_b = np.array([i for ids, ok in zip(ids_b, good) if ok for i in ids], np.int64)
-        size = np.array([len(r) if ok else 0 for r, ok in zip(raw, good)], np.int64)
-        return Aligned(np.array(good, bool), kept_a, np.cumsum(self.length_a[kept_a]), kept_b, np.cumsum(self.length_b[kept_b]), np.cumsum(size))
+        sizes = np.array(list(map(len, raw)), np.int64)
+        (a, many_a), (b, many_b) = self._ids_a(units, sizes), self._ids_b(units)
+        ends_a, ends_b, whole = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), b"".join(raw)
+        at_a, at_b, ends = np.cumsum(many_a), np.cumsum(many_b), np.cumsum(sizes)
+        same = [b"".join(map(table.__getitem__, ids.tolist())) == whole and (np.append(0, cuts)[at] == ends).all()
+                for table, ids, cuts, at in ((self.bytes_a, a, ends_a, at_a), (self.bytes_b, b, ends_b, at_b))]
+        good = np.full(len(units), all(same))
+        if not all(same):  # some unit is not rebuilt: find out which, and take the ids of the others
+            parts_a, parts_b = np.split(a, at_a[:-1]), np.split(b, at_b[:-1])
+            for i, r in enumerate(raw):
+                good[i] = b"".join(map(self.bytes_a.__getitem__, parts_a[i].tolist())) == r == b"".join(map(self.bytes_b.__getitem__, parts_b[i].tolist()))
+            a, b = a[np.repeat(good, many_a)], b[np.repeat(good, many_b)]
+            ends_a, ends_b, ends = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), np.cumsum(sizes * good)
+        return Aligned(good, a, ends_a, b, ends_b, ends)
 
 
 class Aligned:
@@ -115,9 +133,9 @@ class Aligned:
         sums = np.concatenate([[0], np.cumsum(values)])[ends]
         return np.diff(sums, prepend=0)
 
-    def pair_sets(self) -> list[list[int]]:
+    def pair_sets(self) -> list[set[int]]:
         pairs, ends = self.pairs.tolist(), self.pair_ends.tolist()
-        return [list(set(pairs[s:e])) for s, e in zip([0, *ends], ends)]
+        return [set(pairs[s:e]) for s, e in zip([0, *ends], ends)]
 
     def texts(self) -> list[str]:
         """`a1,a2|b1;a3|b2` per unit."""
@@ -131,7 +149,7 @@ class Aligned:
 class Units:
     """Units already seen by a task, by number; `most` bounds how many characters of them are remembered."""
 
-    def __init__(self, tokenizers: PairOfTokenizers, keep, most: int = 1 << 20):
+    def __init__(self, tokenizers: PairOfTokenizers, keep, most: int = 1 << 22):
         self.tokenizers, self.keep, self.most, self.held, self.number = tokenizers, keep, most, 0, {}
 
     def cut(self, text: str | None) -> list[str]:
@@ -157,8 +175,11 @@ class Units:
 
     def _learn(self, missing: list[str]) -> None:
         self.held += sum(map(len, missing))
-        for i in range(0, len(missing), 8192):
-            units = missing[i:i + 8192]
+        missing.sort(key=lambda u: u[1:2].isspace() or u[-1].isspace())  # those that can be joined come first
+        edge = sum(not (u[1:2].isspace() or u[-1].isspace()) for u in missing)
+        cuts = [*range(0, edge, 8192), *range(edge, len(missing), 8192), len(missing)]
+        for i, j in zip(cuts, cuts[1:]):
+            units = missing[i:j]
             aligned = self.tokenizers.align(units)
             first = self.keep.add(aligned)
             self.number.update((u, first + j if ok else -1) for j, (u, ok) in enumerate(zip(units, aligned.good.tolist())))
@@ -168,13 +189,15 @@ class _PairSets:
     """Pass 1 keeps each unit's distinct pairs."""
 
     def __init__(self):
-        self.sets = []
+        self.sets, self.same = [], {}
 
     def clear(self):
         self.sets.clear()
+        self.same.clear()
 
     def add(self, aligned: Aligned) -> int:
-        self.sets += aligned.pair_sets()
+        one = self.same.setdefault  # a pair is one object however many units hold it
+        self.sets += [tuple([one(p, p) for p in pairs]) for pairs in aligned.pair_sets()]
         return len(self.sets) - aligned.n
 
 

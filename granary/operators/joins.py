@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.ordered import keyed_fold
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other."""
@@ -18,36 +20,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def asof_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ts: str, valid_from: str, valid_to: str,
-              columns: Sequence[str], how: str = "left", closed: bool = True, bucket: str = "month") -> DataFrame:
+              columns: Sequence[str], how: str = "left", closed: bool = True) -> DataFrame:
     """Attach to each fact the dimension version whose validity holds its timestamp.
 
-    A version is repeated once per `bucket` it covers inside the span of the facts, and
-    the join is an equi-join on (key, bucket) with the exact range as a residual test.
-    So the versions of one key, however many, spread over many tasks, and each fact is
-    compared with the versions of its own bucket only. `closed` keeps BETWEEN semantics;
-    otherwise the end is exclusive.
+    Facts and versions are sorted together by (key, time) into range partitions, and the
+    last version started is carried forward over the facts, also across partition edges.
+    So nothing is copied, the facts are read once, and a key may have any share of either
+    side. Versions of one key must not overlap, which `scd2_integrity` checks. `closed`
+    keeps BETWEEN semantics; otherwise the end is exclusive. A null key or time finds nothing.
     """
-    span = fact.agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    # Two scalar subqueries: evaluated once, before the dimension is spread.
-    lo = F.date_trunc(bucket, span.select("__lo").scalar())
-    hi = F.date_trunc(bucket, span.select("__hi").scalar())
-    start = F.greatest(F.date_trunc(bucket, F.col("__from")), lo)
-    stop = F.least(F.date_trunc(bucket, F.col("__to")), hi)
-    step = F.expr(f"interval 1 {bucket}")
-    spread = (
-        dim.select(F.col(dim_key).alias("__key"), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), *columns)
-        .withColumn("__start", start.cast("timestamp_ntz")).withColumn("__stop", stop.cast("timestamp_ntz"))
-        .where(F.col("__start") <= F.col("__stop"))
-        .withColumn("__slot", F.explode(F.sequence("__start", "__stop", step)))
-        .drop("__start", "__stop")
-    )
-    slotted = fact.withColumn("__mine", F.date_trunc(bucket, F.col(ts)).cast("timestamp_ntz"))
-    upper = F.col(ts) <= F.col("__to") if closed else F.col(ts) < F.col("__to")
-    test = (
-        (F.col(fact_key) == F.col("__key")) & (F.col("__mine") == F.col("__slot"))
-        & (F.col(ts) >= F.col("__from")) & upper
-    )
-    return slotted.join(spread, test, how).select(*fact.columns, *columns)
+    version = F.struct(F.col(valid_to).alias("__to"), *[F.col(c) for c in columns])
+    started = dim.where(F.col(dim_key).isNotNull() & F.col(valid_from).isNotNull()).select(
+        F.col(dim_key).alias("__key"), F.col(valid_from).alias("__at"), version.alias("__version"))
+    asked = fact.select(F.col(fact_key).alias("__key"), F.col(ts).alias("__at"), F.struct(*[F.col(c) for c in fact.columns]).alias("__fact"))
+    both = started.unionByName(asked, allowMissingColumns=True)
+    # At one time a version comes before the facts.
+    order = [F.col("__at"), F.col("__fact").isNotNull()]
+    held = keyed_fold(both, "__key", order, {"__found": ("last", F.col("__version"))}).where("__fact is not null")
+    upper = F.col("__at") <= F.col("__found.__to") if closed else F.col("__at") < F.col("__found.__to")
+    inside = F.when(F.col("__key").isNotNull() & upper, F.col("__found"))
+    out = held.withColumn("__found", inside)
+    if how == "inner":
+        out = out.where("__found is not null")
+    elif how != "left":
+        raise ValueError(f"an as-of join is left or inner, not {how!r}")
+    return out.select("__fact.*", *[F.col("__found")[c].alias(c) for c in columns])
 
 
 def explore(base: DataFrame, joins: Sequence[tuple[DataFrame, Column, str]], dimensions: dict[str, Column],

@@ -53,7 +53,7 @@ def scd2_integrity(dim: DataFrame, key: str, valid_from: str = "valid_from", val
     overlap / gap: a version does not end one second before the next starts;
     reversed: it ends before it starts; current: a key has not exactly one current row.
     """
-    shifted = keyed_shift(dim, key, [F.col(valid_from), F.col(valid_to)], F.to_date(valid_from), {"__next": F.col(valid_from)}, back=False)
+    shifted = keyed_shift(dim, key, [F.col(valid_from), F.col(valid_to)], {"__next": F.col(valid_from)}, back=False)
     due = F.col("__next") - F.expr("interval 1 second")
     # Two changes within one second leave a version whose end precedes its start by less than that.
     problem = (

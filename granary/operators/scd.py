@@ -1,7 +1,7 @@
 """Slowly changing dimensions, snapshots, late corrections, day-by-day backfill.
 
-The history operators order a key's rows by time. They use the bucketed helpers of
-`ordered`, so one visitor with a third of all visits is spread over many tasks.
+The history operators order a key's rows by time. They use the range-partitioned helpers
+of `ordered`, so one visitor with a third of all visits is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import sha256_base64, surrogate_key
-from granary.operators.ordered import global_dense_rank, keyed_shift
+from granary.operators.joins import null_safe_join
+from granary.operators.ordered import global_dense_rank, keyed_shift, latest_per_key
 from granary.sources.sinks import upsert
-from granary.sources.tables import cut_lineage
+from granary.sources.tables import cut_lineage, materialise
 
 HIGH_TS = "9999-12-31 00:00:00"
 HASH = "hash_value"
@@ -24,10 +25,6 @@ def high_ts() -> Column:
     return F.lit(HIGH_TS).cast("timestamp_ntz")
 
 
-def _day(column: str) -> Column:
-    return F.to_date(column)
-
-
 def versions(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, current: DataFrame | None = None) -> DataFrame:
     """Rows at which a key's attributes changed: (key, attrs, hash_value, valid_from, is_old).
 
@@ -43,7 +40,7 @@ def versions(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, current:
         old = current.select(key, *attrs, HASH, "valid_from", F.lit(True).alias("is_old"))
         fresh = old.unionByName(fresh)
     order = [F.col("valid_from"), (~F.col("is_old")).alias("o"), F.col(HASH)]
-    shifted = keyed_shift(fresh, key, order, _day("valid_from"), {"__before": F.col(HASH)})
+    shifted = keyed_shift(fresh, key, order, {"__before": F.col(HASH)})
     changed = F.col("__before").isNull() | (F.col("__before") != F.col(HASH)) | F.col("is_old")
     return shifted.where(changed).drop("__before")
 
@@ -51,7 +48,7 @@ def versions(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, current:
 def validity(rows: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
     """Add valid_to (one second before the next version) and is_current."""
     order = order or [F.col("valid_from"), F.col(HASH)]
-    shifted = keyed_shift(rows, key, order, _day("valid_from"), {"__next": F.col("valid_from")}, back=False)
+    shifted = keyed_shift(rows, key, order, {"__next": F.col("valid_from")}, back=False)
     return shifted.withColumn("valid_to", F.coalesce(F.col("__next") - F.expr("interval 1 second"), high_ts())).withColumn(
         "is_current", F.col("__next").isNull()
     ).drop("__next")
@@ -64,6 +61,7 @@ def scd2(batch: DataFrame, key: str, attrs: Sequence[str], ts: str, state: DataF
     Returns the rows to merge by the surrogate key: all rows on a first run; on later
     runs the versions that were open plus the new ones. `sk` is "md5" (of key and
     valid_from) or "int" (dense rank over valid_from and key, continued from the state).
+    A batch must not be older than the open versions of its keys; `scd2_recut` takes any.
     """
     current = None if state is None else state.where("is_current")
     rows = versions(batch, key, attrs, ts, current)
@@ -87,6 +85,41 @@ def scd2_merge(state: DataFrame | None, rows: DataFrame, name: str = "user_sk")
     return rows if state is None else upsert(state, rows, name)
 
 
+def scd2_recut(state: DataFrame | None, batch: DataFrame, key: str, attrs: Sequence[str], ts: str, source: DataFrame | None = None,
+               sk: str = "md5", name: str = "user_sk") -> DataFrame:
+    """The stored history after a batch whose rows may be older than versions already stored.
+
+    Per key of the batch, the versions from its earliest new time on and the one before
+    are taken out. The stretch from that time is built again from `source` (all rows
+    loaded so far, the batch included), starting from the version before, so any order of
+    batches gives the history of one load. Without `source` the stored versions stand for
+    what was seen before: a late version then lasts up to the next stored change. Versions
+    that come out again keep their surrogate key; new integer keys follow the largest one.
+    """
+    if state is None:
+        return scd2(batch, key, attrs, ts, sk=sk, name=name)
+    since = batch.groupBy(key).agg(F.min(ts).cast("timestamp_ntz").alias("__since"))
+    touched = materialise(null_safe_join(state, since, [key]), "scd2-touched")
+    later = touched.where(F.col("valid_from") >= F.col("__since"))
+    before = latest_per_key(touched.where(F.col("valid_from") < F.col("__since")), key, [F.col("valid_from")])
+    if source is None:
+        seen = batch.select(key, *attrs, F.col(ts).alias("__at")).unionByName(later.select(key, *attrs, F.col("valid_from").alias("__at")))
+    else:
+        seen = null_safe_join(source.select(key, *attrs, F.col(ts).alias("__at")), since, [key]).where(F.col("__at") >= F.col("__since"))
+    rows = materialise(versions(seen, key, attrs, "__at", before), "scd2-rows")
+    if sk == "int":
+        top = state.agg(F.coalesce(F.max(name), F.lit(0)).alias("m")).scalar()
+        held = touched.select(key, "valid_from", name)
+        known = null_safe_join(rows, held, [key, "valid_from"], "left")
+        new = global_dense_rank(known.where(F.col(name).isNull()).drop(name), ["valid_from", key], name).withColumn(name, F.col(name) + top)
+        rows = known.where(F.col(name).isNotNull()).unionByName(new)
+    out = validity(rows, key)
+    if sk == "md5":
+        out = out.withColumn(name, surrogate_key(out, [key, "valid_from"]))
+    gone = later.select(name).unionByName(before.select(name))
+    return state.join(gone, name, "left_anti").unionByName(out.select(*state.columns))
+
+
 def first_seen(batch: DataFrame, key: str, attrs: Sequence[str], ts: str) -> DataFrame:
     """Each attribute set of a key with the first time it was seen."""
     rows = batch.withColumn(HASH, sha256_base64(*attrs))

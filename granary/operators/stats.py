@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.operators.ordered import global_prefix_sum, keyed_running
-from granary.sources.tables import cut_lineage
+from granary.operators.joins import null_safe_join
+from granary.operators.ordered import global_prefix_sum, keyed_fold, keyed_running
+from granary.sources.tables import cut_lineage, materialise
 
 
 def mean_median_mode(df: DataFrame, key: str, value: Column) -> DataFrame:
@@ -25,7 +25,7 @@ def mean_median_mode(df: DataFrame, key: str, value: Column) -> DataFrame:
         F.sum("n").alias("total"), F.sum(F.col("n") * F.col("v")).alias("sum"),
         F.max_by("v", F.struct(F.col("n"), (-F.col("v")).alias("small"))).alias("mode"))
     middle = F.expr("total div 2")
-    hit = placed.join(totals, key).where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n")))
+    hit = null_safe_join(placed, totals, [key]).where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n")))
     return hit.select(key, F.expr("sum div total").alias("mean"), F.col("v").alias("median"), "mode")
 
 
@@ -44,45 +44,52 @@ def spread_and_second(df: DataFrame, key: str, value: Column) -> DataFrame:
     return out.select(key, (F.col("hi") - F.col("lo")).alias("spread"), second.alias("second_smallest"), "second_distinct")
 
 
-def greedy_fill(df: DataFrame, key: str, price: str, quantity: str, need: int, order: Sequence[Column], bucket: Column) -> DataFrame:
+def greedy_fill(df: DataFrame, key: str, price: str, quantity: str, need: int, order: Sequence[Column]) -> DataFrame:
     """Cost of buying `need` units cheapest first, per key; and how many could be bought."""
-    rows = keyed_running(df, key, order, bucket, {"upto": F.col(quantity)})
+    rows = keyed_running(df, key, order, {"upto": F.col(quantity)})
     taken = F.greatest(F.lit(0), F.least(F.col(quantity), F.lit(need) - (F.col("upto") - F.col(quantity))))
     rows = rows.withColumn("taken", taken.cast("bigint"))
     return rows.groupBy(key).agg(
         F.sum("taken").alias("units"), F.sum(F.col(price) * F.col("taken").cast("decimal(18,0)")).cast("decimal(38,2)").alias("cost"))
 
 
-def deadlines_met(df: DataFrame, key: str, work: str, deadline: str, order: Sequence[Column], bucket: Column) -> DataFrame:
+def deadlines_met(df: DataFrame, key: str, work: str, deadline: str, order: Sequence[Column]) -> DataFrame:
     """Per key: can all jobs meet their deadline when done earliest deadline first?"""
-    rows = keyed_running(df, key, order, bucket, {"done": F.col(work)})
+    rows = keyed_running(df, key, order, {"done": F.col(work)})
     return rows.groupBy(key).agg(F.bool_and(F.col("done") <= F.col(deadline)).alias("feasible"), F.sum(work).alias("total_work"))
 
 
-def interval_schedule(df: DataFrame, key: str, start: str, end: str, width: int) -> DataFrame:
-    """Largest number of non-overlapping intervals per key (earliest end first).
+def interval_schedule(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, n_chosen): largest number of non-overlapping intervals per key (earliest end first); intervals may touch.
 
-    The choice depends on the order, so a key is cut into buckets of `width` by end time
-    and every bucket is folded at once from a guessed entry state (the end of the last
-    interval chosen before it). The exits then become the entries of the next buckets,
-    and the fold is repeated until no entry changes, which makes the answer exact. A
-    wrong guess is usually forgotten within a bucket, so a few rounds are enough.
+    Being free from time t on leads to the earliest end among the intervals that start at t
+    or later: one pointer per distinct end, found by a running minimum from the latest start
+    down. Pointers are then doubled, so the longest schedule takes logarithmically many
+    rounds, and no key is ever gathered. An interval without length is always chosen, and
+    each of them counts. Whole-number times; intervals with a null end or start, or that end
+    before they start, are left out.
     """
-    rows = df.select(key, F.struct(F.col(end).alias("e"), F.col(start).alias("s")).alias("iv"), F.expr(f"{end} div {width}").alias("b"))
-    # Only one bucket's intervals are ever held together; `width` sets how many that is.
-    packed = cut_lineage(rows.groupBy(key, "b").agg(F.sort_array(F.collect_list("iv")).alias("ivs")))
     floor = -(1 << 62)
-    entries = packed.select(key, "b", F.lit(floor).cast("bigint").alias("entry"))
-    fold = """aggregate(ivs, named_struct('last', entry, 'n', 0L),
-        (acc, x) -> if(x.s >= acc.last, named_struct('last', x.e, 'n', acc.n + 1L), acc))"""
-    by_key = W.partitionBy(key).orderBy("b")
-    while True:
-        done = packed.join(entries, [key, "b"]).select(key, "b", "entry", F.expr(fold).alias("f"))
-        after = F.coalesce(F.lag("f.last").over(by_key), F.lit(floor))
-        step = cut_lineage(done.select(key, "b", "entry", F.col("f.n").alias("n"), after.alias("next_entry")))
-        if step.where(F.col("entry") != F.col("next_entry")).isEmpty():
-            return step.groupBy(key).agg(F.sum("n").alias("n_chosen"))
-        entries = step.select(key, "b", F.col("next_entry").alias("entry"))
+    one = F.struct(F.lit(0).alias("g"), F.col(key).alias("k")).alias("k")  # equal to itself also where the key is null
+    ivs = df.select(one, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).where("s <= e")
+    ivs = ivs.groupBy("k", "s", "e").agg(F.count(F.lit(1)).alias("n"))
+    points = ivs.groupBy("k", "e").agg(F.sum(F.when(F.col("s") == F.col("e"), F.col("n")).otherwise(0)).alias("n_points"))
+    # From the latest time down: at one time intervals that start there, then the question, then points (a point needs a later time).
+    where_free = points.select("k", F.col("e").alias("t")).unionByName(ivs.select("k").distinct().withColumn("t", F.lit(floor).cast("bigint")))
+    offers = ivs.select("k", F.col("s").alias("t"), F.struct(F.col("e"), (F.col("s") == F.col("e")).alias("is_point")).alias("offer"))
+    both = offers.unionByName(where_free, allowMissingColumns=True)
+    turn = F.when(F.col("offer").isNull(), 1).when(F.col("offer.is_point"), 2).otherwise(0)
+    found = keyed_fold(both, "k", [F.desc("t"), turn], {"best": ("min", F.col("offer"))}).where("offer is null")
+    steps = found.select("k", "t", F.col("best.e").alias("next"), (~F.col("best.is_point")).cast("bigint").alias("own"))
+    there = points.select("k", F.col("e").alias("next"), "n_points")
+    at = steps.join(there, ["k", "next"], "left").select(
+        "k", "t", "next", F.when(F.col("next").isNull(), 0).otherwise(F.col("own") + F.col("n_points")).cast("bigint").alias("n"))
+    at = materialise(at, "schedule")
+    while not at.where(F.col("next").isNotNull() & (F.col("t") == floor)).isEmpty():
+        ahead = at.select("k", F.col("t").alias("next"), F.col("next").alias("after"), F.col("n").alias("more"))
+        doubled = at.join(ahead, ["k", "next"], "left").select("k", "t", F.col("after").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        at = materialise(doubled, "schedule")
+    return at.where(F.col("t") == floor).select(F.col("k.k").alias(key), F.col("n").alias("n_chosen"))
 
 
 def closest_pair(points: DataFrame, x: Column, y: Column) -> DataFrame:

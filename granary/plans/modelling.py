@@ -80,6 +80,21 @@ def backfilled(spark: SparkSession, root: str) -> DataFrame:
 
 open_ended("backfill_by_date", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(backfilled)
 
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The dimension loaded in three batches that are dealt by visit, not by time: most rows of the later ones are late."""
+    v = visits(spark, root, False)
+    deal = F.pmod(F.col("visit_id").cast("bigint"), F.lit(3))
+    state = None
+    for i in range(3):
+        batch, source = v.where(deal == i), v.where(deal <= i)
+        state = cut_lineage(scd.scd2_recut(state, batch, "visitor_id", ATTRS, "access_timestamp", source))
+    return state
+
+
+open_ended("scd2_late_row", with_("visits", DIM_USERS + f" select {_SK} as user_sk, * from d"))(late_rows)
+
 # --- customers by first-seen attribute set -------------------------------------------
 
 CATTRS = ["first_name", "last_name"]

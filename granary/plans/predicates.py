@@ -84,7 +84,7 @@ query("filter_null_guard", with_("ga4", " select event_timestamp, user_id, app_i
 def qualify_change(spark: SparkSession, root: str) -> DataFrame:
     """Visits whose device differs from the visitor's visit before."""
     v = visits(spark, root, False).select("visit_id", "visitor_id", "access_timestamp", "device_category")
-    shifted = keyed_shift(v, "visitor_id", [F.col("access_timestamp"), F.col("visit_id")], F.to_date("access_timestamp"), {"before": F.col("device_category")})
+    shifted = keyed_shift(v, "visitor_id", [F.col("access_timestamp"), F.col("visit_id")], {"before": F.col("device_category")})
     return qualify(shifted, {"__changed": F.col("before").isNull() | (F.col("before") != F.col("device_category"))}, "__changed").drop("before")
 
 

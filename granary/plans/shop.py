@@ -107,7 +107,7 @@ def order_mart(orders: DataFrame, items: DataFrame) -> DataFrame:
 
     The number is found on the orders alone, before the item totals make the rows wide.
     """
-    numbered = keyed_row_number(orders, "customer_id", [F.col("order_date"), F.col("order_id")], F.trunc("order_date", "month"), "customer_order_number")
+    numbered = keyed_row_number(orders, "customer_id", [F.col("order_date"), F.col("order_id")], "customer_order_number")
     per = items.groupBy("order_id").agg(
         F.sum("supply_cost").cast("decimal(38,2)").alias("order_cost"), F.sum("product_price").cast("decimal(26,2)").alias("order_items_subtotal"),
         F.count("order_item_id").alias("count_order_items"),

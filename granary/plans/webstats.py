@@ -156,7 +156,7 @@ def fct_user_ltv(spark: SparkSession, root: str) -> DataFrame:
     events = stg_events(spark, root)
     daily = events.where(F.col("ecommerce_purchase_revenue").isNotNull()).groupBy("event_date", "user_pseudo_id").agg(
         F.sum("ecommerce_purchase_revenue").cast("decimal(28,2)").alias("daily_revenue"))
-    running = keyed_running(daily, "user_pseudo_id", [F.col("event_date")], F.trunc("event_date", "month"), {"cumulative_ltv": F.col("daily_revenue")})
+    running = keyed_running(daily, "user_pseudo_id", [F.col("event_date")], {"cumulative_ltv": F.col("daily_revenue")})
     users = ga4_dim_users(spark, root).select("user_pseudo_id", "first_access_date")
     return running.join(users, "user_pseudo_id", "left").select(
         "event_date", "user_pseudo_id", "first_access_date", F.date_diff("event_date", "first_access_date").alias("days_since_first_access"),

@@ -1,4 +1,4 @@
-"""Window functions. Keyed ones use buckets so that one key may hold most rows."""
+"""Window functions. Keyed ones work on range partitions, so one key may hold most rows."""
 
 from __future__ import annotations
 
@@ -21,13 +21,9 @@ def _t(spark: SparkSession, root: str, name: str) -> DataFrame:
     return table(spark, root, name)
 
 
-def _month(c: str):
-    return F.date_trunc("month", F.col(c))
-
-
 query("win_row_number_partitioned", "select o_orderkey, o_custkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as integer) as rn from orders")(
     lambda spark, root: keyed_row_number(_t(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey",
-                                         [F.col("o_orderdate"), F.col("o_orderkey")], _month("o_orderdate"), "rn").drop("o_orderdate"))
+                                         [F.col("o_orderdate"), F.col("o_orderkey")], "rn").drop("o_orderdate"))
 query("win_row_number_latest", "select user_id, event_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) q where rn=1")(
     lambda spark, root: latest_per_key(_t(spark, root, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", [F.col("ts"), F.col("event_id")]))
 query("win_global_row_number", "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as sk from orders")(
@@ -69,7 +65,7 @@ query("win_dense_rank", DAILY + " select d, n, cast(dense_rank() over (partition
 
 def lag_change(spark: SparkSession, root: str) -> DataFrame:
     e = _t(spark, root, "events").select("event_id", "user_id", "ts", "event_type")
-    out = keyed_shift(e, "user_id", [F.col("ts"), F.col("event_id")], F.to_date("ts"), {"before": F.col("event_type")})
+    out = keyed_shift(e, "user_id", [F.col("ts"), F.col("event_id")], {"before": F.col("event_type")})
     return out.where(F.col("before").isNull() | (F.col("before") != F.col("event_type"))).select("event_id", "user_id", "event_type", "before")
 
 
@@ -79,7 +75,7 @@ query("win_lag_change", """select event_id, user_id, event_type, before from (se
 
 def lead_validity(spark: SparkSession, root: str) -> DataFrame:
     e = _t(spark, root, "events").select("event_id", "user_id", "ts")
-    out = keyed_shift(e, "user_id", [F.col("ts"), F.col("event_id")], F.to_date("ts"), {"nx": F.col("ts")}, back=False)
+    out = keyed_shift(e, "user_id", [F.col("ts"), F.col("event_id")], {"nx": F.col("ts")}, back=False)
     high = F.lit("9999-12-31").cast("timestamp_ntz")
     return out.select("event_id", "user_id", F.col("ts").alias("valid_from"), F.coalesce(F.col("nx") - F.expr("interval 1 second"), high).alias("valid_to"))
 
@@ -91,7 +87,7 @@ query("win_lag_offset", DAILY + " select d, lag(n,1) over w as p1, lag(n,30) ove
 
 def running_sum(spark: SparkSession, root: str) -> DataFrame:
     o = _t(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderdate", money("o_totalprice").alias("p"))
-    out = keyed_running(o, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], _month("o_orderdate"), {"lifetime": F.col("p")})
+    out = keyed_running(o, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], {"lifetime": F.col("p")})
     return out.select("o_orderkey", "o_custkey", F.col("lifetime").cast("decimal(38,2)").alias("lifetime"))
 
 
@@ -113,7 +109,7 @@ def rank_then_dense(spark: SparkSession, root: str) -> DataFrame:
     li = _t(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     last = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("l_shipdate"))
     rows = li.join(last, ["l_orderkey", "l_shipdate"]).select("l_orderkey", "l_linenumber", "l_partkey")
-    return keyed_dense_rank(rows, "l_orderkey", "l_partkey", F.floor(F.col("l_partkey") / 1000), "check_rank")
+    return keyed_dense_rank(rows, "l_orderkey", "l_partkey", "check_rank")
 
 
 query("win_rank_then_dense", """select l_orderkey, l_linenumber, l_partkey, cast(dense_rank() over (partition by l_orderkey order by l_partkey) as integer) as check_rank from (
@@ -126,7 +122,7 @@ NEED = 100
 
 def fill(spark: SparkSession, root: str) -> DataFrame:
     li = _t(spark, root, "lineitem").select("l_partkey", money("l_extendedprice").alias("price"), F.col("l_quantity").cast("bigint").alias("qty"))
-    return greedy_fill(li, "l_partkey", "price", "qty", NEED, [F.col("price"), F.col("qty")], F.floor(F.col("price") / 5000))
+    return greedy_fill(li, "l_partkey", "price", "qty", NEED, [F.col("price"), F.col("qty")])
 
 
 query("win_greedy_fill", f"""select l_partkey, cast(sum(t) as bigint) as units, cast(sum(p*t) as decimal(38,2)) as cost from (
@@ -136,7 +132,7 @@ query("win_greedy_fill", f"""select l_partkey, cast(sum(t) as bigint) as units,
 
 def feasible(spark: SparkSession, root: str) -> DataFrame:
     o = _t(spark, root, "orders").selectExpr("o_custkey", "o_orderkey", "o_orderkey % 400 as work", "cast(datediff(o_orderdate, date'1995-01-01') as bigint) as deadline")
-    return deadlines_met(o, "o_custkey", "work", "deadline", [F.col("deadline"), F.col("o_orderkey")], F.floor(F.col("deadline") / 30))
+    return deadlines_met(o, "o_custkey", "work", "deadline", [F.col("deadline"), F.col("o_orderkey")])
 
 
 query("win_deadline_feasible", """select o_custkey, bool_and(done<=deadline) as feasible, cast(sum(work) as bigint) as total_work from (
@@ -147,7 +143,7 @@ query("win_deadline_feasible", """select o_custkey, bool_and(done<=deadline) as
 def schedule(spark: SparkSession, root: str) -> DataFrame:
     """Events as intervals of `value` minutes; how many fit without overlap per user."""
     e = _t(spark, root, "events").selectExpr("user_id", f"timestampdiff(MICROSECOND, {A.EPOCH}, ts) as s", "cast(cast(value as decimal(18,2)) * 60000000 as bigint) as len")
-    return interval_schedule(e.selectExpr("user_id", "s", "s + len as e"), "user_id", "s", "e", width=6 * 3600 * 1_000_000)
+    return interval_schedule(e.selectExpr("user_id", "s", "s + len as e"), "user_id", "s", "e")
 
 
 query("win_interval_schedule", """with recursive iv as (select user_id, epoch_us(ts) as s, epoch_us(ts)+cast(cast(value as decimal(18,2))*60000000 as bigint) as e from events),
