@@ -7,16 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import shuffle_partitions
 from granary.llm.shingles import mix, sets
 from granary.llm.tokens import blocks
 from granary.operators.graph import components
 from granary.sources.tables import materialise
 
 LOW48 = np.uint64((1 << 48) - 1)
+BUCKET_BYTES, LEAST_BUCKETS = 20 << 20, 24  # hashes counted by one task; so many tasks at least
+
+
+def text_digest() -> Column:
+    return F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
 
 
 class Tree:
@@ -125,17 +129,17 @@ class Tree:
                         yield i, j
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first `keys` columns, from sorted batches."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, least: int = 2) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of at least `least` rows with equal first `keys` columns, from sorted batches."""
     key, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:keys] != key:
-                if len(rows) > 1:
+                if len(rows) >= least:
                     yield key, rows
                 key, rows = row[:keys], []
             rows.append(row[keys:])
-    if len(rows) > 1:
+    if len(rows) >= least:
         yield key, rows
 
 
@@ -150,12 +154,12 @@ def _possible(num: int, den: int):
             node, label, size, rest = (np.array(c) for c in zip(*rows))
             reach = (num + den) * (1 + np.minimum.outer(rest, rest)) >= num * np.add.outer(size, size)
             able = (reach & np.not_equal.outer(label, label)).any(axis=1)
-            out.extend((token, pair, n, x) for n, x in zip(node[able].tolist(), label[able].tolist()))
+            out.extend((token, pair, n, x, r) for n, x, r in zip(node[able].tolist(), label[able].tolist(), rest[able].tolist()))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label", "rest"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["prefix", "pair", "node", "label", "rest"])
 
     return run
 
@@ -195,7 +199,7 @@ def _scan(k: int, buckets: int, narrow: bool):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat), dtype=np.uint64)])
                 nodes = mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
                 if narrow:
-                    yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sizes), pa.array(nodes)], ["doc_id", "size", "node"])
+                    yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("digest"), pa.array(sizes), pa.array(nodes)], ["doc_id", "digest", "size", "node"])
                     continue
                 _, first = np.unique(nodes, return_index=True)  # equal sets of a block count once
                 fresh = np.zeros(len(nodes), bool)
@@ -255,9 +259,12 @@ def _again(buckets: int):
     return run
 
 
-def _count(buckets: int):
+COUNTED = "node long, label long, size long, tokens binary"
+
+
+def _count():
     """One bucket of hashes: those that sets of at least two labels have, given back as frequency (16 bits) and hash (48), the global order;
-    packed by bucket of the set."""
+    one row per set."""
     def run(pdf):
         import pandas as pd
 
@@ -290,19 +297,12 @@ def _count(buckets: int):
         level = np.repeat(level, members).astype(np.uint64)
         shared = level > 1
         tokens, owner = (level[shared] << np.uint64(48)) | hashes[shared], owner[shared]
-        target = (mix(known.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.lexsort((owner, target[owner]))
-        tokens, owner = tokens[order].astype("<u8"), owner[order]
-        place = target[owner]
-        cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])).tolist() if len(owner) else []
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(owner)]):
-            own = owner[a:b]
-            t = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            who = own[t]
-            out.append((int(place[a]), known[who].tobytes(), label_of[who].tobytes(), size_of[who].astype("<u4").tobytes(),
-                        np.diff(np.append(t, b - a)).astype("<u4").tobytes(), tokens[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "nodes", "labels", "sizes", "counts", "data"])
+        order = np.argsort(owner, kind="stable")
+        raw, owner = memoryview(tokens[order].astype("<u8").tobytes()), owner[order]
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        who = owner[cuts]
+        edges = (8 * np.append(cuts, len(owner))).tolist()
+        return pd.DataFrame({"node": known[who], "label": label_of[who], "size": size_of[who].astype(np.int64), "tokens": [bytes(raw[a:b]) for a, b in zip(edges, edges[1:])]})
 
     return run
 
@@ -317,59 +317,45 @@ SETS = "node long, label long, size long, tokens binary, prefix array<long>, sal
 
 
 def _survivors(num: int, den: int, width: int):
-    """A bucket of sets: those that may have a partner of another label, with their shared tokens in global order and the salted groups of their prefix.
+    """(node, label, size, tokens) rows sorted by node, a row per bucket that counted: the sets that may have a partner of another label, with their shared tokens in global order and the salted groups of their prefix.
 
     A partner of a set of n tokens shares at least num/den of n, so one of the first n - that + 1 tokens in any global order. Tokens no other label
     has come first and cannot be shared; what is left of the prefix are the group tokens.
     """
-    def run(pdf):
-        import pandas as pd
-
-        nodes, labels, sizes, counts = _arrays(pdf)
-        tokens = np.frombuffer(b"".join(pdf["data"]), "<u8")
-        owner = np.repeat(np.arange(len(nodes)), counts)
-        order = np.lexsort((tokens, nodes[owner]))
-        tokens, own = tokens[order], nodes[owner[order]]
-        _, first = np.unique(nodes, return_index=True)
-        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist()
-        rows = []
-        for k, a, b in zip(first.tolist(), cuts, [*cuts[1:], len(own)]):
-            size, node = int(sizes[k]), int(nodes[k])
-            prefix = size - -(-num * size // den) + 1 - (size - (b - a))
+    def run(batches):
+        schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())),
+                            ("salt", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32()))])
+        out = []
+        for (node,), rows in _grouped(batches, 1, least=1):
+            label, size = rows[0][:2]
+            tokens = np.sort(np.frombuffer(b"".join(r[2] for r in rows), "<u8"))
+            prefix = len(tokens) - -(-num * size // den) + 1
             if prefix > 0:
-                group = tokens[a:a + min(prefix, b - a)]
+                group = tokens[:prefix]
                 many = -(-frequency(group) // width)
                 salts = (mix(group ^ np.uint64(node % (1 << 64))) >> np.uint64(33)).astype(np.int64) % many
-                rows.append((node, int(labels[k]), size, tokens[a:b].tobytes(), group.view(np.int64).tolist(), salts.tolist(), many.tolist()))
-        return pd.DataFrame(rows, columns=["node", "label", "size", "tokens", "prefix", "salt", "blocks"])
+                out.append((node, label, size, tokens.tobytes(), group.view(np.int64).tolist(), salts.tolist(), many.tolist()))
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema.names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema.names)
 
     return run
 
 
-def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, width: int = 1024, first_groups: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents linked by a Jaccard likeness of at least num/den over their word runs.
-
-    1. One scan hashes each text's set (64 bits; equal sets are one node). The hashes go to buckets of the hash range, packed as arrays; a bucket
-       counts in how many sets each occurs and gives back those of two or more, frequency first: the global order.
-    2. Sets whose prefix has a shared token stay. Groups of sets by prefix token are joined by a prefix tree: first by `first_groups` tokens of each set,
-       half its rarest and half its commonest prefix tokens, large groups split by salt, which joins most families.
-    3. The sets that stayed are counted again, now by component: a token that one component has alone counts as unshared, and few sets stay. Their groups are
-       joined by every prefix token, a group of S blocks as its S(S+1)/2 pairs of blocks, so that no pair across components is missed and none within one is compared.
-    4. Links are joined into components; each gets its smallest doc_id.
-
-    A text without words has an empty set and is alone. Repeated rows and texts with equal sets share a component. A null doc_id never names a component: such
-    a row shows the smallest doc_id of its component, or null. Rows of one doc_id with different texts may lie in different components. Extra columns are left out.
-    Two sets are told apart by 64-bit hashes, words runs by 48 bits within a pair.
-    """
+def _labelled(docs: DataFrame, words: int, num: int, den: int, width: int, first_groups: int, bucket_bytes: int) -> DataFrame:
+    """doc_id, digest (of the text), size and class of every row; see `classes`. Rows of one class are linked, an empty set has none."""
     spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)  # a bucket's arrays are held by one task
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    narrow = materialise(plain.mapInArrow(_scan(words, buckets, True), "doc_id long, size long, node long"), "join-docs")
-    packed = plain.select(F.lit(None).cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(words, buckets, False), PACKED)
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest"), "text")
+    narrow = materialise(plain.mapInArrow(_scan(words, 1, True), "doc_id long, digest string, size long, node long"), "join-docs")
+    tokens = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, -(-6 * tokens // bucket_bytes))  # a bucket's arrays are held by one task
+    packed = plain.select("text").mapInArrow(_scan(words, buckets, False), PACKED)
 
     def ordered(hashes: DataFrame, tag: str) -> DataFrame:
-        counted = hashes.groupBy("bucket").applyInPandas(_count(buckets), PACKED)
-        return materialise(counted.groupBy("bucket").applyInPandas(_survivors(num, den, width), SETS), tag)
+        counted = hashes.groupBy("bucket").applyInPandas(_count(), COUNTED)
+        return materialise(counted.repartition("node").sortWithinPartitions("node").mapInArrow(_survivors(num, den, width), SETS), tag)
 
     def places(sets_: DataFrame) -> DataFrame:
         """One narrow row per set and prefix token; `rest` is how many of its tokens come after this one in the global order."""
@@ -380,8 +366,10 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
     def links(rows: DataFrame, sets_: DataFrame, first_only: bool, tag: str) -> DataFrame:
         """Links found in groups (prefix, pair) of rows; sets travel only to groups where they can have a partner of another label."""
         rows = rows.select("prefix", "pair", "node", "label", "size", "rest")
-        able = rows.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_possible(num, den), "prefix long, pair int, node long, label long")
-        full = able.join(sets_.select("node", "size", "tokens"), "node").select("prefix", "pair", "node", "label", "size", "tokens")
+        able = rows.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_possible(num, den), "prefix long, pair int, node long, label long, rest long")
+        # Where a pair only counts at its first shared token, the tokens before this one are not needed.
+        sent = F.expr("substring(tokens, -8 * (rest + 1))") if first_only else F.col("tokens")
+        full = able.join(sets_.select("node", "size", "tokens"), "node").select("prefix", "pair", "node", "label", "size", sent.alias("tokens"))
         return materialise(full.repartition("prefix", "pair").sortWithinPartitions("prefix", "pair").mapInArrow(_tree_links(num, den, first_only), "src long, dst long"), tag)
 
     sets_, half = ordered(packed, "join-sets"), first_groups // 2
@@ -398,20 +386,44 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, widt
         known = label.select("node", "component").unionByName(upper.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("mid"))
         label = known.join(upper.toDF("mid", "top"), "mid", "left").select("node", F.coalesce("top", "mid").alias("component"))
     joined = narrow.join(label.select("node", "component"), "node", "left").withColumn("__class", F.when(F.col("size") > 0, F.coalesce("component", "node")))
+    return joined.select("doc_id", "digest", "size", "__class")
+
+
+def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, width: int = 1024, first_groups: int = 4,
+            bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents linked by a Jaccard likeness of at least num/den over their word runs.
+
+    1. One scan hashes each text's set (64 bits; equal sets are one node). The hashes go to buckets of the hash range, packed as arrays; a bucket
+       counts in how many sets each occurs and gives back those of two or more, frequency first: the global order.
+    2. Sets whose prefix has a shared token stay. Groups of sets by prefix token are joined by a prefix tree: first by `first_groups` tokens of each set,
+       half its rarest and half its commonest prefix tokens, large groups split by salt, which joins most families.
+    3. The sets that stayed are counted again, now by component: a token that one component has alone counts as unshared, and few sets stay. Their groups are
+       joined by every prefix token, a group of S blocks as its S(S+1)/2 pairs of blocks, so that no pair across components is missed and none within one is compared.
+    4. Links are joined into components; each gets its smallest doc_id.
+
+    A text without words has an empty set and is alone. Repeated rows and texts with equal sets share a component. A null doc_id never names a component: such
+    a row shows the smallest doc_id of its component, or null. Rows of one doc_id with different texts may lie in different components. Extra columns are left out.
+    Two sets are told apart by 64-bit hashes, words runs by 48 bits within a pair.
+    """
+    joined = _labelled(docs, words, num, den, width, first_groups, bucket_bytes)
     least = joined.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("component_id"))
     named = joined.join(least, "__class", "left")
     return named.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` without near copies: of each component the smallest doc_id stays, and all rows without words or without doc_id.
+    """`docs` without near copies: of each component one row stays, and all rows without words.
 
-    Of rows with one doc_id and one text one stays. A doc_id with several texts goes if one of them has a partner of smaller doc_id.
+    Rows are judged one by one, so a doc_id may have several texts, and rows without doc_id are copies like any other. The row that stays has the
+    smallest doc_id (null last), then the smallest digest of its text; of rows with one doc_id and one text one stays.
     """
-    found = materialise(classes(docs, words, num, den), "join-classes").where("n_shingles > 0 and doc_id is not null")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    found = materialise(_labelled(docs, words, num, den, 1024, 4, BUCKET_BYTES).where("size > 0").select("__class", rank.alias("__row")), "join-rows")
+    least = found.groupBy("__class").agg(F.min("__row").alias("__kept"))
+    gone = found.join(least, "__class").where("__row <> __kept").select("__row").distinct()
+    held = docs.withColumn("__row", F.struct(F.col("doc_id").cast("bigint").isNull().alias("last"), F.col("doc_id").cast("bigint").alias("doc_id"), text_digest().alias("digest")))
+    rest = held.join(gone, "__row", "left_anti")
+    twice = found.groupBy("__row").count().where("count > 1").select("__row")
     if not twice.isEmpty():
-        rest = rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        rest = rest.join(twice, "__row", "left_anti").unionByName(rest.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
     return rest.select(*[f"`{c}`" for c in docs.columns])

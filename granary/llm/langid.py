@@ -7,11 +7,13 @@ words score alike. That makes a text's cross-entropy a sum over its words, each
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +22,18 @@ from granary.llm.tokens import blocks
 from granary.sources.tables import materialise
 
 ORDER = 4
-WORDS = re.compile(r"[^\W\d_]+").findall
+# A word is a run of letters and marks with a letter in it (categories L and M); the same pattern teaches and predicts.
+WORD = r"\p{M}*\p{L}[\p{L}\p{M}]*"
+_WORDS = regex.compile(WORD).findall
+# The quick pattern differs only in texts with marks, with numbers that are no digits, or beyond the basic plane.
+_PLAIN = re.compile(r"[^\W\d_]+").findall
+_ODD = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Nl", "No", "Cs", "Co", "Cn")) + "\U00010000-\U0010FFFF]").search
+
+
+def words_of(text: str) -> list[str]:
+    return _PLAIN(text) if text.isascii() or not _ODD(text) else _WORDS(text)
+
+
 UNKNOWN = "und"
 PERCENTILES, TAIL = (0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999), 1
 _PRIME, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +167,7 @@ class Scorer:
         """Per text: the cross-entropy in nats per character under each model, and the number of characters (0: no letters)."""
         if len(self.slot) > self.most:
             self.slot.clear()
-        cut = [WORDS(t.lower()) if t else [] for t in texts]
+        cut = [words_of(t.lower()) if t else [] for t in texts]
         self._learn(list(set().union(*cut).difference(self.slot)) if cut else [])
         out = np.zeros((len(texts), len(self.models) + 1))
         for i, words in enumerate(cut):
@@ -210,7 +223,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
     picked = materialise(rows.where(F.col("h") < part * float(1 << 32)).select("text", "lang", (F.xxhash64("h") % 4 != 0).alias("fit")), "langid-sample")
     taught = {r.lang for r in picked.where("fit").select("lang").distinct().collect()}
     picked = picked.withColumn("fit", F.col("fit") | ~F.col("lang").isin(*taught))
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w")
     words = picked.where("fit").select("lang", word).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
 

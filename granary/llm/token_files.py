@@ -37,20 +37,24 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2000, chars: int = 4096, size: int = 64 << 10) -> bytes:
-    """A zstandard dictionary from at most `samples` documents (lowest hash of doc_id), the first `chars` characters of each.
+    """A zstandard dictionary from about `samples` documents, a window of at most `chars` characters of each.
 
-    The sample only serves compression; every document is stored whole. Too few samples give an empty dictionary.
+    Rows are drawn by a hash of id and text that falls below samples / rows, windows start at a hashed place of the whole text; so the sample needs no
+    sort and no part of a text is left out by rule. It only serves compression; every document is stored whole. Too few samples give an empty dictionary.
     """
     import zstandard
 
-    picked = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"))
-    picked = picked.orderBy("h", "text").limit(samples).select("doc_id", "text")
+    filled = docs.where("text is not null")
+    rate = min(1.0, samples / max(1, filled.count()))
+    place = F.pmod(F.xxhash64(F.lit("window"), "doc_id", "text"), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    drawn = F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id", "text"), F.lit(1 << 32)) < F.lit(int(rate * (1 << 32)))
+    picked = filled.where(drawn).select("doc_id", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"))
 
     def run(batches):
         for _, ids in encoded(batches, tokenizer, end):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
-    rows = [bytes(r[0]) for r in picked.mapInArrow(run, "ids binary").collect()]
+    rows = sorted(bytes(r[0]) for r in picked.mapInArrow(run, "ids binary").collect())  # in one order, so that reruns agree
     try:
         return zstandard.train_dictionary(size, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to learn from

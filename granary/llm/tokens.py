@@ -31,16 +31,18 @@ _SPACED_PLAIN = re.compile(f" [{_LETTER}]+").fullmatch
 class Encoder:
     """ids(texts) -> one little-endian unsigned 32-bit byte string per text.
 
-    `most` bounds how many pieces are remembered; strings of special tokens count as ordinary text.
+    `most` bounds how many pieces are remembered. The library takes the strings of special tokens for these tokens; a text with one is encoded
+    in one call.
     """
 
     def __init__(self, file: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], [t["content"] for t in whole.get("added_tokens") or []]
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(map(re.escape, added)) if added else "(?!)").search
         self.word_ends = model.get("end_of_word_suffix") == "</w>"
         marked = np.zeros(max(model["vocab"].values()) + 1, bool)
         for token, i in model["vocab"].items():
@@ -72,7 +74,13 @@ class Encoder:
         return found
 
     def ids(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+        texts = list(texts)
+        cut = [self.pieces(t) if not self.special(t) else None for t in texts]
+        if None in cut:
+            special = self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cut) if c is None], add_special_tokens=False)
+            rest = iter(self.ids([t for t, c in zip(texts, cut) if c is not None]))
+            found = iter([np.array(e.ids, "<u4").tobytes() for e in special])
+            return [next(found) if c is None else next(rest) for c in cut]
         if len(self.known) > self.most:
             self.known.clear()
         missing = list(set().union(*cut).difference(self.known)) if cut else []

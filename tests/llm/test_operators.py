@@ -308,7 +308,6 @@ def test_suffix_clean_keeps_columns(spark, docs, none):
 
 def ids_of(file, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(file))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
