@@ -15,8 +15,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ FAN_IN = 32  # vectors summed by one task of a tree round
 
 # A unit: blanks, then signs up to a blank that follows a sign. A blank after other white space does not cut.
 _UNITS = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]*)*| +").findall
+# Units that can be joined into one text for A: one blank, Latin signs, no white space at either end.
+_QUICK = re.compile(r" [^\s\u0250-\U0010FFFF](?:[^\u0250-\U0010FFFF]{0,1000}[^\s\u0250-\U0010FFFF])?").fullmatch
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
 
 
@@ -55,12 +57,14 @@ class PairOfTokenizers:
         self.a = Tokenizer.from_file(file_a)
         self.a.encode_special_tokens = True
         with open(file_a, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
+        vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         letters = _byte_letters()
         self.length_a = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length_a[i] = len(token)  # one letter a byte
         self.bytes_a = {i: bytes(letters.get(c, 0) for c in token) for token, i in vocabulary.items()}
+        self.ranked = self._by_rank(vocabulary, merges)
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE(p)) else p.replace("▁", " ").encode() for p in pieces]
@@ -69,10 +73,29 @@ class PairOfTokenizers:
         # Units are independent only if no piece holds a blank after another sign.
         self.separable = not any(re.search("[^▁]▁", p) for p in pieces)
 
+    def _by_rank(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
+        """The same vocabulary for an encoder that merges by rank, or None if ids do not follow the order of the merges.
+
+        Where every token is reached by its own merge, merging by rank gives the ids of the file's merges: a token that could be made of another pair
+        stands between cuts that no merge has crossed, so inside them the order of merges was that of the token alone.
+        """
+        import public_tokenizers
+        import tiktoken
+
+        first = len(vocabulary) - len(merges)
+        held = [i for t, i in vocabulary.items() if i < first and len(t) == 1]
+        ordered = all(vocabulary.get(x + y) == len(held) + i for i, (x, y) in enumerate(merges))
+        if len(held) != 256 or not ordered:
+            return None
+        ranks = {self.bytes_a[i]: i for i in vocabulary.values() if i < len(held) + len(merges)}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _ids_a(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of A for all units, and how many each has. A sign and then one blank before a sign always is a cut, so such units go in one text."""
-        if all(len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in units):
-            ids = np.array(self.a.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.int64)
+        if _QUICK(units[0]) and _QUICK(units[-1]):  # units come sorted by that
+            joined = "".join(units)
+            ids = self.ranked.encode_ordinary(joined) if self.ranked else self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.int64)
             ends, wanted = np.cumsum(self.length_a[ids]), np.cumsum(sizes)
             upto = np.searchsorted(ends, wanted, "right")
             if (ends[np.maximum(upto, 1) - 1] == wanted).all():
@@ -133,10 +156,6 @@ class Aligned:
         sums = np.concatenate([[0], np.cumsum(values)])[ends]
         return np.diff(sums, prepend=0)
 
-    def pair_sets(self) -> list[set[int]]:
-        pairs, ends = self.pairs.tolist(), self.pair_ends.tolist()
-        return [set(pairs[s:e]) for s, e in zip([0, *ends], ends)]
-
     def texts(self) -> list[str]:
         """`a1,a2|b1;a3|b2` per unit."""
         a, b = list(map(str, self._a.tolist())), list(map(str, self._b.tolist()))
@@ -155,50 +174,82 @@ class Units:
     def cut(self, text: str | None) -> list[str]:
         return [] if not text else _UNITS(" " + text) if self.tokenizers.separable else [" " + text]
 
-    def numbers(self, texts: list[str | None]) -> list[list[int]]:
-        """The units of each text by number. A text with a unit that cannot be rebuilt is judged as one unit; if that fails too it has none."""
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts by number, and how many each text has. A text with a unit that cannot be rebuilt is judged as one unit; if that
+        fails too it has none.
+        """
         if self.held > self.most:
             self.held = 0
             self.number.clear()
             self.keep.clear()
         cut = [self.cut(t) for t in texts]
         self._learn(list(set().union(*cut).difference(self.number)) if cut else [])
-        out = []
-        for text, units in zip(texts, cut):
-            row = list(map(self.number.__getitem__, units))
-            if -1 in row:
-                whole = " " + text
+        many = np.array(list(map(len, cut)), np.int64)
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(many.sum()))
+        if (flat < 0).any():
+            rows = np.split(flat, np.cumsum(many)[:-1])
+            for i in [i for i, row in enumerate(rows) if (row < 0).any()]:
+                whole = " " + texts[i]
                 self._learn([whole] if whole not in self.number else [])
-                row = [self.number[whole]] if self.number[whole] >= 0 else []
-            out.append(row)
-        return out
+                rows[i] = np.array([self.number[whole]] if self.number[whole] >= 0 else [], np.int64)
+            many, flat = np.array(list(map(len, rows)), np.int64), np.concatenate(rows)
+        return flat, many
 
     def _learn(self, missing: list[str]) -> None:
         self.held += sum(map(len, missing))
-        missing.sort(key=lambda u: u[1:2].isspace() or u[-1].isspace())  # those that can be joined come first
-        edge = sum(not (u[1:2].isspace() or u[-1].isspace()) for u in missing)
-        cuts = [*range(0, edge, 8192), *range(edge, len(missing), 8192), len(missing)]
-        for i, j in zip(cuts, cuts[1:]):
-            units = missing[i:j]
+        quick = [u for u in missing if _QUICK(u)]
+        rest = [u for u in missing if not _QUICK(u)] if len(quick) < len(missing) else []
+        for units in [quick[i:i + 8192] for i in range(0, len(quick), 8192)] + [rest[i:i + 8192] for i in range(0, len(rest), 8192)]:
             aligned = self.tokenizers.align(units)
             first = self.keep.add(aligned)
             self.number.update((u, first + j if ok else -1) for j, (u, ok) in enumerate(zip(units, aligned.good.tolist())))
 
 
-class _PairSets:
-    """Pass 1 keeps each unit's distinct pairs."""
+class _PairCounts:
+    """Pass 1 keeps each unit's pairs, and in how many documents each pair was seen."""
 
-    def __init__(self):
-        self.sets, self.same = [], {}
+    def __init__(self, tokenizers: PairOfTokenizers):
+        self.width = len(tokenizers.length_b)  # a pair is one number below the product of the vocabularies
+        self.span = len(tokenizers.length_a) * self.width
+        self.seen, self.times = [], []
+        self.clear()
 
     def clear(self):
-        self.sets.clear()
-        self.same.clear()
+        self.pairs, self.start, self.used = [], [np.zeros(1, np.int64)], 0
+        self.flat = None
 
     def add(self, aligned: Aligned) -> int:
-        one = self.same.setdefault  # a pair is one object however many units hold it
-        self.sets += [tuple([one(p, p) for p in pairs]) for pairs in aligned.pair_sets()]
-        return len(self.sets) - aligned.n
+        first = self.used
+        self.pairs.append((aligned.pairs >> 32) * self.width + (aligned.pairs & 0xFFFFFFFF))
+        self.start.append(aligned.pair_ends + self.start[-1][-1])
+        self.used += aligned.n
+        self.flat = None
+        return first
+
+    def count(self, units: np.ndarray, many: np.ndarray) -> int:
+        """Count the pairs of documents, given their units, each pair once a document; gives how many counts are held."""
+        if self.flat is None:
+            self.pairs, self.start = [np.concatenate(self.pairs)] if self.pairs else [], [np.concatenate(self.start)]
+            self.flat = self.pairs[0] if self.pairs else np.zeros(0, np.int64)
+        start = self.start[0]
+        held = np.unique(np.repeat(np.arange(len(many)), many) * max(1, self.used) + units)
+        doc, unit = np.divmod(held, max(1, self.used))
+        size = start[unit + 1] - start[unit]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[unit], size)
+        pairs, times = np.unique(np.unique(np.repeat(doc, size) * self.span + self.flat[at]) % self.span, return_counts=True)
+        self.seen.append(pairs)
+        self.times.append(times)
+        if len(self.seen) > 16:
+            self.merge()
+        return len(self.seen[0])
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs, inverse = np.unique(np.concatenate(self.seen), return_inverse=True) if self.seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        times = np.zeros(len(pairs), np.int64)
+        if self.seen:
+            np.add.at(times, inverse, np.concatenate(self.times))
+        self.seen, self.times = [pairs], [times]
+        return pairs // self.width << 32 | pairs % self.width, times
 
 
 class _Figures:
@@ -310,26 +361,24 @@ def _partial_counts(docs: DataFrame, file_a: str, file_b: str, flush: int = 1 <<
     """(part, block, pairs, docs): per task and block the pairs its documents hold, ascending, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, part = _PairSets(), TaskContext.get().partitionId()
-        units, seen = Units(PairOfTokenizers(file_a, file_b), keep), Counter()
+        tokenizers, part = PairOfTokenizers(file_a, file_b), TaskContext.get().partitionId()
+        keep = _PairCounts(tokenizers)
+        units = Units(tokenizers, keep)
 
         def out():
-            pairs = np.fromiter(seen.keys(), np.int64, len(seen))
-            counts = np.fromiter(seen.values(), np.int64, len(seen))
+            pairs, counts = keep.merge()
+            keep.seen, keep.times = [], []
             block = block_of(pairs)
             order = np.lexsort((pairs, block))
             pairs, counts, block = pairs[order], counts[order], block[order]
             edges = np.searchsorted(block, np.arange(BLOCKS + 1)).tolist()
             rows = [(part, b, pairs[s:e].tobytes(), counts[s:e].tobytes()) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
-            seen.clear()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "block", "pairs", "docs"])
 
         for batch in batches:
             for piece in text_blocks(batch):
-                for numbers in units.numbers(piece.column("text").to_pylist()):
-                    seen.update(set().union(*map(keep.sets.__getitem__, set(numbers))))
-                if len(seen) > flush:
+                if keep.count(*units.numbers(piece.column("text").to_pylist())) > flush:
                     yield from out()
         yield from out()
 
@@ -422,9 +471,11 @@ def _looked_up(docs: DataFrame, file_a: str, file_b: str, lookup, best, keep_gro
         units = Units(PairOfTokenizers(file_a, file_b), keep)
         for batch in batches:
             for piece in text_blocks(batch):
-                numbers = units.numbers(piece.column("text").to_pylist())
-                sums = np.array([keep.rows[n].sum(axis=0) for n in numbers], np.int64).reshape(-1, 6)
-                groups = [";".join([keep.texts[i] for i in n]) for n in numbers]
+                flat, many = units.numbers(piece.column("text").to_pylist())
+                ends = np.cumsum(many)
+                sums = np.diff(np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(keep.rows[flat], axis=0)])[ends], axis=0, prepend=0)
+                shown = list(map(keep.texts.__getitem__, flat.tolist()))
+                groups = [";".join(shown[e - n:e]) for e, n in zip(ends.tolist(), many.tolist())]
                 digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 names = [c for c in piece.schema.names if c != "text"]
                 columns = [piece.column(c) for c in names] + [pa.array(sums[:, j]) for j in range(6)] + [pa.array(digests, pa.string())]

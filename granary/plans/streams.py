@@ -12,7 +12,7 @@ from granary.plans.duck import surrogate, with_
 from granary.plans.modelling import ATTRS, DIM_USERS, visits
 from granary.plans.registry import open_ended, query
 from granary.plans.webstats import stg_events
-from granary.sources.tables import new_path, table
+from granary.sources.tables import table
 from granary.streaming import jobs
 
 # Days at which an arrival ends and the next one starts.
@@ -32,7 +32,7 @@ def stream_scd2(spark: SparkSession, root: str) -> DataFrame:
     def load(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         return scd.scd2_merge(state, scd.scd2(batch, "visitor_id", ATTRS, "access_timestamp", state=state))
 
-    return jobs.stateful_load(spark, _periods(rows, "access_timestamp"), "scd2", load)
+    return jobs.stateful_load(spark, _periods(rows, "access_timestamp"), "scd2", ["visitor_id"], load)
 
 
 open_ended("stream_scd2", with_("visits", DIM_USERS + f""" select {surrogate('visitor_id', "strftime(valid_from,'%Y-%m-%d %H:%M:%S')")} as user_sk, * from d"""))(stream_scd2)
@@ -46,7 +46,7 @@ def stream_hub(spark: SparkSession, root: str) -> DataFrame:
     def load(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         return dv.append(state, dv.hub(batch, "customer_pk", "customerkey", state=state))
 
-    return jobs.stateful_load(spark, parts, "hub", load)
+    return jobs.stateful_load(spark, parts, "hub", ["customer_pk"], load)
 
 
 query("stream_hub_dedup", V._two_load_sql(*V.HUBS["customer"][:2], [], V.HUBS["customer"][2]))(stream_hub)
@@ -55,35 +55,26 @@ KEYS = ["user_pseudo_id", "ga_session_id", "page_location"]
 
 
 def stream_daily_access(spark: SparkSession, root: str) -> DataFrame:
-    """Daily access counts of closed days. The last arrival repeats an early day, which is too late and dropped."""
+    """Daily access counts of every day. The last arrival repeats an early day, which is too late and dropped."""
     e = stg_events(spark, root).select("event_timestamp", *KEYS)
     parts = _periods(e, "event_timestamp")
     late = e.where(F.to_date("event_timestamp") == F.to_date(F.lit("2024-01-02")))
     parts[-1] = parts[-1].unionByName(late)
-    source, progress, sink = (new_path(spark, f"access-{n}") for n in ("feed", "progress", "sink"))
-    for part in parts:
-        part.write.mode("append").parquet(source)
-        jobs.run_available(jobs.daily_partials(jobs.feed(spark, source, part.schema), "event_timestamp", KEYS, "1 day"), progress, sink)
-    partial = spark.read.parquet(sink)
+    partial = jobs.run_bounded(spark, parts, "access", "event_timestamp", "3 days", lambda s: jobs.daily_partials(s, "event_timestamp", KEYS, "1 day"))
     return partial.groupBy("event_date", "user_pseudo_id").agg(
         F.sum("n").alias("total_events"), F.countDistinct("ga_session_id").alias("total_sessions"), F.countDistinct("page_location").alias("unique_pages_viewed"))
 
 
 query("stream_daily_access", with_("ga4", """ select event_date, user_pseudo_id, count(*) as total_events, count(distinct ga_session_id) as total_sessions,
-  count(distinct page_location) as unique_pages_viewed from ga4 where event_date + interval 1 day <= (select max(event_timestamp) - interval 1 day from ga4) group by 1,2"""))(stream_daily_access)
+  count(distinct page_location) as unique_pages_viewed from ga4 where event_timestamp is not null group by 1,2"""))(stream_daily_access)
 
 
 def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """Sessions with a 30-minute gap, of those closed by the watermark."""
+    """Sessions with a 30-minute gap, to the end of the feed."""
     e = table(spark, root, "events").select("user_id", "ts")
-    source, progress, sink = (new_path(spark, f"sessions-{n}") for n in ("feed", "progress", "sink"))
-    for part in _periods(e, "ts"):
-        part.write.mode("append").parquet(source)
-        jobs.run_available(jobs.gap_sessions(jobs.feed(spark, source, part.schema), "ts", "user_id", "30 minutes", "1 hour"), progress, sink)
-    return spark.read.parquet(sink)
+    return jobs.run_bounded(spark, _periods(e, "ts"), "sessions", "ts", "2 hours", lambda s: jobs.gap_sessions(s, "ts", "user_id", "30 minutes", "1 hour"))
 
 
 query("stream_sessions", """with g as (select user_id, ts, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
-s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g),
-a as (select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n_events from s group by user_id, sid)
-select * from a where session_end <= (select max(ts) - interval 1 hour from events)""")(stream_sessions)
+s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g)
+select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n_events from s where ts is not null group by user_id, sid""")(stream_sessions)

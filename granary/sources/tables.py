@@ -70,6 +70,23 @@ def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of `path` and the path as it knows it, whatever store that is."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, there = _file_system(spark, path)
+    return files.exists(there)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an intermediate table that nothing reads any more."""
+    files, there = _file_system(spark, path)
+    files.delete(there, True)
+
+
 def read_seed(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
     """CSV with a header line and declared column types; a bad value fails the read."""
     return spark.read.schema(schema).options(header=True, mode="FAILFAST", **options).csv(path)

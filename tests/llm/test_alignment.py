@@ -83,13 +83,28 @@ def test_small_memory_and_tree(spark, monkeypatch):
     for r in alignment.pair_counts(table, A, B).collect():
         whole.update(zip(np.frombuffer(r["keys"], "<i8").tolist(), np.frombuffer(r["counts"], "<i8").tolist()))
     assert found == whole and len(found) > 200
-    keep = alignment._PairSets()
-    units = alignment.Units(alignment.PairOfTokenizers(A, B), keep, most=10)
-    for text in [t for _, t in rows]:
-        units.numbers([text])
+    both = alignment.PairOfTokenizers(A, B)
+    keep = alignment._PairCounts(both)
+    units = alignment.Units(both, keep, most=10)
+    for text in [t for _, t in rows] * 2:
+        keep.count(*units.numbers([text]))
+    pairs, times = keep.merge()
+    assert dict(zip(pairs.tolist(), times.tolist())) == {p: 2 * n for p, n in whole.items()}
     assert units.held <= max(len(t or "") for _, t in rows) * 2 + 12
 
 
+def test_merging_by_rank_is_that_of_the_file():
+    """Every token is reached by its own merge, which is what the proof in `_by_rank` needs; and random Latin texts agree."""
+    both = alignment.PairOfTokenizers(A, B)
+    assert both.ranked is not None
+    tokens = [i for i in range(50_256)]
+    assert all(both.ranked._encode_single_piece(both.bytes_a[i]) == [i] for i in tokens)
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(33, 0x250) if not chr(c).isspace() and c != 0x7F and not 0x80 <= c < 0xA0]
+    texts = [" " + " ".join("".join(rng.choice(letters if j % 3 else "etaoinsr'") for _ in range(rng.randrange(1, 14))) for j in range(200)) for _ in range(100)]
+    assert [both.ranked.encode_ordinary(t) for t in texts] == [e.ids for e in both.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_perfect_hash_is_minimal_and_verified():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 48, 5000))
