@@ -102,17 +102,16 @@ def component_sizes(edges: DataFrame) -> DataFrame:
 def bipartite(edges: DataFrame) -> DataFrame:
     """(component, is_bipartite): no edge joins two nodes of the same colour.
 
-    The colour is the parity of the distance from the component's smallest node, found
-    for all components by one search.
+    Every node is doubled into two sides, and every edge joins opposite sides. A component
+    can be coloured exactly when its nodes' two sides do not meet, so this takes the
+    logarithmically many rounds of `components` on twice the graph, however long its paths.
     """
-    label = cut_lineage(components(edges))
-    roots = label.where("node = component").select("node")
-    colour = bfs(undirected(edges.select("src", "dst")), roots).select("node", (F.col("depth") % 2).alias("colour"))
-    a = colour.withColumnsRenamed({"node": "src", "colour": "ca"})
-    b = colour.withColumnsRenamed({"node": "dst", "colour": "cb"})
-    clash = edges.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("src").alias("node")).distinct()
-    bad = clash.join(label, "node").select("component").distinct().withColumn("bad", F.lit(True))
-    return label.select("component").distinct().join(bad, "component", "left").select("component", F.col("bad").isNull().alias("is_bipartite"))
+    side = lambda node, i: F.struct(F.col(node).alias("node"), F.lit(i).alias("side"))
+    doubled = edges.select(F.explode(F.array(*[F.struct(side("src", i).alias("src"), side("dst", 1 - i).alias("dst")) for i in (0, 1)])).alias("e"))
+    label = cut_lineage(components(doubled.select("e.src", "e.dst")))
+    # The smallest member of a doubled component is (its component's smallest node, 0), or (.., 1) on the other side.
+    sides = label.groupBy("node.node").agg(F.min("component.node").alias("component"), (F.min("component") == F.max("component")).alias("met"))
+    return sides.groupBy("component").agg((~F.bool_or("met")).alias("is_bipartite"))
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:

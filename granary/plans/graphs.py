@@ -43,7 +43,12 @@ def bipartite(spark: SparkSession, root: str) -> DataFrame:
     return G.bipartite(A.supply_edges(spark, root).select("src", "dst").unionByName(dag))
 
 
-query("graph_bipartite", """select min(l_partkey) as component, true as is_bipartite from lineitem union all select 3000000001, false""")(bipartite)
+# Walks of both parities from the smallest node of either graph (both are connected); where both reach one node there is an odd cycle.
+query("graph_bipartite", "with recursive " + CTE["supply_edges"] + ", " + CTE["part_dag"] + """,
+g as (select src as a, dst as b from supply_edges union select dst, src from supply_edges union select src+3000000000, dst+3000000000 from part_dag where src<>dst
+  union select dst+3000000000, src+3000000000 from part_dag where src<>dst),
+walk as (select * from (select min(a) as node, min(a) as component, 0 as parity from g group by a >= 3000000000) q union select g.b, walk.component, 1-parity from walk join g on g.a=walk.node)
+select component, count(*) = count(distinct node) as is_bipartite from walk group by 1""")(bipartite)
 query("graph_topological_level", with_("part_dag", """, r as (select distinct src as node, 0 as level from part_dag where src not in (select dst from part_dag)
   union select dst, level+1 from r join part_dag on src=node) select node, max(level) as level from r group by 1""", recursive=True))(
     lambda spark, root: G.topological_levels(A.part_dag(spark, root)))
