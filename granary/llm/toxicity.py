@@ -2,8 +2,9 @@
 
 The classifier's examples are a bounded sample of labelled texts; what it knows of the corpus (in how many documents a term occurs) is
 counted over all documents. The index lists, for each term of the examples, its weights in blocks of 64 examples with each block's highest
-weight. A document's bound for a block is the sum of its terms' block maxima; blocks are scored from the highest bound down until no other
-can hold one of the k nearest. Examples that are alike share blocks (bisection along principal directions), so whole blocks fall out.
+weight. Lists that hold a good part of all examples are kept whole as rows of a matrix: their share of the cosines of a
+batch of documents is one product. To it comes, per block, the sum of the other terms' block maxima; blocks are scored from the highest bound
+down until no other can hold one of the k nearest. Examples that are alike share blocks (bisection along principal directions), so whole blocks fall out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from granary.llm.tokens import blocks as text_blocks
 from granary.sources.tables import materialise
 
 BLOCK = 64
+FULL = 512  # lists kept whole at most
 
 
 def text_key(text: str = "text") -> Column:
@@ -51,7 +53,7 @@ class Index:
         weights = (1 + np.log(np.array([c for _, counts in examples for c in counts], np.float64))) * idf[terms]
         norms = np.sqrt(np.bincount(rows, weights ** 2, minlength=len(examples)))
         weights /= np.where(norms > 0, norms, 1)[rows]
-        common = np.argsort(-np.bincount(terms, minlength=len(numbers)), kind="stable")[:256]
+        common = np.argsort(-np.bincount(terms, minlength=len(numbers)), kind="stable")[:FULL]
         column = np.full(len(numbers), -1)
         column[common] = np.arange(len(common))
         dense = np.zeros((len(examples), len(common)))
@@ -65,10 +67,19 @@ class Index:
         at = place[rows]
         order = np.lexsort((at, terms))
         at, terms, weights = at[order], terms[order], weights[order]
-        self.at, self.weight = at.astype(np.int32), weights
-        first = np.flatnonzero(np.append(True, (np.diff(terms) != 0) | (np.diff(at // BLOCK) != 0)))
-        self.block = (at[first] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(weights, first)
+        held = np.bincount(terms, minlength=len(numbers))
+        whole = common[:FULL][held[common[:FULL]] * 8 >= len(examples)]
+        #: Row of `full` for a term, or -1 for one whose list is in blocks.
+        self.row = np.full(len(numbers), -1)
+        self.row[whole] = np.arange(len(whole))
+        self.full = np.zeros((len(whole), self.n))
+        inside = self.row[terms] >= 0
+        self.full[self.row[terms[inside]], at[inside]] = weights[inside]
+        at, terms, weights = at[~inside], terms[~inside], weights[~inside]
+        self.at, self.weight = at, weights
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(terms) != 0) | (np.diff(at // BLOCK) != 0)])) if len(at) else np.zeros(0, np.int64)
+        self.block = at[first] // BLOCK
+        self.most = np.maximum.reduceat(weights, first) if len(at) else weights
         self.start = np.append(first, len(at))
         self.entry = np.searchsorted(terms[first], np.arange(len(numbers) + 1))  # blocks of each term
         self.blocks = -(-self.n // BLOCK)
@@ -80,38 +91,56 @@ class Index:
         which = np.repeat(np.arange(len(start)), size)
         return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which], which
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """Examples (places) of the k highest cosines above 0 with these, ties by place; and how many blocks were scored.
+    def nearest(self, docs: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each document (terms, counts): examples (places) of the k highest cosines above 0, ties by place; and how many blocks were scored.
 
-        `terms` are those of the examples' vocabulary; the cosine is that of the space they span. `without` leaves one example out.
+        The terms are those of the examples' vocabulary; the cosine is that of the space they span, to twelve digits. `without` leaves an example
+        out for each document.
         """
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        norm = np.sqrt((weight ** 2).sum())
-        if not norm:
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        weight = weight / norm
+        out = []
+        for i in range(0, len(docs), 64):
+            part = docs[i:i + 64]
+            weights = []
+            share = np.zeros((len(part), len(self.full)))
+            for j, (terms, counts) in enumerate(part):
+                weight = (1 + np.log(counts)) * self.idf[terms]
+                norm = np.sqrt((weight ** 2).sum())
+                weights.append(weight / norm if norm else weight)
+                row = self.row[terms]
+                share[j, row[row >= 0]] = weights[-1][row >= 0]
+            scores = share @ self.full
+            for j, (terms, _) in enumerate(part):
+                listed = self.row[terms] < 0
+                out.append(self._best(scores[j], terms[listed], weights[j][listed], k, without[i + j] if without else -1))
+        return out
+
+    def _best(self, scores: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray, int]:
         entries, term = self._ranges(self.entry[terms], self.entry[terms + 1])
         block, ours = self.block[entries], weight[term]
-        bounds = np.bincount(block, ours * self.most[entries], minlength=self.blocks) * (1 + 1e-9)
-        scores, done, least = np.zeros(self.n), np.zeros(self.blocks, bool), 0.0
+        bounds = np.maximum.reduceat(scores, np.arange(0, self.n, BLOCK)) + np.bincount(block, ours * self.most[entries], minlength=self.blocks)
+        bounds = bounds * (1 + 1e-9) + 1e-12
+        done, least = np.zeros(self.blocks, bool), 0.0
+        seen = np.zeros(self.n)  # cosines of the blocks scored so far
         by_bound = np.argsort(-bounds, kind="stable")
         sure = by_bound[:-(-2 * k // BLOCK) + 1]  # enough blocks for a first threshold
         for chosen in (sure, None):
             if chosen is None:
-                chosen = np.flatnonzero((bounds >= least) & (bounds > 0) & ~done)
+                chosen = np.flatnonzero((bounds >= least) & (bounds > 1e-12) & ~done)
             take = np.zeros(self.blocks, bool)
             take[chosen] = True
             done |= take
             mine = take[block]
             postings, entry = self._ranges(self.start[entries[mine]], self.start[entries[mine] + 1])
-            scores += np.bincount(self.at[postings], self.weight[postings] * ours[mine][entry], minlength=self.n)
+            scores = scores + np.bincount(self.at[postings], self.weight[postings] * ours[mine][entry], minlength=self.n)
+            inside = np.repeat(done, BLOCK)[:self.n]
+            seen[inside] = np.round(scores[inside], 12)
             if without >= 0:
-                scores[without] = 0
+                seen[without] = 0
             if self.n > k:
-                least = np.partition(scores, self.n - k)[self.n - k]
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        best = found[np.argsort(-scores[found], kind="stable")][:k]
-        return best, scores[best], int(done.sum())
+                least = np.partition(seen, self.n - k)[self.n - k]
+        found = np.flatnonzero((seen >= least) & (seen > 0))
+        best = found[np.argsort(-seen[found], kind="stable")][:k]
+        return best, seen[best], int(done.sum())
 
 
 @dataclass
@@ -246,12 +275,10 @@ def _calibrate(model: Classifier, examples: DataFrame, spark) -> Classifier:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, place = sent.value
         for batch in batches:
-            keys, votes = [], []
-            for key, words, counts in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "counts"))):
-                if key in place:
-                    terms = np.array([model.numbers[w] for w in words], np.int64)
-                    keys.append(key)
-                    votes.append(model.votes(*model.index.nearest(terms, np.array(counts, np.float64), model.k, place[key])[:2]))
+            rows = [r for r in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "counts"))) if r[0] in place]
+            keys = [r[0] for r in rows]
+            docs = [(np.array([model.numbers[w] for w in words], np.int64), np.array(counts, np.float64)) for _, words, counts in rows]
+            votes = [model.votes(*found[:2]) for found in model.index.nearest(docs, model.k, [place[key] for key in keys])]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(votes, pa.float64())], ["key", "vote"])
 
     votes = dict(examples.repartition(32, "key").mapInArrow(run, "key string, vote double").collect())
@@ -274,10 +301,10 @@ def predict(docs: DataFrame, model: Classifier, text: str = "text", evidence: in
         for batch in batches:
             for piece in text_blocks(batch):
                 scores, shown = [], []
-                for raw in piece.column("text").to_pylist():
-                    found, cosine = np.zeros(0, np.int64), np.zeros(0)
-                    if model.index is not None:
-                        found, cosine, _ = model.index.nearest(*model.look_up(raw or b""), model.k)
+                raws = piece.column("text").to_pylist()
+                none = (np.zeros(0, np.int64), np.zeros(0), 0)
+                judged = model.index.nearest([model.look_up(raw or b"") for raw in raws], model.k) if model.index is not None else [none] * len(raws)
+                for found, cosine, _ in judged:
                     scores.append(model.calibrated(model.votes(found, cosine)) if model.index is not None else 0.5)
                     near = model.index.order[found[:evidence]] if len(found) else []
                     shown.append([{"key": model.keys[i], "cosine": c, "label": float(model.labels[i])} for i, c in zip(near, cosine.tolist())])
