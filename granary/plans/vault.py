@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.values import money, pad_right
 from granary.operators import vault as dv
+from granary.operators.ledger import Ledger
 from granary.operators.vault import HashDiff
 from granary.plans.duck import hash_diff as dhd
 from granary.plans.duck import hash_key as dhk
 from granary.plans.duck import with_
 from granary.plans.registry import query
 from granary.sources import adapters as A
-from granary.sources.tables import date_spine_of, materialise, table
+from granary.sources.tables import date_spine_of, new_path, table
 
 LOAD_DAY = {1: A.FIRST_LOAD, 2: A.SECOND_LOAD, None: A.SECOND_LOAD}
 
@@ -219,8 +223,50 @@ def sat_of(spark: SparkSession, root: str, name: str, load: int | None = None, s
 
 def two_loads(of, spark: SparkSession, root: str, name: str) -> DataFrame:
     """The stored table after the first and then the second load."""
-    first = of(spark, root, name, 1)
-    return dv.append(first, of(spark, root, name, 2, state=first))
+    return stored_loads(spark, name, lambda load, state: of(spark, root, name, load, state=state))
+
+
+def stored_loads(spark: SparkSession, name: str, of) -> DataFrame:
+    """A table after `of(load, state)` for loads 1 and 2, the second on what the first has stored."""
+    ledger = Ledger(spark, new_path(spark, f"vault-{name}"))
+    for load in (1, 2):
+        ledger.load(name, load, lambda state, load=load: of(load, state))
+    return ledger.table(name)
+
+
+class StoredVault:
+    """Raw vault tables in a ledger. A load stages each source once; hubs, links and satellites read that stage."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.ledger = spark, root, Ledger(spark, new_path(spark, "vault"))
+
+    def load(self, load: int | None, hubs: Sequence[str] = (), links: Sequence[str] = (), sats: Sequence[str] = ()) -> StoredVault:
+        """Bring one load into these tables; a table that has the load already is left alone."""
+        hashes, plain = defaultdict(set), defaultdict(set)
+        for stages, pk, rest in [HUBS[n] for n in hubs] + [LINKS[n] for n in links]:
+            for s in stages:
+                hashes[s] |= {pk, *rest}
+        for stage, pk, hashdiff, payload in [SATS[n] for n in sats]:
+            hashes[stage] |= {pk, hashdiff}
+            plain[stage] |= {*payload, "effective_from"}
+        staged = {}
+        for s, names in hashes.items():
+            of = STAGES[s](self.spark, self.root, load, sorted(names))
+            wanted = sorted({*names, *plain[s], "load_date", "record_source"})
+            staged[s] = self.ledger.load(f"stage_{s}", load, lambda _, of=of, wanted=wanted: of.select(*wanted), source=s, mark="load_date")
+        for n in hubs:
+            stages, pk, nk = HUBS[n]
+            self.ledger.load(f"hub_{n}", load, lambda state: dv.hub([staged[s] for s in stages], pk, nk, state=state), ",".join(stages), "load_date")
+        for n in links:
+            stages, pk, fk = LINKS[n]
+            self.ledger.load(f"link_{n}", load, lambda state: dv.link([staged[s] for s in stages], pk, fk, state=state), ",".join(stages), "load_date")
+        for n in sats:
+            stage, pk, hashdiff, payload = SATS[n]
+            self.ledger.load(f"sat_{n}", load, lambda state: dv.sat(staged[stage], pk, hashdiff, payload, state=state), stage, "load_date")
+        return self
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.ledger.table(name)
 
 
 # --- queries with their check SQL ---------------------------------------------------
@@ -352,9 +398,8 @@ TX_PAYLOAD = ["transaction_number", "transaction_date", "type", "amount", "dummy
 
 
 def t_link_transactions(spark: SparkSession, root: str) -> DataFrame:
-    first = dv.t_link(stage_transactions(spark, root, 1), "transaction_pk", ["customer_pk", "order_pk"], TX_PAYLOAD)
-    second = dv.t_link(stage_transactions(spark, root, 2), "transaction_pk", ["customer_pk", "order_pk"], TX_PAYLOAD, state=first)
-    return dv.append(first, second)
+    return stored_loads(spark, "transactions", lambda load, state: dv.t_link(
+        stage_transactions(spark, root, load), "transaction_pk", ["customer_pk", "order_pk"], TX_PAYLOAD, state=state))
 
 
 query("dv_tlink_transactions", f"""with {_TX}, {_STG_TX} select transaction_pk, customer_pk, order_pk, {', '.join(TX_PAYLOAD)},
@@ -382,8 +427,7 @@ def effectivity_feed(spark: SparkSession, root: str, load: int) -> DataFrame:
 
 
 def eff_sat_order_customer(spark: SparkSession, root: str) -> DataFrame:
-    first = dv.eff_sat(effectivity_feed(spark, root, 1), **EFF)
-    return dv.append(first, dv.eff_sat(effectivity_feed(spark, root, 2), **EFF, state=first))
+    return stored_loads(spark, "effectivity", lambda load, state: dv.eff_sat(effectivity_feed(spark, root, load), **EFF, state=state))
 
 
 _EFF_COLS = "order_customer_pk, order_pk, customer_pk, shipdate, commitdate, effective_from, load_date, record_source"
@@ -423,8 +467,7 @@ MA = dict(pk="customer_pk", cdk=["customer_phone"], payload=["customer_name"], h
 
 
 def ma_sat_customer_phone(spark: SparkSession, root: str) -> DataFrame:
-    first = dv.ma_sat(phone_feed(spark, root, 1), **MA)
-    return dv.append(first, dv.ma_sat(phone_feed(spark, root, 2), **MA, state=first))
+    return stored_loads(spark, "phones", lambda load, state: dv.ma_sat(phone_feed(spark, root, load), **MA, state=state))
 
 
 def _phone_sql(load: int) -> str:
@@ -448,8 +491,7 @@ select * from m1 union all select * from m2 where customer_pk in (
 def xts_customer(spark: SparkSession, root: str) -> DataFrame:
     names = {"sat_order_customer_details": "customer_hashdiff", "sat_order_cust_nation_details": "customer_nation_hashdiff"}
     hashes = ["customer_pk", *names.values()]
-    first = dv.xts(stage_orders(spark, root, 1, hashes), "customer_pk", names)
-    return dv.append(first, dv.xts(stage_orders(spark, root, 2, hashes), "customer_pk", names, state=first))
+    return stored_loads(spark, "xts", lambda load, state: dv.xts(stage_orders(spark, root, load, hashes), "customer_pk", names, state=state))
 
 
 query("dv_xts", with_("ro1 ro2", " union all ".join(
@@ -473,10 +515,11 @@ query("dv_as_of_dates", f"with {_AS_OF} select * from asofd")(as_of_dates)
 
 
 def pit_customer(spark: SparkSession, root: str) -> DataFrame:
-    return dv.pit(two_loads(hub_of, spark, root, "customer"), "customer_pk", as_of_dates(spark, root), {
-        "sat_order_customer_details": two_loads(sat_of, spark, root, "customer"),
-        "sat_order_cust_nation_details": two_loads(sat_of, spark, root, "cust_nation"),
-    })
+    vault = StoredVault(spark, root)
+    for load in (1, 2):
+        vault.load(load, hubs=["customer"], sats=["customer", "cust_nation"])
+    return dv.pit(vault["hub_customer"], "customer_pk", as_of_dates(spark, root), {
+        "sat_order_customer_details": vault["sat_customer"], "sat_order_cust_nation_details": vault["sat_cust_nation"]})
 
 
 _PIT_SAT = """{n} as (select distinct pk, min(load_date) over (partition by pk, hd) as ldts from (
@@ -514,30 +557,35 @@ from ranked where rn=1 and ed > as_of_date"""))(bridge_customer)
 # --- reports ------------------------------------------------------------------------
 
 
-def _order_details(spark: SparkSession, root: str, newest) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customer, nation and order satellites cut to their newest rows by `newest`.
-
-    The satellites are stored first, as a load would leave them: the latest load date is
-    then a scan of one column, not a second run of the load.
-    """
-    def stored(name: str) -> DataFrame:
-        return materialise(sat_of(spark, root, name), f"sat-{name}")
-
-    return tuple(newest(stored(name), SATS[name][1], SATS[name][2]) for name in ("customer", "cust_nation", "order"))
+ORDER_TABLES = dict(hubs=["customer", "order"], links=["customer_order"], sats=["customer", "cust_nation", "order"])
 
 
 def _by_load(sat: DataFrame, pk: str, hashdiff: str) -> DataFrame:
+    """The rows of the latest load, as the models state it."""
     return dv.latest_load(sat)
 
 
-def customer_order(spark: SparkSession, root: str, newest=_by_load) -> DataFrame:
-    """Order value by date, customer nation and status."""
-    sc, sn, so = _order_details(spark, root, newest)
+def _by_key(sat: DataFrame, pk: str, hashdiff: str) -> DataFrame:
+    """The latest version of every key."""
+    return dv.current_sat(sat, pk, hashdiff)
+
+
+def _order_details(vault: StoredVault, newest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customer, nation and order satellites cut to their newest rows by `newest`."""
+    return tuple(newest(vault[f"sat_{name}"], SATS[name][1], SATS[name][2]) for name in ("customer", "cust_nation", "order"))
+
+
+def customer_order(spark: SparkSession, root: str, newest=_by_load, loads: Sequence[int | None] = (None,)) -> DataFrame:
+    """Order value by date, customer nation and status, from the stored tables after `loads`."""
+    vault = StoredVault(spark, root)
+    for load in loads:
+        vault.load(load, **ORDER_TABLES)
+    sc, sn, so = _order_details(vault, newest)
     return (
-        link_of(spark, root, "customer_order").select("customer_pk", "order_pk")
-        .join(hub_of(spark, root, "customer").select("customer_pk"), "customer_pk")
-        .join(hub_of(spark, root, "order").select("order_pk"), "order_pk")
-        .join(sc.select("customer_pk"), "customer_pk")
+        vault["link_customer_order"].select("customer_pk", "order_pk")
+        .join(vault["hub_customer"].select("customer_pk"), "customer_pk", "left_semi")
+        .join(vault["hub_order"].select("order_pk"), "order_pk", "left_semi")
+        .join(sc.select("customer_pk"), "customer_pk", "left_semi")
         .join(sn.select("customer_pk", "customer_nation_name"), "customer_pk")
         .join(so.select("order_pk", "orderdate", "orderstatus", "totalprice"), "order_pk")
         .groupBy("orderdate", "customer_nation_name", "orderstatus")
@@ -550,16 +598,29 @@ query("dv_info_customer_order", """select cast(o_orderdate as date) as orderdate
   cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(28,2)) as sum_totalprice
 from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey group by 1,2,3""")(
     lambda spark, root: customer_order(spark, root))
+query("dv_info_customer_order_two_loads", """select cast(o_orderdate as date) as orderdate, n_name as customer_nation_name, o_orderstatus as orderstatus,
+  cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(28,2)) as sum_totalprice
+from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey group by 1,2,3""")(
+    lambda spark, root: customer_order(spark, root, _by_key, (1, 2)))
+# The literal cut keeps customers whose details and nation both came with the last load, and that load's orders.
+query("dv_info_customer_order_last_load", with_("ro1 ro2", f""", old as (select distinct {_H['customer_pk']} as pk, {_H['customer_hashdiff']} as hd, {_H['customer_nation_hashdiff']} as nd from ro1),
+new as (select distinct {_H['customer_pk']} as pk, {_H['customer_hashdiff']} as hd, {_H['customer_nation_hashdiff']} as nd, customer_nation_name from ro2),
+kept as (select new.pk, new.customer_nation_name from new left join old on old.pk=new.pk where old.pk is null or (old.hd<>new.hd and old.nd<>new.nd)),
+o as (select distinct {_H['customer_pk']} as pk, {_H['order_pk']} as ok, orderdate, orderstatus, totalprice from ro2)
+select orderdate, customer_nation_name, orderstatus, cast(sum(totalprice) as decimal(28,2)) as sum_totalprice from o join kept using (pk)
+where ok not in (select {_H['order_pk']} from ro1) group by 1,2,3"""))(
+    lambda spark, root: customer_order(spark, root, _by_load, (1, 2)))
 
 
 def customer_transaction(spark: SparkSession, root: str) -> DataFrame:
     """Transactions with the order's date and status and the customer's nation."""
-    sc, sn, so = _order_details(spark, root, _by_load)
+    vault = StoredVault(spark, root).load(None, hubs=["customer", "order"], sats=ORDER_TABLES["sats"])
+    sc, sn, so = _order_details(vault, _by_load)
     return (
         t_link_transactions(spark, root).select("customer_pk", "order_pk", "transaction_date", "type", "amount")
-        .join(hub_of(spark, root, "customer").select("customer_pk"), "customer_pk")
-        .join(hub_of(spark, root, "order").select("order_pk"), "order_pk")
-        .join(sc.select("customer_pk"), "customer_pk")
+        .join(vault["hub_customer"].select("customer_pk"), "customer_pk", "left_semi")
+        .join(vault["hub_order"].select("order_pk"), "order_pk", "left_semi")
+        .join(sc.select("customer_pk"), "customer_pk", "left_semi")
         .join(sn.select("customer_pk", "customer_nation_name"), "customer_pk")
         .join(so.select("order_pk", "orderdate", "orderstatus"), "order_pk")
         .select("orderdate", "customer_nation_name", "orderstatus", "transaction_date", "type", "amount")
@@ -571,8 +632,9 @@ query("dv_info_customer_transaction", f"""with {_TX} select order_date as orderd
 
 
 def info_parts(spark: SparkSession, root: str) -> DataFrame:
-    hub_part = hub_of(spark, root, "part").select("part_pk", F.col("partkey").alias("part_key"))
-    sat_part = dv.latest_load(materialise(sat_of(spark, root, "part"), "sat-part")).select("part_pk", F.col("part_name").alias("name"), F.col("part_brand").alias("brand"))
+    vault = StoredVault(spark, root).load(None, hubs=["part"], sats=["part"])
+    hub_part = vault["hub_part"].select("part_pk", F.col("partkey").alias("part_key"))
+    sat_part = dv.latest_load(vault["sat_part"]).select("part_pk", F.col("part_name").alias("name"), F.col("part_brand").alias("brand"))
     return hub_part.join(sat_part, "part_pk").select("part_key", "name", "brand")
 
 

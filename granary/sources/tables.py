@@ -81,6 +81,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(there)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it is not there."""
+    files, there = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(there)) if files.exists(there) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of an intermediate table that nothing reads any more."""
     files, there = _file_system(spark, path)
