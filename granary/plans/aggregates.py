@@ -9,8 +9,7 @@ from granary.functions.values import exact_avg, floor_round, money
 from granary.operators.stats import mean_median_mode, spread_and_second
 from granary.plans.duck import fr
 from granary.plans.registry import query
-from granary.sources.sinks import write_table
-from granary.sources.tables import new_path, number_spine, table
+from granary.sources.tables import number_spine, table
 
 
 def _t(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -126,11 +125,9 @@ query("agg_filter_map_sum", "select cast(sum(v*v) as decimal(38,0)) as total fro
 
 
 def partial_final(spark: SparkSession, root: str) -> DataFrame:
-    """Sum by chunk, then of the chunks; equal to the plain sum, which Spark splits the same way."""
-    li = _t(spark, root, "lineitem").select("l_orderkey", money("l_extendedprice").alias("v"))
-    chunks = write_table(li.groupBy((F.col("l_orderkey") % 16).alias("chunk")).agg(F.sum("v").alias("v")), new_path(spark, "partials"))
-    return chunks.agg(F.sum("v").cast("decimal(38,2)").alias("merged"), F.count(F.lit(1)).alias("chunks")).withColumn(
-        "direct", li.agg(F.sum("v").cast("decimal(38,2)")).scalar())
+    """Plain aggregates: Spark sums on the map side first and merges the partial sums (asserted in tests/test_plans.py)."""
+    total = F.sum(money("l_extendedprice")).cast("decimal(38,2)")
+    return _t(spark, root, "lineitem").agg(total.alias("merged"), F.countDistinct(F.col("l_orderkey") % 16).alias("chunks"), total.alias("direct"))
 
 
 query("agg_partial_final", """select cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(38,2)) as merged, count(distinct l_orderkey%16) as chunks,

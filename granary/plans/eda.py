@@ -30,18 +30,10 @@ def eda_counts(spark: SparkSession, root: str) -> DataFrame:
     """Dimension rows, current rows, fact rows and distinct visitors of a shard range, as one row each."""
     d = dim_users(spark, root)
     v = visits(spark, root)
-    in_range = v.where(F.col("dt").rlike("^202401(0[1-9]|1[0-5])$"))
-    parts = [
-        d.agg(F.lit("dim_rows").alias("metric"), F.count(F.lit(1)).alias("n")),
-        d.where("is_current").agg(F.lit("current_rows").alias("metric"), F.count(F.lit(1)).alias("n")),
-        d.where("visitor_id = '1'").agg(F.lit("rows_of_visitor_1").alias("metric"), F.count(F.lit(1)).alias("n")),
-        v.agg(F.lit("fact_rows").alias("metric"), F.count(F.lit(1)).alias("n")),
-        in_range.agg(F.lit("visitors_in_range").alias("metric"), F.countDistinct("visitor_id").alias("n")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # One aggregate per table; its figures then become rows.
+    dims = d.agg(F.count(F.lit(1)).alias("dim_rows"), F.count_if("is_current").alias("current_rows"), F.count_if(F.col("visitor_id") == "1").alias("rows_of_visitor_1"))
+    facts = v.agg(F.count(F.lit(1)).alias("fact_rows"), F.countDistinct(F.when(F.col("dt").rlike("^202401(0[1-9]|1[0-5])$"), F.col("visitor_id"))).alias("visitors_in_range"))
+    return dims.unpivot([], dims.columns, "metric", "n").unionByName(facts.unpivot([], facts.columns, "metric", "n"))
 
 
 query("eda_counts", with_("visits", DIM_USERS + """ select 'dim_rows' as metric, count(*) as n from d union all select 'current_rows', count(*) from d where is_current

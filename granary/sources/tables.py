@@ -14,7 +14,7 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: dict[tuple[str, int], T.StructType] = {}
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -22,10 +22,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     path = f"{root}/{name}.parquet"
-    # Reading a footer for the schema is a job of its own; do it once per table, not per scan.
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    # Reading a footer for the schema is a job of its own; do it once per table, not per scan, and again when the table was rewritten.
+    files, there = _file_system(spark, path)
+    known = path, files.getFileStatus(there).getModificationTime()
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def storage_root(spark: SparkSession) -> str:
@@ -99,13 +101,14 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType | str, **opti
 
 
 def read_dirty_csv(spark: SparkSession, path: str, schema: str, stray: str = ";") -> DataFrame:
-    """CSV whose lines carry a stray character: strip it, then parse.
+    """CSV whose lines carry a stray character: strip it outside quotes, then parse.
 
     The parse is an expression on a text scan, so there is one pass over the file. A line that does not fit the schema
     even without the stray character fails the read, as in `read_seed`.
     """
     lines = spark.read.text(path)
-    clean = F.regexp_replace("value", f"[{stray}]", "")
+    # A character is outside quotes if an even number of quotes follows.
+    clean = F.regexp_replace("value", f'[{stray}](?=(?:[^"]*"[^"]*")*[^"]*$)', "")
     row = F.from_csv(clean, F.lit(schema), {"mode": "FAILFAST"})
     header = T.StructType.fromDDL(schema).fieldNames()
     return (

@@ -50,3 +50,8 @@ def test_no_pairwise_join_and_no_row_copies(spark, root, key):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if key == "anl_time_period":
         assert "Expand" not in plan
+
+
+def test_a_total_is_summed_on_the_map_side(spark, root):
+    plan = physical(entry.queries()["agg_partial_final"](spark, root))
+    assert "partial_sum" in plan and "merge_sum" in plan or plan.count("HashAggregate") >= 2
