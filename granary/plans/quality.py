@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators import keys as K
 from granary.operators import quality as Q
 from granary.plans.duck import with_
 from granary.plans.modelling import DIM_USERS, dim_users
@@ -32,6 +33,20 @@ query("dq_unique_combination", "select l_orderkey, l_linenumber, count(*) as n f
     lambda spark, root: Q.unique_combination(table(spark, root, "lineitem"), ["l_orderkey", "l_linenumber"]))
 
 
+def declared(spark: SparkSession, root: str) -> DataFrame:
+    """What breaks the keys declared for orders (sound) and for lines (their order alone is no key; suppliers as parents of part keys leave orphans)."""
+    orders = K.declare_foreign(K.declare_primary(table(spark, root, "orders"), "o_orderkey"), "o_custkey", "customer", "c_custkey")
+    lines = K.declare_foreign(K.declare_primary(table(spark, root, "lineitem"), "l_orderkey"), "l_partkey", "supplier", "s_suppkey")
+    parents = {"customer": table(spark, root, "customer"), "supplier": table(spark, root, "supplier")}
+    return K.violations(orders, parents).unionByName(K.violations(lines, parents))
+
+
+query("dq_declared_keys", """select 'primary' as rule, '{"o_orderkey":'||o_orderkey||'}' as value, count(*) as n from orders group by o_orderkey having count(*)>1
+  union all select 'foreign o_custkey', '{"o_custkey":'||o_custkey||'}', count(*) from orders where o_custkey not in (select c_custkey from customer) group by o_custkey
+  union all select 'primary', '{"l_orderkey":'||l_orderkey||'}', count(*) from lineitem group by l_orderkey having count(*)>1
+  union all select 'foreign l_partkey', '{"l_partkey":'||l_partkey||'}', count(*) from lineitem where l_partkey not in (select s_suppkey from supplier) group by l_partkey""")(declared)
+
+
 def ltv_below(spark: SparkSession, root: str) -> DataFrame:
     """Days on which the lifetime value does not exceed 100."""
     return Q.expression(fct_user_ltv(spark, root), "cumulative_ltv > 100").select("event_date", "user_pseudo_id", "cumulative_ltv")
