@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -109,10 +109,21 @@ AVG_ATT = "cast(sum(attendance) as double) / count(attendance)"
 AVG_DUR = "cast(sum(duration_minutes) as double) / count(duration_minutes)"
 
 
-DISTINCT = re.compile(r"count\(distinct (?:case when (.*) then (\w+) end|(\w+))\)$")
+@dataclass(frozen=True)
+class Distinct:
+    """A count of the distinct values of a column, of all rows or of those that pass a test."""
 
+    column: str
+    test: str = "true"
 
-def _grouped(df: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
+    def sql(self) -> str:
+        return f"count(distinct {self.column})" if self.test == "true" else f"count(distinct case when {self.test} then {self.column} end)"
+
+
+Measures = dict[str, "str | Distinct"]
+
+
+def _grouped(df: DataFrame, keys: list[str], measures: Measures) -> DataFrame:
     """Group with the given measures, distinct counts apart.
 
     Many conditional distinct counts in one aggregate would copy every row once per
@@ -120,15 +131,11 @@ def _grouped(df: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFr
     (group, value) with a flag per condition, and the flags are counted. The passes join
     on the group keys, one row per group.
     """
-    plain: dict[str, str] = {}
+    plain = {name: m for name, m in measures.items() if isinstance(m, str)}
     counted: dict[str, dict[str, str]] = {}
-    for name, text in measures.items():
-        match = DISTINCT.match(text)
-        if match:
-            test, conditional, bare = match.groups()
-            counted.setdefault(conditional or bare, {})[name] = test or "true"
-        else:
-            plain[name] = text
+    for name, m in measures.items():
+        if isinstance(m, Distinct):
+            counted.setdefault(m.column, {})[name] = m.test
     out = df.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in plain.items()])
     for column, tests in counted.items():
         flags = [F.expr(f"coalesce(max({test}), false)").alias(name) for name, test in tests.items()]
@@ -138,7 +145,7 @@ def _grouped(df: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFr
     return out.select(*keys, *measures)
 
 
-def _duck(keys: list[str], measures: dict[str, str], source: str, where: str = "") -> str:
+def _duck(keys: list[str], measures: Measures, source: str, where: str = "") -> str:
     """The same measures for the check engine, which needs quotes around mixed-case names and narrower sums."""
 
     def fix(text: str) -> str:
@@ -147,13 +154,13 @@ def _duck(keys: list[str], measures: dict[str, str], source: str, where: str = "
         return text
 
     parts = []
-    for name, text in measures.items():
-        text = fix(text)
+    for name, measure in measures.items():
+        text = fix(measure.sql() if isinstance(measure, Distinct) else measure)
         parts.append(f"cast({text} as bigint) as {name}" if text.startswith("sum(") else f"{text} as {name}")
     return f"select {fix(', '.join(keys))}, {', '.join(parts)} from {source} {where} group by {fix(', '.join(keys))}"
 
 
-def _register(key: str, build, sql_head: str, source: str, keys: list[str], measures: dict[str, str], where: str = "") -> None:
+def _register(key: str, build, sql_head: str, source: str, keys: list[str], measures: Measures, where: str = "") -> None:
     """One summary: the measure texts are plain SQL that both engines accept."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
@@ -163,17 +170,17 @@ def _register(key: str, build, sql_head: str, source: str, keys: list[str], meas
     query(key, with_("games", sql_head + " " + _duck(keys, measures, source, where)))(run)
 
 
-GAMES = "count(distinct gameId)"
+GAMES = Distinct("gameId")
 
 
-def games_if(test: str) -> str:
-    return f"count(distinct case when {test} then gameId end)"
+def games_if(test: str) -> Distinct:
+    return Distinct("gameId", test)
 
 
 _register("anl_monthly_summary", enriched, ENR_SQL, "enr", ["year_value", "month_value", "month_name_jp", "month_name_en"], {
     "total_games": GAMES, "weekend_games": games_if("is_weekend"), "weekday_games": games_if("is_weekday"),
     "total_attendance": "sum(attendance)", "avg_attendance": AVG_ATT, "avg_duration_minutes": AVG_DUR,
-    "unique_home_teams": "count(distinct homeTeamId)", "unique_away_teams": "count(distinct awayTeamId)",
+    "unique_home_teams": Distinct("homeTeamId"), "unique_away_teams": Distinct("awayTeamId"),
 })
 _register("anl_dow_summary", enriched, ENR_SQL, "enr", ["day_of_week", "day_name_jp", "day_name_en"], {
     "total_games": GAMES, "total_attendance": "sum(attendance)", "avg_attendance": AVG_ATT, "avg_duration_minutes": AVG_DUR})
@@ -187,8 +194,8 @@ DAY_KEYS = ["calendar_sk", "date_value", "year_value", "month_value", "day_value
             "month_name_jp", "month_name_en", "day_name_jp", "day_name_en", "is_weekend", "is_weekday", "fiscal_year_jp", "fiscal_quarter_jp"]
 DAY_MEASURES = {
     "games_count": GAMES, "total_attendance": "sum(attendance)", "avg_attendance": AVG_ATT, "max_attendance": "max(attendance)",
-    "min_attendance": "min(attendance)", "avg_game_duration": AVG_DUR, "unique_home_teams": "count(distinct homeTeamId)",
-    "unique_away_teams": "count(distinct awayTeamId)", "day_games": games_if("dayNight = 'D'"), "night_games": games_if("dayNight = 'N'"),
+    "min_attendance": "min(attendance)", "avg_game_duration": AVG_DUR, "unique_home_teams": Distinct("homeTeamId"),
+    "unique_away_teams": Distinct("awayTeamId"), "day_games": games_if("dayNight = 'D'"), "night_games": games_if("dayNight = 'N'"),
 }
 
 
@@ -229,8 +236,8 @@ def avg_of(expr: str, places: int = 4) -> str:
 
 _register("anl_monthly_aggregation", daily_metrics, DAILY_SQL, "daily",
           ["year_value", "month_value", "month_name_jp", "month_name_en", "fiscal_year_jp", "fiscal_quarter_jp"], {
-              "days_with_games": "count(distinct case when games_count > 0 then date_value end)",
-              "days_without_games": "count(distinct case when games_count = 0 then date_value end)",
+              "days_with_games": Distinct("date_value", "games_count > 0"),
+              "days_without_games": Distinct("date_value", "games_count = 0"),
               "monthly_total_games": "sum(games_count)", "monthly_total_attendance": "sum(total_attendance)",
               "monthly_avg_attendance": avg_of("avg_attendance"), "monthly_day_games": "sum(day_games)", "monthly_night_games": "sum(night_games)",
               "weekend_games": "sum(case when is_weekend then games_count else 0 end)",
@@ -238,7 +245,7 @@ _register("anl_monthly_aggregation", daily_metrics, DAILY_SQL, "daily",
               "weekend_attendance": "sum(case when is_weekend then total_attendance else 0 end)",
               "weekday_attendance": "sum(case when is_weekday then total_attendance else 0 end)"})
 _register("anl_yearly_aggregation", daily_metrics, DAILY_SQL, "daily", ["year_value", "fiscal_year_jp"], {
-    "days_with_games": "count(distinct case when games_count > 0 then date_value end)",
+    "days_with_games": Distinct("date_value", "games_count > 0"),
     "yearly_total_games": "sum(games_count)", "yearly_total_attendance": "sum(total_attendance)", "yearly_avg_attendance": avg_of("avg_attendance"),
     "yearly_max_attendance": "max(max_attendance)",
     **{f"{name}_games": f"sum(case when month_value in {months} then games_count else 0 end)" for name, months in (
@@ -257,7 +264,7 @@ ROLL_KEYS = ["date_value", "year_value", "month_value", "day_value", "quarter_va
 ROLL_MEASURES = {
     "games_count": "count(gameId)", "total_attendance": "sum(attendance)", "avg_attendance": AVG_ATT, "max_attendance": "max(attendance)",
     "min_attendance": "min(attendance)", "total_duration_minutes": "sum(duration_minutes)", "avg_duration_minutes": AVG_DUR,
-    "unique_home_teams": "count(distinct homeTeamId)", "unique_away_teams": "count(distinct awayTeamId)",
+    "unique_home_teams": Distinct("homeTeamId"), "unique_away_teams": Distinct("awayTeamId"),
     "day_games": "sum(case when dayNight = 'D' then 1 else 0 end)", "night_games": "sum(case when dayNight = 'N' then 1 else 0 end)",
 }
 DAILY_NAMES = {
