@@ -77,13 +77,13 @@ def mix(docs: DataFrame, size: Column, quality: Column, parts: Sequence[str] = (
     return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}], "size", "source_size", "target", "taken")
 
 
-def draw(docs: DataFrame, quality: Column, text: str = "text", **options) -> DataFrame:
+def draw(docs: DataFrame, quality: Column, text: str = "text", words: Column | None = None, **options) -> DataFrame:
     """The mix itself, in the columns of `docs`: a row for each time its document is taken.
 
     The document at a source's edge is cut to the words left, joined by single blanks (`n_chars`, if there, follows).
-    Documents of no words are in no mix.
+    Documents of no words are in no mix. `words` is their number where it is known already, so that the keys are made without the texts.
     """
-    mixed = mix(docs.withColumn("__text_size", word_count(text)), F.col("__text_size"), quality, **options).where("taken > 0")
+    mixed = mix(docs.withColumn("__text_size", word_count(text) if words is None else words), F.col("__text_size"), quality, **options).where("taken > 0")
     count = F.ceil(F.col("taken") / F.col("size"))
     copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), count.cast("int"))))
     rest = (F.col("taken") - (F.col("__copy") - 1) * F.col("size")).cast("int")
