@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import jaccard_join, langid, mixing, packing, suffix_dedup
-from granary.llm.common import documents
+from granary.llm.common import documents, word_count
 from granary.llm.registry import query
 from granary.sources.tables import materialise
 
@@ -36,9 +36,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportions 5, 2, 1; labelled quality doubles or halves a document's chance."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))
-    graded = docs.join(labels, F.col("doc_id") == F.col("__id"), "left")
+    # Words are counted below the join: the keys then travel without the texts, which are shuffled once, for the result.
+    graded = docs.withColumn("__words", word_count("text")).join(labels, F.col("doc_id") == F.col("__id"), "left")
     quality = F.when(F.col("__q") == 1, 2.0).when(F.col("__q") == 0, 0.5).otherwise(1.0)
-    return mixing.draw(graded, quality).select(*docs.columns)
+    return mixing.draw(graded, quality, words=F.col("__words")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
