@@ -115,3 +115,19 @@ def test_tree(spark):
 def test_adjacency(spark):
     got = {(r.src, r.block): r.neighbours for r in G.adjacency(edges(spark, "0 1,0 7,0 3,1 0"), width=5).collect()}
     assert got == {(0, 0): [1, 3], (0, 1): [7], (1, 0): [0]}
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df.checkpoint(eager=True)
+
+    monkeypatch.setattr(G, "cut_lineage", spy)
+    monkeypatch.setattr(G, "SMALL", 0, raising=False)
+    e = spark.range(1, 16).selectExpr("id div 2 as src", "id as dst", "1 as weight")
+    assert as_map(G.lineage(e, 1), "node", "depth")[15] == 3
+    assert as_map(G.topological_levels(e), "node", "level")[15] == 4
+    assert as_map(G.shortest_paths(e, 1), "node", "distance")[15] == 3
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
