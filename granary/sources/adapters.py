@@ -122,7 +122,11 @@ def ga_sessions(spark: SparkSession, root: str, first_visits: bool = True) -> Da
 
 def partsupp(spark: SparkSession, root: str) -> DataFrame:
     """Distinct (part, supplier) pairs of the order lines with quantity and cost."""
-    pairs = table(spark, root, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return stock_of(table(spark, root, "lineitem").select("l_partkey", "l_suppkey").distinct())
+
+
+def stock_of(pairs: DataFrame) -> DataFrame:
+    """The `partsupp` row of each (l_partkey, l_suppkey), row by row: quantity and cost follow from the keys."""
     part, supp = _c("l_partkey"), _c("l_suppkey")
     cents = (part * 13 + supp) % 100000
     return pairs.select(

@@ -55,3 +55,10 @@ def test_no_pairwise_join_and_no_row_copies(spark, root, key):
 def test_a_total_is_summed_on_the_map_side(spark, root):
     plan = physical(entry.queries()["agg_partial_final"](spark, root))
     assert "partial_sum" in plan and "merge_sum" in plan or plan.count("HashAggregate") >= 2
+
+
+def test_inventory_feed_reads_the_lines_once(spark, root):
+    from granary.plans.vault import raw_inventory
+
+    plan = raw_inventory(spark, root)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Aggregate" not in plan
