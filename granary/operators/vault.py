@@ -134,12 +134,12 @@ def eff_sat(batch: DataFrame, pk: str, dfk: Sequence[str], sfk: str, start: str,
     rows = batch.select(*names)
     for c in keys:
         rows = rows.where(F.col(c).isNotNull())
-    rows = rows.distinct()
     if state is None:
-        return rows
+        return rows.distinct()
     high = F.to_date(F.lit(HIGH_DATE))
     order = [F.col(ldts), F.col(end), F.col(start), F.col(eff)]
-    latest = latest_per_key(state.select(*names), pk, order).select(
+    # Only what is read of the latest record travels, and rows are made distinct once, when those to keep are known.
+    latest = latest_per_key(state.select(pk, start, end, eff, ldts, source), pk, order).select(
         F.col(pk).alias("__pk"), (F.to_date(end) == high).alias("__open"), F.col(source).alias("__source")
     )
     is_open = F.to_date(end) == high

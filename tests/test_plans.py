@@ -62,3 +62,15 @@ def test_inventory_feed_reads_the_lines_once(spark, root):
 
     plan = raw_inventory(spark, root)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and "Aggregate" not in plan
+
+
+def test_effectivity_of_a_batch_is_made_distinct_once(spark):
+    from granary.operators import vault as dv
+
+    rows = spark.range(4).selectExpr("id div 2 as pk", "7L as dfk", "8L as sfk", "date'2020-01-01' as b", "date'9999-12-31' as e",
+                                     "date'2020-01-01' as effective_from", "date'2020-01-01' as load_date", "'x' as record_source")
+    state = rows.where("pk = 0").withColumn("e", rows.b)
+    got = dv.eff_sat(rows, "pk", ["dfk"], "sfk", "b", "e", state=state)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
+    assert sorted((r.pk, str(r.e)) for r in got.collect()) == [(0, "9999-12-31"), (1, "9999-12-31")]
