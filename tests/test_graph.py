@@ -131,3 +131,18 @@ def test_growing_tables_are_not_broadcast(spark, monkeypatch):
     assert as_map(G.topological_levels(e), "node", "level")[15] == 4
     assert as_map(G.shortest_paths(e, 1), "node", "distance")[15] == 3
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_bipartite_far_nodes_and_plan(spark, monkeypatch):
+    plans = []
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df.checkpoint(eager=True)
+
+    monkeypatch.setattr(G, "cut_lineage", spy)
+    near = spark.createDataFrame([(-5, 3), (3, 4), (4, -5), (8, 9)], "src long, dst long")
+    assert as_map(G.bipartite(near), "component", "is_bipartite") == {-5: False, 8: True}
+    assert not [p for p in plans if "SortAggregate" in p]
+    far = spark.createDataFrame([(-(2**63), 2**63 - 1), (2**63 - 1, 1), (1, -(2**63)), (8, 9)], "src long, dst long")
+    assert as_map(G.bipartite(far), "component", "is_bipartite") == {-(2**63): False, 8: True}
