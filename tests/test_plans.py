@@ -1,9 +1,15 @@
 """Plans keep what makes them scale: pushed filters, dropped joins, no pair-wise joins."""
 
+import datetime as dt
+import decimal
+import hashlib
+
 import __spark_entry__ as entry
 import pytest
 
+from granary.functions.hashing import hash_diff, hash_key
 from granary.plans import vault as V
+from granary.plans.registry import QUERIES
 
 
 def physical(df):
@@ -74,3 +80,27 @@ def test_effectivity_of_a_batch_is_made_distinct_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2
     assert sorted((r.pk, str(r.e)) for r in got.collect()) == [(0, "9999-12-31"), (1, "9999-12-31")]
+
+
+def test_a_stage_with_all_hashes_is_compiled(spark):
+    """The JVM only interprets methods beyond 8000 bytes; the hashes must not be fused with the joins into one such method."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = QUERIES["dv_stage_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_hashes_of_odd_values(spark):
+    """Numbers and times hash as their texts; texts are trimmed and upper-cased; null and empty are marked."""
+    kinds = "i long, d date, m decimal(18,2), f double, t timestamp, b boolean, s string"
+    odd = [(None,) * 7, (-1, dt.date(1969, 12, 31), decimal.Decimal("0.00"), 1e10, dt.datetime(2024, 1, 2, 3, 4, 5), True, " a b "), (0, None, decimal.Decimal("-1.50"), None, None, False, "  ")]
+    df = spark.createDataFrame(odd, kinds)
+    got = df.select(hash_key(df, "i").alias("k"), hash_key(df, ["i", "d"]).alias("kd"), hash_key(df, "s").alias("ks"), hash_diff(df, df.columns).alias("all")).collect()
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert [tuple(r) for r in got] == [
+        (None, None, None, md5("^^||^^||^^||^^||^^||^^||^^")),
+        (md5("-1"), md5("-1||1969-12-31"), md5("A B"), md5("TRUE||1969-12-31||10000000000.00||-1||0.00||A B||2024-01-02 03:04:05")),
+        (md5("0"), md5("0||^^"), md5("^^"), md5("FALSE||^^||^^||0||-1.50||^^||^^"))]
