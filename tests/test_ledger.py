@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from granary.operators import vault as dv
 from granary.operators.ledger import Ledger
 from granary.plans import vault as V
 from granary.sources import adapters as A
@@ -50,3 +51,18 @@ def test_a_stage_that_reads_no_line_has_a_row_per_order(spark, root):
     """It was stored once per order line."""
     vault = V.StoredVault(spark, root).load(1, **V.ORDER_TABLES)
     assert vault["stage_orders"].count() == A.vault_orders(spark, root, 1).count()
+
+
+def test_links_by_their_natural_keys(spark):
+    """The same links as by their hashes, over null keys, repeats and stored links; and hashes of other keys are not shuffled."""
+    hashed = {"ab_pk": ["a", "b"], "a_pk": ["a"], "b_pk": ["b"]}
+    values = [(1, 2, "2020-01-02", "x"), (1, 2, "2020-01-02", "w"), (1, 2, "2020-01-01", "y"), (1, None, "2020-01-01", "x"), (None, None, "2020-01-01", "x"), (3, 2, "2020-01-01", "x"), (12, 3, "2020-01-01", "x")]
+    batch = spark.createDataFrame(values, "a long, b int, load_date string, record_source string").withColumn("load_date", F.to_date("load_date"))
+    staged = dv.stage(batch, {}, hashed)
+    for state in (None, dv.link(staged.where("a = 3"), "ab_pk", ["a_pk", "b_pk"])):
+        by_keys = dv.link(staged, "ab_pk", ["a_pk", "b_pk"], state=state, hashed=hashed)
+        assert rows(by_keys) == rows(dv.link(staged, "ab_pk", ["a_pk", "b_pk"], state=state)) and by_keys.count() == (2 if state else 3)
+        plan = by_keys._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("AS a_pk") < plan.index("Aggregate")  # hashed above the aggregate
+    texts = dv.stage(batch.withColumn("a", F.when(F.col("a") == 1, F.concat(F.col("record_source"), F.lit(" "))).otherwise("W")), {}, hashed)
+    assert rows(dv.link(texts, "ab_pk", ["a_pk", "b_pk"], hashed=hashed)) == rows(dv.link(texts, "ab_pk", ["a_pk", "b_pk"]))
