@@ -146,3 +146,17 @@ def test_bipartite_far_nodes_and_plan(spark, monkeypatch):
     assert not [p for p in plans if "SortAggregate" in p]
     far = spark.createDataFrame([(-(2**63), 2**63 - 1), (2**63 - 1, 1), (1, -(2**63)), (8, 9)], "src long, dst long")
     assert as_map(G.bipartite(far), "component", "is_bipartite") == {-(2**63): False, 8: True}
+
+
+def test_spanning_forest_of_ties_hashes(spark, monkeypatch):
+    """Several trees, equal weights, edges given twice and loops; every round's aggregates hash and need not sort structs."""
+    plans = []
+    for name in ("cut_lineage", "materialise"):
+        if hasattr(G, name):
+            monkeypatch.setattr(G, name, lambda df, *rest, of=getattr(G, name): (plans.append(df._jdf.queryExecution().executedPlan().toString()), of(df, *rest))[1])
+    pairs = [(i, i + 1, 1) for i in range(40)] + [(i + 1, i, 2) for i in range(40)] + [(100, 101, 5), (101, 102, 5), (102, 100, 5), (7, 7, 0)]
+    got = {tuple(r) for r in G.minimum_spanning_tree(spark.createDataFrame(pairs, "src long, dst long, weight long")).collect()}
+    assert got == {(i, i + 1, 1) for i in range(40)} | {(100, 101, 5), (100, 102, 5)}
+    assert plans and not any("SortAggregate" in p for p in plans)
+    none = G.minimum_spanning_tree(spark.createDataFrame([(7, 7, 0)], "src long, dst long, weight long"))
+    assert none.columns == ["src", "dst", "weight"] and none.isEmpty()
