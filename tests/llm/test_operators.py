@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -424,6 +425,31 @@ def test_lm_score_matches_brute_force(spark, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_score_shuffles_no_more_over_more_buckets(spark):
+    """What a document needs used to travel once for each bucket, and there are more buckets the more text there is."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 20000}" for _ in range(60))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shuffled(bucket_bytes):
+        before = written()
+        rows = sorted(map(tuple, lm_score.score(df, bucket_bytes=bucket_bytes).collect()))
+        return rows, written() - before
+
+    def written():
+        time.sleep(1)  # the status store follows the tasks
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    (few, narrow), (many, wide) = shuffled(1 << 30), shuffled(10_000)
+    assert few == many and len(few) == 4000
+    assert wide < 1.4 * narrow
+
+
+def test_lm_score_of_texts_without_words(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (None, "")], "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in lm_score.score(df).collect()), key=str) == [(1, 0, 0, None), (2, 0, 0, None), (3, 0, 0, None), (None, 0, 0, None)]
+
+
 # --- Jaccard join
 
 
