@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,7 +20,7 @@ import granary.llm.queries  # noqa: F401
 from granary.llm import fingerprint, jaccard_join, langid, lm_score, mixing, packing, sharding, suffix_dedup, token_files, topk
 from granary.llm.common import word_count
 from granary.llm.registry import ORACLE, QUERIES
-from granary.llm.tokens import Encoder
+from granary.llm.tokens import Encoder, encoded
 from tests.oracle import compare, connect
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -323,6 +324,25 @@ def test_pieces_encode_like_whole_texts(file):
         assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.ids(part)] == ids_of(file, part, 0)
 
 
+def test_pieces_cut_as_arrays_encode_like_whole_texts():
+    rng = random.Random(5)
+    signs = "ab Z\t\n  \r\x0b\x1c\x85\xa0é1.,-_ɏß·ª²"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + ["", " ", "it's", "日本 x ", ""]
+    for most in (5, 1 << 19):
+        encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=most)
+        for part in (texts[:2500], texts[2500:], texts[::-1], [""], []):
+            assert [np.frombuffer(b, "<u4").tolist() + [0] for b in encoder.ids(part)] == ids_of("byte_bpe_50k.json", part, 0)
+
+
+def test_tasks_of_one_job_learn_a_piece_once(monkeypatch):
+    learnt, learn = [], Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, pieces: learnt.append(len(pieces)) or learn(self, pieces))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words and some more words", None, "more"]})
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    runs = [[x for _, ids in encoded(iter([batch]), file, 0, job) for x in ids] for job in ("a", "a", "b", None)]
+    assert learnt == [6, 0, 6, 6] and runs[0] == runs[1] == runs[2] == runs[3]
+
+
 def test_pack_covers_every_id(spark, docs, none):
     df = docs.unionByName(spark.createDataFrame([(900 + i, t, None, None, None) for i, t in enumerate(ODD)], SCHEMA)).withColumn("rank", F.lit("clash"))
     got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), 1, 256).collect()
