@@ -5,10 +5,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -542,6 +544,57 @@ def test_tree_finds_all_pairs_across_components():
     assert [top(roots, i) for i in range(60)] == [top(plain, i) for i in range(60)]
 
 
+def test_a_bucket_is_counted_in_little_memory():
+    rng = np.random.default_rng(6)
+    n, each = 4000, 100
+    hashes = rng.integers(0, 1 << 48, (n, each), dtype=np.uint64)
+    hashes[1::2, :30] = hashes[::2, :30]  # every two sets share 30 hashes
+    raw = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    nodes, sizes, counts = np.arange(n, dtype="<i8").tobytes(), np.full(n, each, "<u4").tobytes(), np.full(n, each, "<u4").tobytes()
+    bucket = pd.DataFrame({"bucket": [0], "nodes": [nodes], "labels": [b""], "sizes": [sizes], "counts": [counts], "data": [raw]})
+    tracemalloc.start()
+    counted = jaccard_join._count()(bucket)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted["node"].tolist() == list(range(n)) and set(counted["size"]) == {each}
+    for node, tokens in zip(counted["node"], counted["tokens"]):
+        got = np.frombuffer(tokens, "<u8")
+        assert set(jaccard_join.frequency(got).tolist()) == {2} and set((got & jaccard_join.LOW48).tolist()) == set(hashes[node, :30].tolist())
+    assert peak < 8 * len(raw)
+
+
+@pytest.mark.parametrize("width, most", [(1024, 20), (1, 60)])
+def test_a_long_text_is_not_sent_once_per_token(spark, monkeypatch, width, most):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(1500)]
+    rows = []
+    for i in range(3):  # likenesses of about 0.75: hundreds of shared prefix tokens, no link
+        words = list(base)
+        for j in rng.sample(range(0, 1500, 6), 23):
+            words[j] = f"x{i}-{j}"
+        rows.append((i, " ".join(words), None, None, None))
+    rows.append((3, rows[2][1].replace("w1", "y1", 1), None, None, None))
+    sent, join = spark.sparkContext.accumulator(0), jaccard_join._tree_links
+
+    def counting(*args):
+        run = join(*args)
+
+        def counted(batches):
+            def passed():
+                for batch in batches:
+                    sent.add(batch.num_rows)
+                    yield batch
+
+            return run(passed())
+
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "_tree_links", counting)
+    got = sorted(tuple(r) for r in jaccard_join.classes(spark.createDataFrame(rows, SCHEMA), width=width).collect())
+    assert got == brute_classes(rows, 5, 80, 100) and [r[2] for r in got] == [0, 1, 2, 2]
+    assert 0 < sent.value <= most
+
+
 def test_keep_one(spark, docs, none):
     kept = jaccard_join.keep_one(docs.unionByName(docs.where("doc_id = 0")))
     want = {r[0] for r in brute_classes(corpus(), 5, 80, 100) if r[0] == r[2]}
