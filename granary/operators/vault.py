@@ -245,18 +245,23 @@ def _hub_dates(hub_table: DataFrame, pk: str, ldts: str, as_of: DataFrame) -> Da
 def pit(hub_table: DataFrame, pk: str, as_of: DataFrame, satellites: dict[str, DataFrame], ldts: str = "load_date") -> DataFrame:
     """Point-in-time table: per key and as-of date the latest version of each satellite.
 
-    A version is emitted only for dates it is valid at, so no join ever multiplies
-    versions with dates.
+    The joins meet one row per key, which holds the key's load dates of a satellite; the
+    as-of dates come last, so no join ever multiplies versions with dates. Spark takes
+    columns of stored hashes for far smaller than they are, so these joins are hinted to be
+    merged: else a satellite would be gathered by the driver and broadcast.
     """
-    out = _hub_dates(hub_table, pk, ldts, as_of)
-    for name, table in satellites.items():
-        live = _valid_dates(table.select(pk, ldts), pk, ldts, as_of)
-        live = live.select(pk, "as_of_date", F.col(ldts).alias(f"{name}_ldts"))
-        out = out.join(live, [pk, "as_of_date"], "left")
-        found = F.col(f"{name}_ldts").isNotNull()
-        out = out.withColumn(f"{name}_pk", F.when(found, F.col(pk)).otherwise(GHOST_PK))
-        out = out.withColumn(f"{name}_ldts", F.coalesce(f"{name}_ldts", F.to_date(F.lit(GHOST_DATE))))
-    return out
+    out = hub_table.select(pk, ldts)
+    for i, table in enumerate(satellites.values()):
+        loads = table.groupBy(pk).agg(F.collect_set(ldts).alias(f"__loads{i}"))
+        out = out.join(loads.hint("merge"), pk, "left")
+    out = out.withColumn("__dates", _as_of_array(as_of))
+    out = out.withColumn("as_of_date", F.explode(F.filter("__dates", lambda d: d >= F.col(ldts))))
+    columns = [F.col(pk), F.col("as_of_date")]
+    for i, name in enumerate(satellites):
+        latest = F.array_max(F.filter(f"__loads{i}", lambda d: d <= F.col("as_of_date")))
+        columns.append(F.coalesce(latest, F.to_date(F.lit(GHOST_DATE))).alias(f"{name}_ldts"))
+        columns.append(F.when(latest.isNotNull(), F.col(pk)).otherwise(GHOST_PK).alias(f"{name}_pk"))
+    return out.select(*columns)
 
 
 @dataclass(frozen=True)
@@ -283,6 +288,8 @@ def bridge(hub_table: DataFrame, pk: str, as_of: DataFrame, walk: Sequence[Step]
             F.col("__end").alias(f"{step.name}_end_date"), F.col(ldts).alias(f"{step.name}_load_date"),
         )
         hop = step.link.select(F.col(step.link_pk).alias(f"{step.name}_pk"), step.fk)
-        hop = hop.join(live, f"{step.name}_pk")
-        out = out.join(hop.withColumnRenamed(step.fk, pk) if step.fk != pk else hop, [pk, "as_of_date"])
+        # Merged for the reason given in `pit`.
+        hop = hop.join(live.hint("merge"), f"{step.name}_pk")
+        hop = hop.withColumnRenamed(step.fk, pk) if step.fk != pk else hop
+        out = out.join(hop.hint("merge"), [pk, "as_of_date"])
     return out

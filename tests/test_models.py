@@ -276,3 +276,27 @@ def test_meal_time_counts_every_year(spark, root, monkeypatch):
     before, real = shown(), games.clocked
     monkeypatch.setattr(games, "clocked", lambda *a: real(*a).withColumn("year_value", F.col("year_value") + 20))
     assert before and shown() == [(meal, year + 20, n) for meal, year, n in before]
+
+
+def test_pit_and_bridge_gather_no_satellite(spark):
+    day = lambda m: dt.date(2020, m, 1)
+    hub = spark.createDataFrame([("a", day(1)), ("b", day(3)), (None, day(1))], "pk string, load_date date")
+    one = spark.createDataFrame([("a", day(2)), ("a", day(4)), ("a", day(4)), ("b", None), (None, day(1))], "pk string, load_date date")
+    two = spark.createDataFrame([("b", day(1)), ("c", day(1))], "pk string, load_date date")
+    as_of = spark.createDataFrame([(day(m),) for m in (1, 3, 5)], "as_of_date date")
+    out = dv.pit(hub, "pk", as_of, {"one": one, "two": two})
+    none, ghost = dv.GHOST_PK, dt.date(1900, 1, 1)
+    assert out.columns == ["pk", "as_of_date", "one_ldts", "one_pk", "two_ldts", "two_pk"]
+    assert rows(out) == sorted([
+        ("a", day(1), ghost, none, ghost, none), ("a", day(3), day(2), "a", ghost, none), ("a", day(5), day(4), "a", ghost, none),
+        ("b", day(3), ghost, none, day(1), "b"), ("b", day(5), ghost, none, day(1), "b"),
+        *[(None, day(m), ghost, none, ghost, none) for m in (1, 3, 5)]], key=repr)
+    link = spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "b")], "link_pk string, pk string")
+    eff = spark.createDataFrame([("x", day(1), day(2)), ("x", day(3), dt.date(9999, 12, 31)), ("y", day(1), day(2)), ("z", day(4), day(9))],
+                                "link_pk string, load_date date, end date")
+    bridged = dv.bridge(hub, "pk", as_of, [dv.Step(link, "link_pk", "pk", eff, "end", "hop")])
+    assert rows(bridged) == sorted([
+        ("a", day(1), "x", day(2), day(1)), ("a", day(3), "x", dt.date(9999, 12, 31), day(3)), ("a", day(5), "x", dt.date(9999, 12, 31), day(3)),
+        ("b", day(5), "z", day(9), day(4))], key=repr)
+    for df in (out, bridged):  # the stored tables are taken for smaller than they are: nothing of them may go to the driver
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
