@@ -416,6 +416,29 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0), 5).count() == 0
 
 
+def test_top_k_broadcasts_no_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    ints = {int(i): [int(x) for x in rng.integers(-40, 40, 9)] for i in range(300)}
+    vectors = spark.createDataFrame(list(ints.items()), "vec_id long, v array<bigint>")
+    plans, store = [], topk.materialise
+
+    def kept(df, tag):
+        plans.append(df)
+        return store(df, tag)
+
+    monkeypatch.setattr(topk, "materialise", kept)
+    monkeypatch.setattr(topk, "SLICE", 7, raising=False)
+    out = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 4, parts=3, query_block=4, block=64)
+    got = defaultdict(list)
+    for r in out.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {q: [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:4]] for q in ints if q % 20 == 0}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for df in [*plans, out]:  # stored vectors are taken for far smaller than they are: the driver may gather ids only
+        sent = re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", df._jdf.queryExecution().explainString(mode))
+        assert not [x for x in sent if re.search(r"\b(v|s|qs|xs|ids|[qx]_v|[qx]_ids)#", x)]
+
+
 # --- LM scores
 
 
