@@ -1,5 +1,6 @@
 """Hand-checked graphs."""
 
+import os
 import random
 
 import pytest
@@ -148,6 +149,52 @@ def test_bipartite_far_nodes_and_plan(spark, monkeypatch):
     assert as_map(G.bipartite(far), "component", "is_bipartite") == {-(2**63): False, 8: True}
 
 
+def two_coloured(pairs):
+    """(smallest node -> can be coloured) by walking; None is a node before all others."""
+    key, ahead, seen, out = lambda x: (x is not None, x or 0), {}, {}, {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, []).append(a)
+    for start in sorted(ahead, key=key):
+        if start in seen:
+            continue
+        seen[start], out[start], todo = 0, True, [start]
+        while todo:
+            a = todo.pop()
+            for b in ahead[a]:
+                if b not in seen:
+                    seen[b] = 1 - seen[a]
+                    todo.append(b)
+                elif seen[b] == seen[a]:
+                    out[start] = False
+    return out
+
+
+def test_bipartite_random_nulls_and_loops(spark):
+    rng = random.Random(4)
+    pairs = [(1, 1), (2, 3), (3, 2), (2, 3), (None, 7), (7, 8), (8, None), (5, None)]
+    for base, odd in ((100, False), (200, True), (300, False), (400, True)):
+        pairs += [(base + a, base + a + rng.choice((1, 3, 5)) + (odd and i == 20)) for i, a in enumerate(rng.randrange(60) for _ in range(45))]
+    pairs += [(500 + i, 501 + i) for i in range(40)] + [(600 + i, 601 + i) for i in range(40)] + [(640, 600), (700, 700), (700, 701)]
+    for given in (pairs, [p for p in pairs if None not in p]):
+        assert as_map(G.bipartite(spark.createDataFrame(given, "src long, dst long")), "component", "is_bipartite") == two_coloured(given)
+    words = [(f"n{a}", f"n{b}") for a, b in [(1, 2), (2, 3), (3, 1), (5, 6), (9, 9)]]
+    assert as_map(G.bipartite(spark.createDataFrame(words, "src string, dst string")), "component", "is_bipartite") == {"n1": False, "n5": True, "n9": False}
+    assert G.bipartite(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_bipartite_keeps_few_files(spark):
+    """20,000 edges: what stays stored is less than 16 bytes each, not several copies of all of them."""
+    def stored():
+        root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(root) for f in names)
+
+    rng, before = random.Random(5), stored()
+    e = spark.createDataFrame([(rng.randrange(500), 1000 + rng.randrange(300)) for _ in range(20_000)], "src long, dst long")
+    assert as_map(G.bipartite(e), "component", "is_bipartite") == {0: True}
+    assert stored() - before < 16 * 20_000
+
+
 def test_spanning_forest_of_ties_hashes(spark, monkeypatch):
     """Several trees, equal weights, edges given twice and loops; every round's aggregates hash and need not sort structs."""
     plans = []
