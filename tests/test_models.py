@@ -1,6 +1,7 @@
 """Marts, texts, loads and histories on small given rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from granary.operators import quality, scd, text
 from granary.operators import vault as dv
 from granary.operators.joins import asof_join, null_safe_join
 from granary.plans import games, modelling, shop
+from granary.plans import vault as vault_plans
 from granary.plans.aggregates import array_avg, words
 from granary.plans.predicates import find_value, lookup, on_day, search
 from granary.plans.registry import QUERIES
@@ -300,3 +302,32 @@ def test_pit_and_bridge_gather_no_satellite(spark):
         ("b", day(5), "z", day(9), day(4))], key=repr)
     for df in (out, bridged):  # the stored tables are taken for smaller than they are: nothing of them may go to the driver
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_orders_get_narrow_lines(spark, tmp_path):
+    put = lambda name, given, schema: spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    when = dt.datetime(1997, 1, 2)
+    put("region", [(0, "R")], "r_regionkey int, r_name string")
+    put("nation", [(0, "N", 0), (1, "M", None)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(1, "c", 0, 1.5, "m"), (1, "d", 1, 2.5, "m"), (None, "e", 0, 0.0, "m")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("supplier", [(1, "s", 0, 1.0), (1, "t", None, 1.0), (2, "u", 1, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    put("part", [(1, "p"), (1, "q"), (None, "r")], "p_partkey long, p_name string")
+    put("orders", [(1, 1, "O", 10.0, when, "x"), (2, 9, "F", 20.0, when, "x"), (3, None, "F", None, None, None), (None, 1, "F", 1.0, when, "x"), (2, 1, "F", 5.0, when, "y")],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    put("lineitem", [(1, 1, 1, 1, 1.0, 2.0, 0.1, 0.2, "A", "F", when), (1, None, 2, 2, 1.0, 2.0, 0.1, 0.2, "A", "F", when), (2, 1, None, 1, None, 2.0, 0.1, 0.2, None, "F", None),
+                     (2, 7, 2, 1, 1.0, 2.0, 0.1, 0.2, "A", "F", when), (None, 1, 1, 1, 1.0, 2.0, 0.1, 0.2, "A", "F", when)] * 2,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        staged = vault_plans.stage_orders(spark, str(tmp_path))
+        text = staged._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        dealt = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\((\w+)#", text)
+        assert {key for _, key in dealt} >= {"l_partkey", "l_suppkey", "l_orderkey"}
+        assert not [c for c, key in dealt if key in ("l_partkey", "l_suppkey") and re.search(r"\b[oc]_", c)]
+        raw = QUERIES["dv_raw_orders"](spark, str(tmp_path))
+        lines = vault_plans.raw_orders(spark, str(tmp_path))
+        assert raw.dtypes == lines.dtypes and raw.count() > 20 and rows(raw) == rows(lines)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
