@@ -117,25 +117,44 @@ def t_link(batch: DataFrame, pk: str, fk: Sequence[str], payload: Sequence[str],
 
 
 def sat(batch: DataFrame, pk: str, hashdiff: str, payload: Sequence[str], eff: str = "effective_from",
-        ldts: str = "load_date", source: str = "record_source", state: DataFrame | None = None) -> DataFrame:
+        ldts: str = "load_date", source: str = "record_source", state: DataFrame | None = None,
+        digests: bool = False, one_date: bool = False) -> DataFrame:
     """Append a version when its hash differs from the version before it.
 
-    One row per (key, load) first, so the comparison runs over loads, not over source rows.
+    One row per (key, load) first, so the comparison runs over loads, not over source rows. The
+    latest stored version is joined in as (key, load, hash); hinted to be merged, as Spark takes
+    stored hashes for far smaller than they are. `digests` says that key and hash are hex texts
+    of md5, as `stage` makes them: these travel as 16 bytes, which sort alike. `one_date` says
+    that all of the batch has the same load date: a key then has one row and needs no window.
     """
-    row = F.min(F.struct(hashdiff, eff, source, *payload)).alias("row")
     names = [hashdiff, *payload, eff, ldts, source]
-    fresh = (
-        batch.where(F.col(pk).isNotNull()).groupBy(pk, ldts).agg(row)
-        .select(pk, *[F.col(ldts) if c == ldts else F.col("row")[c].alias(c) for c in names])
-        .withColumn("__new", F.lit(True))
-    )
+    packed = (lambda c: F.unhex(c).alias(c)) if digests else F.col
+    rows = batch.where(F.col(pk).isNotNull()).select(packed(pk), packed(hashdiff), *payload, eff, ldts, source)
+    # With one date the group is the key; the date then is the same in all its rows.
+    keys, dates = ([pk], [ldts]) if one_date else ([pk, ldts], [])
+    row = F.min(F.struct(hashdiff, eff, source, *payload, *dates)).alias("row")
+    fresh = rows.groupBy(*keys).agg(row).select(pk, *[F.col(c) if c in keys else F.col("row")[c].alias(c) for c in names])
+    before = F.lit(None)
+    if not one_date:
+        # A key has one row per load date, so a window group is as long as the list of loads.
+        along = W.partitionBy(pk).orderBy(ldts)
+        fresh = fresh.withColumn("__prior", F.lag(F.struct(ldts, hashdiff)).over(along))
+        before = F.col("__prior")[hashdiff]
     if state is not None:
-        current = latest_per_key(state.select(pk, *names), pk, [F.col(ldts), F.col(hashdiff)])
-        fresh = fresh.unionByName(current.withColumn("__new", F.lit(False)))
-    # A key has one row per load date, so a window group is as long as the list of loads.
-    shifted = fresh.withColumn("__before", F.lag(hashdiff).over(W.partitionBy(pk).orderBy(ldts, "__new")))
-    changed = F.col("__before").isNull() | (F.col("__before") != F.col(hashdiff))
-    return shifted.where(F.col("__new") & changed).select(pk, *names)
+        held = latest_per_key(state.select(packed(pk), packed(hashdiff), ldts), pk, [F.col(ldts), F.col(hashdiff)])
+        held = held.select(F.col(pk).alias("__pk"), F.struct(ldts, hashdiff).alias("__held"))
+        fresh = fresh.join(held.hint("merge"), F.col(pk) == F.col("__pk"), "left")
+        # The stored version is the one before if it is no later than the row and later than any other row; null is the earliest date.
+        since = F.col("__held")[ldts]
+        applies = F.col("__held").isNotNull() & (since.isNull() | F.coalesce(since <= F.col(ldts), F.lit(False)))
+        if not one_date:
+            prior = F.col("__prior")[ldts]
+            later = (prior.isNull() & since.isNotNull()) | F.coalesce(prior < since, F.lit(False))
+            applies = applies & (F.col("__prior").isNull() | later)
+        before = F.when(applies, F.col("__held")[hashdiff]).otherwise(before)
+    changed = fresh.where(before.isNull() | (before != F.col(hashdiff)))
+    wide = (lambda c: F.lower(F.hex(c)).alias(c) if c in (pk, hashdiff) else F.col(c)) if digests else F.col
+    return changed.select(*[wide(c) for c in (pk, *names)])
 
 
 def eff_sat(batch: DataFrame, pk: str, dfk: Sequence[str], sfk: str, start: str, end: str, eff: str = "effective_from",

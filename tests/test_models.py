@@ -1,6 +1,8 @@
 """Marts, texts, loads and histories on small given rows."""
 
 import datetime as dt
+import hashlib
+import random
 import re
 
 import pytest
@@ -304,6 +306,45 @@ def test_pit_and_bridge_gather_no_satellite(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sat_compares_with_the_version_before(spark):
+    """Random loads on random states, with null and equal dates, against a plain walk in order of dates."""
+    rng = random.Random(6)
+    day = lambda: rng.choice([None, *[dt.date(2020, 1, n) for n in range(1, 6)]])
+    schema = "pk string, hd string, x int, eff date, load_date date, src string"
+    row = lambda k: (k, rng.choice("abc"), rng.randrange(3), dt.date(2020, 1, 1), day(), "s")
+    batch, stored = ([row(f"k{rng.randrange(60)}") for _ in range(n)] + [row(None)] for n in (300, 90))
+    early = lambda d: (d is not None, d or dt.date.min)
+    for state in (None, stored):
+        want = []
+        for k in {r[0] for r in batch} - {None}:
+            one = {}
+            for r in batch:
+                if r[0] == k:
+                    one[r[4]] = min(one.get(r[4], r), r, key=lambda z: (z[1], z[3], z[5], z[2]))
+            line = [(early(d), 1, r[1], r) for d, r in one.items()]
+            if held := [r for r in state or () if r[0] == k]:
+                last = max(held, key=lambda z: (early(z[4]), z[1]))
+                line.append((early(last[4]), 0, last[1], None))
+            line.sort(key=lambda z: z[:2])
+            want += [r for i, (_, _, h, r) in enumerate(line) if r and (not i or line[i - 1][2] != h)]
+        old = state and spark.createDataFrame(state, schema)
+        got = dv.sat(spark.createDataFrame(batch, schema), "pk", "hd", ["x"], "eff", "load_date", "src", old)
+        assert rows(got) == sorted(want, key=repr)
+    md5 = lambda r: (r[0] and hashlib.md5(r[0].encode()).hexdigest(), hashlib.md5(r[1].encode()).hexdigest(), *r[2:4], dt.date(2020, 1, 3), r[5])
+    now, old = spark.createDataFrame([md5(r) for r in batch], schema), spark.createDataFrame([*map(md5, stored), ("0" * 32, "0" * 32, 1, None, day(), "s")], schema)
+    for state in (None, old, old.withColumn("load_date", F.date_add("load_date", 2))):
+        plain = dv.sat(now, "pk", "hd", ["x"], "eff", "load_date", "src", state)
+        packed = dv.sat(now, "pk", "hd", ["x"], "eff", "load_date", "src", state, digests=True, one_date=True)
+        assert plain.dtypes == packed.dtypes and rows(plain) == rows(packed)
+
+
+def test_stored_loads_shuffle_a_sat_once(spark, root):
+    """A key's hash and what is compared travel once, as 16 bytes each; they do not travel again for a window."""
+    state = vault_plans.sat_of(spark, root, "inventory", 1)
+    plan = vault_plans.sat_of(spark, root, "inventory", 2, state.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Window" not in plan
+
+
 def test_whole_orders_get_narrow_lines(spark, tmp_path):
     put = lambda name, given, schema: spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     when = dt.datetime(1997, 1, 2)
